@@ -65,12 +65,12 @@ def order_statistics(
     def wide(t) -> bool:
         return inside[t] > small and (lo[t] is None or lo[t] != hi[t])
 
-    stalled: set = set()
-    while todo := [t for t in targets if wide(t) and t not in stalled]:
+    margin = {t: 3.0 / SKETCH for t in targets}
+    while todo := [t for t in targets if wide(t) and margin[t] < 1.0]:
         aggs = []
         for i, t in enumerate(todo):
             at = (t[1] - below[t]) / inside[t]
-            near = F.array(F.lit(max(0.0, at - 3.0 / SKETCH)), F.lit(min(1.0, at + 3.0 / SKETCH)))
+            near = F.array(F.lit(max(0.0, at - margin[t])), F.lit(min(1.0, at + margin[t])))
             aggs.append(F.percentile_approx(bracket(t), near, SKETCH).alias(f"b{i}"))
         proposed = df.agg(*aggs).first()
         checks = []
@@ -81,10 +81,10 @@ def order_statistics(
         seen = df.agg(*checks).first()
         for i, t in enumerate(todo):
             (a, b), less, mid = proposed[f"b{i}"], seen[f"l{i}"], seen[f"m{i}"]
-            if less <= t[1] < less + mid and mid < inside[t]:
+            if less <= t[1] < less + mid and (mid < inside[t] or a == b):
                 lo[t], hi[t], below[t], inside[t] = a, b, less, mid
             else:
-                stalled.add(t)
+                margin[t] *= 4
     found = {t: lo[t] for t in targets if lo[t] is not None and lo[t] == hi[t]}
     rest = [t for t in targets if t not in found]
     if rest:
