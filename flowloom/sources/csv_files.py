@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,8 +88,6 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _by_name():
-    from pyspark.sql import Window
-
     # One row per file, so a single partition is as small as the directory listing.
     return Window.partitionBy(F.lit(0)).orderBy("filename").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
@@ -120,16 +119,17 @@ def read_flow_csv(spark: SparkSession, path: str, text: Sequence[str] = (*ID_COL
     Files are grouped by encoding and header; each group is one scan with an explicit schema,
     and groups are united by column name.
     """
-    files = profile_files(spark, f"{path.rstrip('/')}/*.csv" if not path.endswith(".csv") else path)
+    pattern = path if path.endswith(".csv") else f"{path.rstrip('/')}/*.csv"
     try:
         groups = (
-            files.groupBy("encoding", "header")
+            profile_files(spark, pattern)
+            .groupBy("encoding", "header")
             .agg(F.array_sort(F.collect_list("path")).alias("paths"))
             .orderBy(F.col("paths")[0])
             .collect()
         )
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
             raise FileNotFoundError(f"no CSV files found in {path}") from e
         raise
     if not groups:
