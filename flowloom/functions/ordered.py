@@ -43,68 +43,97 @@ def order_statistics(
 ) -> dict[tuple[str, int], float]:
     """Value at each 0-based rank of each numeric expression, nulls left out.
 
-    Every target keeps a bracket of values that must contain it. A mergeable sketch proposes a
-    narrower bracket, one exact count accepts it, and the loop ends when a bracket holds few
-    enough rows to rank. Each round is one aggregate over the data for all targets together.
+    A target is one rank or two neighbouring ones. Each target keeps a bracket of values that
+    must contain it. A mergeable sketch proposes a narrower bracket (targets that still share a
+    bracket share a sketch), one exact count accepts it, and the loop ends when a bracket holds
+    few enough rows to rank. Each round is two aggregates over the data for all targets together.
     """
-    targets = sorted({(name, k) for name, ks in ranks.items() for k in ks})
-    lo: dict = {t: None for t in targets}
-    hi: dict = {t: None for t in targets}
-    below = {t: 0 for t in targets}
-    inside = {t: counts[t[0]] for t in targets}
-
-    def bracket(t) -> Column:
-        x = exprs[t[0]]
-        cond = x.isNotNull()
-        if lo[t] is not None:
-            cond = cond & (x >= F.lit(lo[t]))
-        if hi[t] is not None:
-            cond = cond & (x <= F.lit(hi[t]))
-        return F.when(cond, x)
-
-    def wide(t) -> bool:
-        return inside[t] > small and (lo[t] is None or lo[t] != hi[t])
-
-    margin = {t: 3.0 / SKETCH for t in targets}
-    while todo := [t for t in targets if wide(t) and margin[t] < 1.0]:
+    targets = [_Target(name, a, b, counts[name]) for name, ks in ranks.items() for a, b in _pairs(ks)]
+    while todo := [t for t in targets if t.open(small)]:
+        sketches: dict[tuple, list[_Target]] = {}
+        for t in todo:
+            sketches.setdefault((t.name, t.lo, t.hi), []).append(t)
         aggs = []
-        for i, t in enumerate(todo):
-            at = (t[1] - below[t]) / inside[t]
-            near = F.array(F.lit(max(0.0, at - margin[t])), F.lit(min(1.0, at + margin[t])))
-            aggs.append(F.percentile_approx(bracket(t), near, SKETCH).alias(f"b{i}"))
+        for i, shared in enumerate(sketches.values()):
+            spots = [p for t in shared for p in t.near()]
+            aggs.append(F.percentile_approx(shared[0].bracket(exprs), F.array(*[F.lit(p) for p in spots]), SKETCH).alias(f"b{i}"))
         proposed = df.agg(*aggs).first()
         checks = []
+        for i, shared in enumerate(sketches.values()):
+            for k, t in enumerate(shared):
+                t.low, t.high = proposed[f"b{i}"][2 * k : 2 * k + 2]
         for i, t in enumerate(todo):
-            x, (a, b) = exprs[t[0]], proposed[f"b{i}"]
-            checks.append(F.count_if(x < F.lit(a)).alias(f"l{i}"))
-            checks.append(F.count_if((x >= F.lit(a)) & (x <= F.lit(b))).alias(f"m{i}"))
+            x = exprs[t.name]
+            checks.append(F.count_if(x < F.lit(t.low)).alias(f"l{i}"))
+            checks.append(F.count_if((x >= F.lit(t.low)) & (x <= F.lit(t.high))).alias(f"m{i}"))
         seen = df.agg(*checks).first()
         for i, t in enumerate(todo):
-            (a, b), less, mid = proposed[f"b{i}"], seen[f"l{i}"], seen[f"m{i}"]
-            if less <= t[1] < less + mid and (mid < inside[t] or a == b):
-                lo[t], hi[t], below[t], inside[t] = a, b, less, mid
-            else:
-                margin[t] *= 4
-    found = {t: lo[t] for t in targets if lo[t] is not None and lo[t] == hi[t]}
-    rest = [t for t in targets if t not in found]
+            t.narrow(seen[f"l{i}"], seen[f"m{i}"])
+    found = {(t.name, k): t.lo for t in targets if t.closed() for k in (t.first, t.last)}
+    rest = [t for t in targets if not t.closed()]
     if rest:
         # One row per distinct value in a bracket; copies of a value meet in the map-side count.
-        cells = F.array(*[F.struct(F.lit(i).alias("t"), bracket(t).alias("v")) for i, t in enumerate(rest)])
-        values = (
-            df.select(F.explode(cells).alias("c")).where("c.v is not null").groupBy("c.t", "c.v").count()
-        )
+        cells = F.array(*[F.struct(F.lit(i).alias("t"), t.bracket(exprs).alias("v")) for i, t in enumerate(rest)])
+        values = df.select(F.explode(cells).alias("c")).where("c.v is not null").groupBy("c.t", "c.v").count()
         upto = Window.partitionBy("t").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        want = F.element_at(F.array(*[F.lit(t[1] - below[t]) for t in rest]), F.col("t") + 1)
-        picked = (
-            values.withColumn("upto", F.sum("count").over(upto))
-            .where(F.col("upto") > want)
-            .groupBy("t")
-            .agg(F.min("v").alias("v"))
-        )
-        found |= {rest[r["t"]]: r["v"] for r in picked.collect()}
+
+        def at(which: str) -> Column:
+            spots = F.array(*[F.lit(getattr(t, which) - t.below) for t in rest])
+            return F.min(F.when(F.col("upto") > F.element_at(spots, F.col("t") + 1), F.col("v"))).alias(which)
+
+        picked = values.withColumn("upto", F.sum("count").over(upto)).groupBy("t").agg(at("first"), at("last"))
+        for r in picked.collect():
+            t = rest[r["t"]]
+            found |= {(t.name, t.first): r["first"], (t.name, t.last): r["last"]}
     return found
 
 
+def _pairs(ranks: Sequence[int]) -> list[tuple[int, int]]:
+    """Sorted distinct ranks with direct neighbours paired up."""
+    out: list[tuple[int, int]] = []
+    for k in sorted(set(ranks)):
+        if out and out[-1][0] == out[-1][1] == k - 1:
+            out[-1] = (k - 1, k)
+        else:
+            out.append((k, k))
+    return out
+
+
+class _Target:
+    """Search state of one rank (or two neighbours) of one expression."""
+
+    def __init__(self, name: str, first: int, last: int, count: int):
+        self.name, self.first, self.last = name, first, last
+        self.lo = self.hi = None
+        self.low = self.high = None
+        self.below, self.inside = 0, count
+        self.margin = 3.0 / SKETCH
+
+    def closed(self) -> bool:
+        return self.lo is not None and self.lo == self.hi
+
+    def open(self, small: int) -> bool:
+        return self.inside > small and not self.closed() and self.margin < 1.0
+
+    def near(self) -> tuple[float, float]:
+        a, b = (self.first - self.below) / self.inside, (self.last - self.below) / self.inside
+        return max(0.0, a - self.margin), min(1.0, b + self.margin)
+
+    def bracket(self, exprs: Mapping[str, Column]) -> Column:
+        x = exprs[self.name]
+        cond = x.isNotNull()
+        if self.lo is not None:
+            cond = cond & (x >= F.lit(self.lo)) & (x <= F.lit(self.hi))
+        return F.when(cond, x)
+
+    def narrow(self, less: int, mid: int) -> None:
+        holds = less <= self.first and self.last < less + mid
+        if holds and (mid < self.inside or self.low == self.high):
+            self.lo, self.hi, self.below, self.inside = self.low, self.high, less, mid
+        else:
+            self.margin *= 4
+
+
 def quantiles(
     df: DataFrame,
     exprs: Mapping[str, Column],

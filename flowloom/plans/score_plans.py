@@ -296,11 +296,11 @@ def st7(spark, sf_dir):
     return rounded(per.withColumns({k: v for k, v in evaluate.binary_scores().items() if k != "specificity"}))
 
 
-@register("w6_moving_stats", SC + """select flow_index, round(avg(latency_ms) over w, 9) as mean, min(latency_ms) over w as min, max(latency_ms) over w as max,
-  round(coalesce(stddev_samp(latency_ms) over w, 0), 9) as std from scored window w as (partition by class_name order by ts_us, flow_index rows 99 preceding)""")
+@register("w6_moving_stats", SC + """select flow_index, round(avg(latency_ms) over w, 8) as mean, min(latency_ms) over w as min, max(latency_ms) over w as max,
+  round(coalesce(stddev_samp(latency_ms) over w, 0), 8) as std from scored window w as (partition by class_name order by ts_us, flow_index rows 99 preceding)""")
 def w6(spark, sf_dir):
     df = monitor.moving_stats(view(spark, sf_dir, "scored"), "latency_ms", 100, ["ts_us", "flow_index"], ["class_name"])
-    return rounded(df.select("flow_index", "mean", "min", "max", "std"), 9, skip=("min", "max"))
+    return rounded(df.select("flow_index", "mean", "min", "max", "std"), 8, skip=("min", "max"))
 
 
 @register("w7_recent_attack_rate", SC + "select flow_index, round(avg(prediction) over (order by ts_us, flow_index rows 99 preceding), 9) as recent_attack_rate from dec")
