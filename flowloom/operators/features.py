@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,11 +53,31 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, _f(a) / _f(b)).otherwise(F.lit(0.0))
 
 
-def _variance(n: Column, total: Column, squares: Column) -> Column:
-    """Population variance from exact integers; 0 below two values."""
-    n, total, squares = n.cast(_WIDE), total.cast(_WIDE), squares.cast(_WIDE)
-    spread = (n * squares).cast(_WIDE) - (total * total).cast(_WIDE)
-    return F.when(n > 1, _f(spread) / _f((n * n).cast(_WIDE))).otherwise(F.lit(0.0))
+def _variances(moments: Mapping[str, tuple[Column, Column, Column]]) -> dict[str, Column]:
+    """Population variances from exact integer (count, sum, sum of squares); 0 below two values.
+
+    Squares are taken around the whole part of the mean, so nothing cancels. Sums that could
+    leave the long range take the same steps in decimals. The array function keeps the wide
+    feature projection out of one huge generated method, which the JVM would not compile.
+    """
+
+    def around_mean(m: Column, kind: str) -> Column:
+        n, total, squares = (m[c].cast(kind) for c in ("n", "total", "squares"))
+        whole = F.call_function("div", total, n).cast(kind)
+        spread = squares - (F.lit(2).cast(kind) * whole * total).cast(kind) + (n * whole * whole).cast(kind)
+        rest = _f(total - n * whole) / _f(n)
+        return F.greatest(_f(spread) / _f(n) - rest * rest, F.lit(0.0))
+
+    def variance(m: Column) -> Column:
+        exact = F.when(m["squares"] < F.lit(10**18), around_mean(m, "long")).otherwise(around_mean(m, _WIDE))
+        return F.when(m["n"] > 1, exact).otherwise(F.lit(0.0))
+
+    rows = [
+        F.struct(n.cast("long").alias("n"), total.cast("long").alias("total"), squares.cast(_WIDE).alias("squares"))
+        for n, total, squares in moments.values()
+    ]
+    every = F.transform(F.array(*rows), variance)
+    return {name: F.get(every, F.lit(i)) for i, name in enumerate(moments)}
 
 
 def _zero(c: Column) -> Column:
@@ -68,10 +90,14 @@ def feature_columns() -> dict[str, Column]:
     zero = F.lit(0.0)
     seconds = F.greatest((c("end_us") - c("start_us")) / F.lit(1_000_000.0), F.lit(EPS))
     n, size = c("fwd_n") + c("bwd_n"), c("fwd_bytes") + c("bwd_bytes")
-    gap_n, gap_sum = c("fwd_gap_n") + c("bwd_gap_n"), F.coalesce(c("fwd_gap_sum"), F.lit(0)) + F.coalesce(
-        c("bwd_gap_sum"), F.lit(0)
-    )
-    len_var = _variance(n, size, c("fwd_len_sq") + c("bwd_len_sq"))
+    sums = {d: F.coalesce(c(f"{d}_gap_sum"), F.lit(0)) for d in ("fwd", "bwd")}
+    gap_n, gap_sum = c("fwd_gap_n") + c("bwd_gap_n"), sums["fwd"] + sums["bwd"]
+    var = _variances({
+        "len": (n, size, c("fwd_len_sq") + c("bwd_len_sq")),
+        "gap": (gap_n, gap_sum, c("fwd_gap_sq") + c("bwd_gap_sq")),
+        **{f"{d}_len": (c(f"{d}_n"), c(f"{d}_bytes"), c(f"{d}_len_sq")) for d in sums},
+        **{f"{d}_gap": (c(f"{d}_gap_n"), total, c(f"{d}_gap_sq")) for d, total in sums.items()},
+    })
     out: dict[str, Column] = {
         "Destination Port": _f("dst_port"),
         "Flow Duration": seconds * F.lit(1e6),
@@ -82,14 +108,14 @@ def feature_columns() -> dict[str, Column]:
         "Flow Bytes/s": _f(size) / seconds,
         "Flow Packets/s": _f(n) / seconds,
         "Flow IAT Mean": _ratio(gap_sum, gap_n),
-        "Flow IAT Std": F.sqrt(_variance(gap_n, gap_sum, c("fwd_gap_sq") + c("bwd_gap_sq"))),
+        "Flow IAT Std": F.sqrt(var["gap"]),
         "Flow IAT Max": _zero(F.greatest("fwd_gap_max", "bwd_gap_max")),
         "Flow IAT Min": _zero(F.least("fwd_gap_min", "bwd_gap_min")),
         "Min Packet Length": _zero(F.least("fwd_len_min", "bwd_len_min")),
         "Max Packet Length": _zero(F.greatest("fwd_len_max", "bwd_len_max")),
         "Packet Length Mean": _ratio(size, n),
-        "Packet Length Std": F.sqrt(len_var),
-        "Packet Length Variance": len_var,
+        "Packet Length Std": F.sqrt(var["len"]),
+        "Packet Length Variance": var["len"],
         "CWE Flag Count": _f("cwr_count"),
         "Down/Up Ratio": _ratio(c("bwd_n"), c("fwd_n")),
         "Average Packet Size": _ratio(size, n),
@@ -102,15 +128,15 @@ def feature_columns() -> dict[str, Column]:
         out[f"{f} Flag Count"] = _f(f"{f.lower()}_count")
     for d, label in (("fwd", "Fwd"), ("bwd", "Bwd")):
         dn, db = c(f"{d}_n"), c(f"{d}_bytes")
-        gn, gs = c(f"{d}_gap_n"), F.coalesce(c(f"{d}_gap_sum"), F.lit(0))
+        gn, gs = c(f"{d}_gap_n"), sums[d]
         out |= {
             f"{label} Packet Length Max": _zero(c(f"{d}_len_max")),
             f"{label} Packet Length Min": _zero(c(f"{d}_len_min")),
             f"{label} Packet Length Mean": _ratio(db, dn),
-            f"{label} Packet Length Std": F.sqrt(_variance(dn, db, c(f"{d}_len_sq"))),
+            f"{label} Packet Length Std": F.sqrt(var[f"{d}_len"]),
             f"{label} IAT Total": _f(gs),
             f"{label} IAT Mean": _ratio(gs, gn),
-            f"{label} IAT Std": F.sqrt(_variance(gn, gs, c(f"{d}_gap_sq"))),
+            f"{label} IAT Std": F.sqrt(var[f"{d}_gap"]),
             f"{label} IAT Max": _zero(c(f"{d}_gap_max")),
             f"{label} IAT Min": _zero(c(f"{d}_gap_min")),
             f"{label} PSH Flags": _f(f"{d}_psh"),

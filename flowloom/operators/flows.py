@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 FLOW_KEY = ("src_ip", "src_port", "dst_ip", "dst_port", "protocol")
 DEFAULT_TIMEOUT_US = 120_000_000
-DEFAULT_SLICE_US = 10_000_000
+SHORT_SLICE_US = 10_000_000
+# The square of one gap, at most as long as the time-out, must fit a long.
+MAX_TIMEOUT_US = 2_000_000_000
 MAX_GROUP_ROWS = 5_000_000
 
 # TCP flag bits.
@@ -72,7 +74,7 @@ def with_flow_key(packets: DataFrame) -> DataFrame:
     )
 
 
-def largest_slice(packets: DataFrame, slice_us: int = DEFAULT_SLICE_US) -> int:
+def largest_slice(packets: DataFrame, slice_us: int) -> int:
     """Packets in the fullest (5-tuple, slice); one map-side combined count."""
     counts = (
         with_flow_key(packets)
@@ -84,15 +86,14 @@ def largest_slice(packets: DataFrame, slice_us: int = DEFAULT_SLICE_US) -> int:
 
 
 def choose_slicing(packets: DataFrame, timeout_us: int = DEFAULT_TIMEOUT_US) -> dict:
-    """Pick slice width and pre-aggregation from the fullest slice.
+    """Widest slices that stay small enough; wide slices leave few rows to stitch.
 
-    If a slice would hold too many packets, slices shrink to one second and packets with one
-    time stamp are summed first. A slice then holds at most one row per microsecond and
-    direction whatever the data look like.
+    If even short slices would hold too many packets, packets with one time stamp are summed
+    first, and a slice then holds at most one row per microsecond and direction.
     """
-    width = min(DEFAULT_SLICE_US, timeout_us)
-    if largest_slice(packets, width) <= MAX_GROUP_ROWS:
-        return {"slice_us": width, "preaggregate": False}
+    for width in (timeout_us, min(SHORT_SLICE_US, timeout_us)):
+        if largest_slice(packets, width) <= MAX_GROUP_ROWS:
+            return {"slice_us": width, "preaggregate": False}
     return {"slice_us": min(1_000_000, timeout_us), "preaggregate": True}
 
 
@@ -128,7 +129,7 @@ def _atoms(keyed: DataFrame, slice_us: int, preaggregate: bool) -> DataFrame:
     )
 
 
-def with_interarrival(packets: DataFrame, slice_us: int = DEFAULT_SLICE_US,
+def with_interarrival(packets: DataFrame, slice_us: int = SHORT_SLICE_US,
                       timeout_us: int = DEFAULT_TIMEOUT_US) -> DataFrame:
     """Packets with ``session`` number and ``iat_us`` to the previous packet of its direction.
 
@@ -207,12 +208,19 @@ def _stitch(segments: DataFrame, timeout_us: int) -> DataFrame:
     return out.drop("_new", "_start", *[f"_{d}_prev" for d in _DIRS])
 
 
+def _wide_sum(square: Column) -> Column:
+    """Exact sum of non-negative longs beyond the long range: high and low halves add up apart."""
+    low = F.sum(square.bitwiseAND(F.lit(2**31 - 1))).cast("decimal(38,0)")
+    high = F.sum(F.shiftright(square, 31)).cast("decimal(20,0)")
+    return (low + high * F.lit(2**31).cast("decimal(11,0)")).cast("decimal(38,0)")
+
+
 def _merge(stitched: DataFrame) -> DataFrame:
     """Slice rows of one flow to the flow row."""
     aggs = [F.min("first_us").alias("start_us"), F.max("last_us").alias("end_us")]
     for d in _DIRS:
         cross = F.col(f"{d}_first") - F.col(f"{d}_prev")
-        wide = cross.cast("decimal(19,0)")
+        square = F.col(f"{d}_gap_sq") + F.coalesce(cross * cross, F.lit(0))
         aggs += [F.sum(f"{d}_{c}").alias(f"{d}_{c}") for c in _SUMS]
         aggs += [
             F.min(f"{d}_len_min").alias(f"{d}_len_min"),
@@ -221,9 +229,7 @@ def _merge(stitched: DataFrame) -> DataFrame:
             F.max(F.greatest(f"{d}_gap_max", cross)).alias(f"{d}_gap_max"),
             (F.max(f"{d}_last") - F.min(f"{d}_first")).alias(f"{d}_gap_sum"),
             F.greatest(F.sum(f"{d}_n") - 1, F.lit(0)).alias(f"{d}_gap_n"),
-            F.sum(
-                F.col(f"{d}_gap_sq").cast("decimal(38,0)") + F.coalesce(wide * wide, F.lit(0))
-            ).cast("decimal(38,0)").alias(f"{d}_gap_sq"),
+            _wide_sum(square).alias(f"{d}_gap_sq"),
         ]
     aggs += [F.sum(f"{f}_count").alias(f"{f}_count") for f in _FLAG_NAMES]
     return stitched.groupBy(*FLOW_KEY, "session").agg(*aggs)
@@ -236,7 +242,9 @@ def flow_moments(
     preaggregate: bool = False,
 ) -> DataFrame:
     """One row per flow with every additive measure the features need."""
-    width = min(slice_us or DEFAULT_SLICE_US, timeout_us)
+    if timeout_us > MAX_TIMEOUT_US:
+        raise ValueError(f"time-out above {MAX_TIMEOUT_US} us")
+    width = min(slice_us or SHORT_SLICE_US, timeout_us)
     atoms = _atoms(with_flow_key(packets), width, preaggregate)
     return _merge(_stitch(_segments(atoms), timeout_us))
 

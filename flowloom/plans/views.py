@@ -44,14 +44,14 @@ VIEWS = {
                case when event_id % 3 = 0 then cport else sport end as dst_port,
                case when event_type = 'signup' then 17 else 6 end as protocol,
                40 + vlen as length, vlen as payload_length, flags
-        from (select event_id, event_type, {us} as us, cast(floor(value) as int) as vlen, {k} as flags,
+        from (select event_id, event_type, us, cast(floor(value) as int) as vlen, k as flags,
                      concat('10.', cast(user_id % 4 as varchar(9)), '.',
                             cast(cast((user_id - user_id % 256) / 256 as int) % 256 as varchar(9)),
                             '.', cast(user_id % 256 as varchar(9))) as cli,
-                     concat('192.168.1.', cast({k} % 2 as varchar(9))) as svr,
+                     concat('192.168.1.', cast(k % 2 as varchar(9))) as svr,
                      cast(1024 + user_id % 60000 as int) as cport,
-                     case when {k} % 2 = 0 then 80 else 443 end as sport
-              from {events}) e""",
+                     case when k % 2 = 0 then 80 else 443 end as sport
+              from (select event_id, event_type, user_id, value, {us} as us, {k} as k from {events}) r) e""",
     # Dirty labelled flows: nulls, infinities, copies, a doubled column, untidy labels.
     "flows_raw": """
         select l_orderkey, l_linenumber, l_shipdate as flow_ts,

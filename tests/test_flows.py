@@ -78,6 +78,8 @@ def test_flow_invariants(spark, sf_dir):
 
 def test_crowded_slices_are_noticed(spark, sf_dir, monkeypatch):
     df = view(spark, sf_dir, "packets")
+    assert flows.choose_slicing(df) == {"slice_us": 120_000_000, "preaggregate": False}
+    monkeypatch.setattr(flows, "MAX_GROUP_ROWS", flows.largest_slice(df, 120_000_000) - 1)
     assert flows.choose_slicing(df) == {"slice_us": 10_000_000, "preaggregate": False}
     monkeypatch.setattr(flows, "MAX_GROUP_ROWS", 1)
     assert flows.choose_slicing(df) == {"slice_us": 1_000_000, "preaggregate": True}
