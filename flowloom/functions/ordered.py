@@ -175,16 +175,32 @@ def quantiles(
     return out
 
 
-def with_buckets(df: DataFrame, order: str, name: str = "_bucket", buckets: int | None = None) -> DataFrame:
-    """Cut a numeric order column into about equally full ranges; equal values stay together."""
+def with_buckets(df: DataFrame, order: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """Cut a total order into about equally full ranges ``(_bucket, _sub)``.
+
+    Ranges follow the first (numeric) order column. A value that alone fills more than a range
+    gets a range of its own, which the second order column, if any, cuts further.
+    """
     if buckets is None:
         buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(2, min(buckets, 2000))
     probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), probs, SKETCH).alias("c")).first()["c"]
-    splits = [-math.inf, *sorted(set(cuts or [0.0])), math.inf]
-    cutter = Bucketizer(splits=splits, inputCol="_cut", outputCol=name, handleInvalid="keep")
-    return cutter.transform(df.withColumn("_cut", F.col(order).cast("double"))).drop("_cut")
+    main = F.col(order[0]).cast("double")
+    cuts = df.agg(F.percentile_approx(main, probs, SKETCH).alias("c")).first()["c"] or [0.0]
+    hot = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b}) if len(order) > 1 else []
+    splits = {-math.inf, *cuts, *[math.nextafter(v, math.inf) for v in hot], math.inf}
+    cutter = Bucketizer(splits=sorted(splits), inputCol="_cut", outputCol="_bucket", handleInvalid="keep")
+    out = cutter.transform(df.withColumn("_cut", main))
+    sub = F.lit(0)
+    if hot:
+        second = F.col(order[1]).cast("double")
+        is_hot = F.col("_cut").isin(*hot)
+        rows = (
+            out.where(is_hot).groupBy("_cut").agg(F.percentile_approx(second, probs, SKETCH).alias("c")).collect()
+        )
+        table = F.create_map(*[x for r in rows for x in (F.lit(r["_cut"]), F.array(*[F.lit(float(v)) for v in sorted(set(r["c"]))]))])
+        sub = F.when(is_hot, F.size(F.filter(F.try_element_at(table, F.col("_cut")), lambda c: c <= second))).otherwise(sub)
+    return out.withColumn("_sub", sub).drop("_cut")
 
 
 def running_totals(
@@ -197,30 +213,30 @@ def running_totals(
 ) -> DataFrame:
     """Add cumulative sums (including the current row) in ``order``, per group if given.
 
-    ``order[0]`` must be numeric and should be close to unique: rows are cut into ranges of it,
-    summed inside each range, and shifted by the totals of the ranges before. A group that holds
-    most rows is therefore spread over all ranges.
+    ``order[0]`` (and ``order[1]`` where ``order[0]`` has very frequent values) must be numeric.
+    Rows are cut into ranges of the order, summed inside each range, and shifted by the totals
+    of the ranges before. A group that holds most rows is therefore spread over all ranges.
     """
-    cut = with_buckets(df, order[0], buckets=buckets)
+    cut = with_buckets(df, order, buckets)
     cut = cut.select("*", *[e.alias(f"_s_{n}") for n, e in sums.items()])
-    rank = [F.col(c).desc() if descending else F.col(c) for c in order]
-    upto = Window.partitionBy(*groups, "_bucket").orderBy(*rank).rowsBetween(Window.unboundedPreceding, 0)
+    spot = ["_bucket", "_sub"]
+
+    def rank(cols: Sequence[str]) -> list[Column]:
+        return [F.col(c).desc() if descending else F.col(c) for c in cols]
+
+    upto = Window.partitionBy(*groups, *spot).orderBy(*rank(order)).rowsBetween(Window.unboundedPreceding, 0)
     local = cut.select("*", *[F.sum(f"_s_{n}").over(upto).alias(f"_l_{n}") for n in sums])
-    edge = F.col("_bucket").desc() if descending else F.col("_bucket")
-    earlier = Window.partitionBy(*[f"_g{i}" for i in range(len(groups))]).orderBy(edge).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    names = [f"_g{i}" for i in range(len(groups))]
+    earlier = Window.partitionBy(*names).orderBy(*rank(["_b", "_u"])).rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.groupBy(
-        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], "_bucket"
+        *[F.col(g).alias(n) for g, n in zip(groups, names)], F.col("_bucket").alias("_b"), F.col("_sub").alias("_u")
     ).agg(*[F.sum(f"_s_{n}").alias(f"_t_{n}") for n in sums])
     offsets = totals.select(
-        *[f"_g{i}" for i in range(len(groups))],
-        F.col("_bucket").alias("_b"),
-        *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums],
+        *names, "_b", "_u", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums]
     )
-    on = F.col("_bucket") == F.col("_b")
-    for i, g in enumerate(groups):
-        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    on = (F.col("_bucket") == F.col("_b")) & (F.col("_sub") == F.col("_u"))
+    for g, n in zip(groups, names):
+        on = on & F.col(g).eqNullSafe(F.col(n))
     return local.join(offsets, on).select(
         *df.columns, *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums]
     )

@@ -149,7 +149,10 @@ def alert_breakdown(
 
 def admit(events: DataFrame, max_events: int, window_us: int, order: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
     """Events that a sliding limit lets through: fewer than ``max_events`` admitted in ``[ts - window, ts]``."""
-    times = events.groupBy(*groups, "ts_us").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    # Of the events of one microsecond only the first few can pass; ranks are limited before the shuffle.
+    rank = F.row_number().over(Window.partitionBy(*groups, "ts_us").orderBy(*order))
+    events = events.withColumn("_rank", rank).where(F.col("_rank") <= max_events).drop("_rank")
+    times = events.select(*groups, "ts_us").distinct()
     episodes = _episodes(times, window_us, groups)
     on = F.col("e.ts_us") == F.col("t.ts_us")
     for g in groups:

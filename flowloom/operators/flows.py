@@ -133,25 +133,32 @@ def with_interarrival(packets: DataFrame, slice_us: int = SHORT_SLICE_US,
                       timeout_us: int = DEFAULT_TIMEOUT_US) -> DataFrame:
     """Packets with ``session`` number and ``iat_us`` to the previous packet of its direction.
 
-    The first packet of a direction in a flow has a null gap. Packet-level output, cut into
-    slices; the values that cross a slice border come from the stitched slice rows.
+    The first packet of a direction in a flow has a null gap. Order is only needed between
+    distinct time stamps; packets that share one are zero apart but for the one with the
+    smallest id. The join back to the packets may be split by the skew join.
     """
-    keyed = with_flow_key(packets).withColumn("slice", _slice(slice_us))
-    within = Window.partitionBy(*FLOW_KEY, "slice").orderBy("is_fwd", "ts_us", "packet_id")
-    local = keyed.withColumn(
-        "_prev", F.when(F.lag("is_fwd").over(within) == F.col("is_fwd"), F.lag("ts_us").over(within))
+    keyed = with_flow_key(packets)
+    times = (
+        keyed.withColumn("slice", _slice(slice_us))
+        .groupBy(*FLOW_KEY, "slice", "is_fwd", "ts_us")
+        .agg(F.min("packet_id").alias("_first"))
     )
-    segments = _stitch(_segments(_atoms(with_flow_key(packets), slice_us, False)), timeout_us)
-    border = segments.select(
-        *FLOW_KEY, "slice", "session",
-        F.col("fwd_prev").alias("_fwd_prev"), F.col("bwd_prev").alias("_bwd_prev"),
-    )
-    joined = local.join(border, [*FLOW_KEY, "slice"])
-    prev = F.coalesce(
-        F.col("_prev"),
-        F.when(F.col("is_fwd"), F.col("_fwd_prev")).otherwise(F.col("_bwd_prev")),
+    ends = [F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us")]
+    for d in _DIRS:
+        own = F.when(F.col("is_fwd") if d == "fwd" else ~F.col("is_fwd"), F.col("ts_us"))
+        ends += [F.min(own).alias(f"{d}_first"), F.max(own).alias(f"{d}_last")]
+    border = _stitch(times.groupBy(*FLOW_KEY, "slice").agg(*ends), timeout_us).select(
+        *FLOW_KEY, "slice", "session", "fwd_prev", "bwd_prev")
+    within = Window.partitionBy(*FLOW_KEY, "slice").orderBy("is_fwd", "ts_us")
+    local = F.when(F.lag("is_fwd").over(within) == F.col("is_fwd"), F.lag("ts_us").over(within))
+    prev = F.coalesce("_local", F.when(F.col("is_fwd"), F.col("fwd_prev")).otherwise(F.col("bwd_prev")))
+    placed = (
+        times.withColumn("_local", local)
+        .join(border, [*FLOW_KEY, "slice"])
+        .select(*FLOW_KEY, "is_fwd", "ts_us", "session", "_first", prev.alias("_prev"))
     )
-    return joined.withColumn("iat_us", F.col("ts_us") - prev).drop("_prev", "_fwd_prev", "_bwd_prev")
+    gap = F.when(F.col("packet_id") == F.col("_first"), F.col("ts_us") - F.col("_prev")).otherwise(F.lit(0))
+    return keyed.join(placed, [*FLOW_KEY, "is_fwd", "ts_us"]).withColumn("iat_us", gap).drop("_first", "_prev")
 
 
 def _segments(atoms: DataFrame) -> DataFrame:

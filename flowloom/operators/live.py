@@ -12,14 +12,16 @@ MIN_PACKETS = 5
 
 
 def active_snapshots(
-    packets: DataFrame, tick_us: int = TICK_US, timeout_us: int = DEFAULT_TIMEOUT_US, min_packets: int = MIN_PACKETS
+    packets: DataFrame, tick_us: int = TICK_US, timeout_us: int = DEFAULT_TIMEOUT_US, min_packets: int = MIN_PACKETS,
+    preaggregate: bool = False,
 ) -> DataFrame:
     """At every tick: totals so far of each flow that has not timed out and has enough packets.
 
     Tick ``k`` sees packets before ``k * tick_us``. Slices of one tick are added up along the
-    flow and each running total is repeated until the next slice or the time-out.
+    flow and each running total is repeated until the next slice or the time-out. Packets with
+    one time stamp are summed first when a tick of one 5-tuple is crowded (``preaggregate``).
     """
-    stitched = _stitch(_segments(_atoms(with_flow_key(packets), tick_us, False)), timeout_us)
+    stitched = _stitch(_segments(_atoms(with_flow_key(packets), tick_us, preaggregate)), timeout_us)
     order = Window.partitionBy(*FLOW_KEY, "session").orderBy("slice")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     so_far = stitched.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowloom.functions import net, text
-from flowloom.operators import geo, live
+from flowloom.operators import flows, geo, live
 from flowloom.plans.flow_plans import FLOW_CTE, KEY
 from flowloom.plans.registry import register
 from flowloom.plans.views import cte, table, view
@@ -133,4 +133,6 @@ def j6b(spark, sf_dir):
   select t.src_ip, t.src_port, t.dst_ip, t.dst_port, t.protocol, t.session, tick, count(*) as total_packets, sum(length)::bigint as total_bytes, min(ts_us) as start_us, max(ts_us) as last_us
   from ticks t join sessions s using ({KEY}, session) where s.ts_us < tick * 5000000 group by all having count(*) >= 5 and tick * 5000000 - max(ts_us) <= 120000000""")
 def st3(spark, sf_dir):
-    return live.active_snapshots(view(spark, sf_dir, "packets"))
+    packets = view(spark, sf_dir, "packets")
+    crowded = flows.largest_slice(packets, live.TICK_US) > flows.MAX_GROUP_ROWS
+    return live.active_snapshots(packets, preaggregate=crowded)

@@ -105,3 +105,21 @@ def test_published_sample_flow(spark):
     lengths = [150] * 10 + [1500] * 8
     mean = sum(lengths) / 18
     assert f["packet_length_variance"] == pytest.approx(sum((x - mean) ** 2 for x in lengths) / 18)
+
+
+def test_interarrival_with_shared_time_stamps(spark, sf_dir):
+    """A 5-tuple with most packets and few distinct times agrees with a plain walk through its packets."""
+    df = view(spark, sf_dir, "packets").withColumns({
+        "src_ip": F.lit("a"), "dst_ip": F.lit("b"), "src_port": F.lit(1), "dst_port": F.lit(2), "protocol": F.lit(6),
+        "ts_us": F.col("ts_us") - F.col("ts_us") % 40_000_000})
+    got = {r["packet_id"]: (r["session"], r["iat_us"]) for r in flows.with_interarrival(df).collect()}
+    last = prev = None
+    session = 0
+    rows = sorted(df.collect(), key=lambda r: (r["ts_us"], r["packet_id"]))
+    for r in rows:
+        if last is None or r["ts_us"] - last > 120_000_000:
+            session, prev = session + 1, None
+        last = r["ts_us"]
+        assert got[r["packet_id"]] == (session, None if prev is None else r["ts_us"] - prev)
+        prev = r["ts_us"]
+    assert len(got) == len(rows)

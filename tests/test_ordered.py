@@ -57,3 +57,14 @@ def test_trailing_rows(numbers, block):
         w = past.setdefault(r["g"], [])
         w.append(r["a"])
         assert (r["m"], r["k"]) == (max(w[-5:]), min(len(w), 5))
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_totals_split_a_frequent_value(spark, descending):
+    """Two thirds of the rows share one order value; the second column cuts them further."""
+    df = spark.createDataFrame([(5 if i % 3 else i, i) for i in range(900)], "t long, id long")
+    cut = ordered.with_buckets(df, ["t", "id"], 20)
+    assert cut.groupBy("_bucket", "_sub").count().agg(F.max("count")).first()[0] < 120
+    out = ordered.running_totals(df, ["t", "id"], {"s": F.lit(1).cast("long")}, descending=descending, buckets=20)
+    rows = sorted(out.collect(), key=lambda r: (r["t"], r["id"]), reverse=descending)
+    assert [r["s"] for r in rows] == list(range(1, 901))
