@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.operators import evaluate, score
+from flowloom.operators import evaluate, scale, score
 
 FEATURES = "features"
 WEIGHT = "_weight"
@@ -75,11 +75,27 @@ def with_class_weights(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn(WEIGHT, weight)
 
 
-def fit(spec: ModelSpec, train: DataFrame, contract: Sequence[str], label: str, seed: int = 42, classes: int | None = None) -> PipelineModel:
-    """Train one model on assembled contract columns (or a ready ``features`` vector)."""
+def fit(
+    spec: ModelSpec,
+    train: DataFrame,
+    contract: Sequence[str],
+    label: str,
+    seed: int = 42,
+    classes: int | None = None,
+    scaler: scale.Params | None = None,
+) -> PipelineModel:
+    """Train one model on the contract columns (or on a ready ``features`` vector).
+
+    With ``scaler`` parameters, fitted on the training rows, scaling is the first pipeline stage,
+    so batch and live scoring cannot miss it.
+    """
     classes = classes or int(train.agg(F.max(label)).first()[0]) + 1
     data = with_class_weights(train, label) if spec.balanced else train
-    stages = [] if FEATURES in data.columns else [VectorAssembler(inputCols=list(contract), outputCol=FEATURES)]
+    stages: list = []
+    if FEATURES not in data.columns:
+        names = [scale.scaled_name(c) for c in contract] if scaler else list(contract)
+        stages = [scale.scaler_stage({c: scaler[c] for c in contract})] if scaler else []
+        stages.append(VectorAssembler(inputCols=names, outputCol=FEATURES))
     return Pipeline(stages=[*stages, estimator(spec, label, len(contract), classes, seed)]).fit(data)
 
 
@@ -92,7 +108,8 @@ def predict(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> Data
     """Score rows once and decide at the threshold."""
     scored = probabilities(model, df.drop("prediction"))
     scored = scored.withColumn("probability", F.element_at("probabilities", -1)).drop("rawPrediction", "prediction", FEATURES)
-    return score.decide(scored, threshold)
+    twins = [c for c in scored.columns if c.endswith(scale.scaled_name(""))]
+    return score.decide(scored.drop(*twins), threshold)
 
 
 def evaluate_split(scored: DataFrame, label: str, prefix: str) -> dict[str, float]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +49,16 @@ def params_frame(spark: SparkSession, params: Params) -> DataFrame:
 def params_from_frame(frame: DataFrame) -> Params:
     """Read parameters back; one row per feature, so the table is as small as the schema."""
     return {r["feature"]: (r["centre"], r["divisor"]) for r in frame.collect()}
+
+
+def scaled_name(column: str) -> str:
+    """Name of the scaled twin of a feature inside a model pipeline."""
+    return f"{column}__scaled"
+
+
+def scaler_stage(params: Params) -> SQLTransformer:
+    """The fitted scaler as a pipeline stage, saved and loaded together with the model."""
+    cells = ", ".join(
+        f"(CAST(`{c}` AS DOUBLE) - CAST('{a!r}' AS DOUBLE)) / CAST('{b!r}' AS DOUBLE) AS `{scaled_name(c)}`" for c, (a, b) in params.items()
+    )
+    return SQLTransformer(statement=f"SELECT *, {cells} FROM __THIS__")

@@ -440,10 +440,10 @@ def j1(spark, sf_dir):
     return runs.flag_alerts(df.select("flow_index"), df.where("probability >= 0.5"))
 
 
-@register("j2_runs_alerts", _ALERTS + "select run_id, total_flows, flow_index from (select * from runs union all select 99, 0, 0, 0) r left join (select run_id, flow_index from alerts) a using (run_id)")
+@register("j2_runs_alerts", _ALERTS + "select run_id, total_flows, flow_index from (select * from runs union all select r_regionkey + 99, 0, 0, 0 from region) r left join (select run_id, flow_index from alerts) a using (run_id)")
 def j2(spark, sf_dir):
-    idle = table(spark, sf_dir, "region").where("r_regionkey = 0").select(
-        F.lit(99).cast("long").alias("run_id"), *[F.lit(0).cast("long").alias(c) for c in ("started_us", "finished_us", "total_flows")])
+    idle = table(spark, sf_dir, "region").select(
+        (F.col("r_regionkey") + 99).cast("long").alias("run_id"), *[F.lit(0).cast("long").alias(c) for c in ("started_us", "finished_us", "total_flows")])
     every = _runs(spark, sf_dir).unionByName(idle)
     found = view(spark, sf_dir, "scored").where("probability >= 0.5").select("run_id", "flow_index")
     return runs.runs_with_alerts(every, found).select("run_id", "total_flows", "flow_index")

@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,8 +14,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flowloom.operators.alerts import COOLDOWN_US, HISTORY, THRESHOLD, WINDOW_US, severity
 from flowloom.operators.evaluate import binary_scores, confusion_counts
+from flowloom.operators.features import FEATURE_NAMES, feature_columns, snake
 from flowloom.operators.flows import FLOW_KEY, TCP_FLAGS, flag, with_flow_key
 from flowloom.operators.live import MIN_PACKETS, TICK_US
+from flowloom.operators.models import predict
 
 PACKET_SCHEMA = (
     "packet_id long, ts_us long, src_ip string, dst_ip string, src_port int, dst_port int, protocol int, "
@@ -80,6 +83,25 @@ def flow_stream(packets: DataFrame, timeout: str = "120 seconds") -> DataFrame:
     return flows.withColumn("session", F.unix_micros("w.start")).drop("_fwd", "_bwd")
 
 
+def scored_flows(moments: DataFrame, model: PipelineModel, contract: Sequence[str], threshold: float = 0.5) -> DataFrame:
+    """Flow results (stream or table): features, one model pass, decision, and the columns the sinks need.
+
+    A pipeline model that starts with its scaler scales live flows exactly as in training.
+    """
+    names = tuple(n for n in FEATURE_NAMES if snake(n) in contract)
+    exprs = feature_columns()
+    rows = moments.select(
+        *FLOW_KEY,
+        "session",
+        F.col("start_us").alias("timestamp"),
+        ((F.col("end_us") - F.col("start_us")) / F.lit(1_000_000.0)).alias("duration"),
+        (F.col("fwd_n") + F.col("bwd_n")).alias("packets"),
+        (F.col("fwd_bytes") + F.col("bwd_bytes")).alias("bytes"),
+        *[exprs[n].alias(snake(n)) for n in names],
+    )
+    return predict(model, rows, threshold)
+
+
 def attack_windows(flows: DataFrame, width: str, is_attack: Column) -> DataFrame:
     """Flows and attacks per tumbling window of the closing time of finished flows."""
     return flows.groupBy(F.window(F.window_time("w"), width).alias("window")).agg(

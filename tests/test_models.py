@@ -52,3 +52,20 @@ def test_multiclass_forest_and_one_vs_rest(spark, parts, sf_dir):
     assert len(models.probabilities(forest, df).first()["probabilities"]) == 3
     boosted = models.fit(models.ModelSpec("G", "boosted", {"maxIter": 2, "maxDepth": 2}), df, contract, "y")
     assert {r[0] for r in boosted.transform(df).select("prediction").distinct().collect()} <= {0.0, 1.0, 2.0}
+
+
+def test_scaler_travels_with_the_model(spark, sf_dir, tmp_path):
+    from flowloom.operators import scale
+    from flowloom.plans.views import view
+
+    df, cols = view(spark, sf_dir, "labelled"), ["fwd_len", "bytes_s", "iat_mean"]
+    params = scale.fit_scaler(df, cols, "standard")
+    spec = models.ModelSpec("NN", "network", {"hidden": [4], "maxIter": 5})
+    inside = models.fit(spec, df, cols, "label_binary", classes=2, scaler=params)
+    outside = models.fit(spec, scale.apply_scaler(df, params), cols, "label_binary", classes=2)
+    inside = models.load(models.save(inside, str(tmp_path / "m")))
+    a = models.predict(inside, df)
+    b = models.predict(outside, scale.apply_scaler(df, params))
+    assert "fwd_len__scaled" not in a.columns
+    pick = ("flow_key", "probability")
+    assert sorted(map(tuple, a.select(*pick).collect())) == sorted(map(tuple, b.select(*pick).collect()))

@@ -2,8 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowloom.operators import alerts, flows, live
-from flowloom.operators.features import flow_features
+from flowloom.operators import models, score
+from flowloom.operators.features import FEATURES, flow_features
 from flowloom.plans.views import view
+from flowloom.sources import stores
 from flowloom.streaming import packet_flows as ps
 
 KEY = flows.FLOW_KEY
@@ -96,3 +98,21 @@ def test_alert_and_admission_streams_equal_batch(spark, sf_dir, tmp_path):
     passed = run(spark, ps.admission_stream(_source(spark, folder), "run_id", 2, 20_000_000, ["packet_id"]), "append", "passed_out", tmp_path)
     want = alerts.admit(df, 2, 20_000_000, ["packet_id"], ["run_id"])
     assert rows(passed, "run_id", "packet_id") == rows(want, "run_id", "packet_id")
+
+
+def test_live_scoring_equals_batch_scoring(spark, sf_dir, packet_files, tmp_path):
+    moments = flows.flow_moments(view(spark, sf_dir, "packets"))
+    train = flow_features(moments).withColumn("y", (F.col("destination_port") == 80).cast("int"))
+    contract = [f for f in FEATURES if f != "destination_port"]
+    model = models.fit(models.ModelSpec("RF", "forest", {"numTrees": 5, "maxDepth": 3}, True), train, contract, "y", classes=2)
+    stream = ps.scored_flows(ps.flow_stream(ps.packet_stream(spark, packet_files, max_files=1)), model, contract)
+    q = stream.writeStream.foreachBatch(stores.flow_sinks(str(tmp_path / "flows"), str(tmp_path / "attacks"))).trigger(
+        availableNow=True).option("checkpointLocation", str(tmp_path / "live")).start()
+    q.awaitTermination(240)
+    assert q.exception() is None
+    got = spark.read.csv(str(tmp_path / "flows"), header=True, inferSchema=True).where("src_ip <> '0.0.0.1'")
+    want = score.flow_file_rows(ps.scored_flows(moments, model, contract))
+    cols = ["src_ip", "src_port", "timestamp", "packets", "bytes", "prediction", "is_attack"]
+    assert rows(got, *cols) == rows(want, *cols)
+    attacks = spark.read.csv(str(tmp_path / "attacks"), header=True)
+    assert attacks.count() == got.where("is_attack").count() > 0
