@@ -6,9 +6,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.operators import evaluate, models, split
+from flowloom.operators import evaluate, models, scale, split
 from flowloom.plans.registry import register
-from flowloom.plans.views import table
+from flowloom.plans.views import table, view
 
 
 def _vectors(spark, sf_dir) -> tuple[DataFrame, list[str]]:
@@ -63,3 +63,19 @@ def m10(spark, sf_dir):
     parts, contract = _parts(spark, sf_dir)
     model = models.fit(SMALL["m1_random_forest"], parts["train"], contract, "y_true", classes=2)
     return evaluate.binary_metrics(models.predict(model, parts["val"].unionByName(parts["test"])))
+
+
+TRAFFIC = ["fwd_len", "bytes_s", "iat_mean"]
+
+
+def traffic_model(spark, sf_dir):
+    """Boosted trees on the labelled traffic, with the scaler inside the pipeline."""
+    train = split.sample_rows(view(spark, sf_dir, "labelled"), 20_000, ["flow_key"])
+    spec = models.ModelSpec("GBT", "boosted", {"maxIter": 20, "maxDepth": 4}, True)
+    return models.fit(spec, train, TRAFFIC, "label_binary", classes=2, scaler=scale.fit_scaler(train, TRAFFIC))
+
+
+@register("m10_score_all_traffic")
+def m10_traffic(spark, sf_dir):
+    scored = models.predict(traffic_model(spark, sf_dir), view(spark, sf_dir, "labelled"))
+    return evaluate.binary_metrics(scored, "label_binary")

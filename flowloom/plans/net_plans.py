@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from flowloom.functions import net, text
 from flowloom.operators import flows, geo, live
+from flowloom.operators.evaluate import safe_div
+from flowloom.operators.labels import day_of_file
 from flowloom.plans.flow_plans import FLOW_CTE, KEY
 from flowloom.plans.registry import register
 from flowloom.plans.views import cte, table, view
@@ -69,12 +71,10 @@ def f7(spark, sf_dir):
     return _ips(spark, sf_dir).select("packet_id", "ip", net.is_ip(ip).alias("valid"), net.ipv4_to_long(ip).alias("number"), net.is_private_ip(ip).alias("private"))
 
 
-@register("f11_file_weekday", "select l_shipdate, dayname(l_shipdate) as day from (select distinct l_shipdate from lineitem)")
+@register("f11_file_weekday", "select strftime(l_shipdate, '%Y-%m-%d') as shipped, dayname(l_shipdate) as day from (select distinct l_shipdate from lineitem)")
 def f11(spark, sf_dir):
-    from flowloom.operators.labels import day_of_file
-
     df = table(spark, sf_dir, "lineitem").select("l_shipdate").distinct()
-    return df.select("l_shipdate", day_of_file(F.concat(F.date_format("l_shipdate", "EEEE"), F.lit("-hours.csv"))).alias("day"))
+    return df.select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("shipped"), day_of_file(F.concat(F.date_format("l_shipdate", "EEEE"), F.lit("-hours.csv"))).alias("day"))
 
 
 @register("f12_thousands", f"select event_id, format('{{:,}}', {_SIZE}) as n from events")
@@ -85,8 +85,6 @@ def f12(spark, sf_dir):
 
 @register("f13_safe_divide", "select l_orderkey, l_linenumber, round(case when l_discount > 0 then l_tax / l_discount else 0 end, 6) as q from lineitem")
 def f13(spark, sf_dir):
-    from flowloom.operators.evaluate import safe_div
-
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(safe_div(F.col("l_tax"), F.col("l_discount")), 6).alias("q"))
 
 
