@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.hashing import HASH_RANGE, hash_order
+from flowloom.functions.lineage import cut
 from flowloom.functions.ordered import SMALL, order_statistics
 
 # Default days per split.
@@ -59,19 +60,19 @@ def stratified_split(
         df, stratum, added = df.withColumn("_all", F.lit(0)), "_all", True
     else:
         added = False
-    sizes = {r[stratum]: r["count"] for r in df.groupBy(stratum).count().collect()}
+    # Class and hash are all the search needs; later rounds read this narrow table.
+    narrow = cut(df.select(stratum, hash_order(key, seed).alias("_h")))
+    sizes = {r[stratum]: r["count"] for r in narrow.groupBy(stratum).count().collect()}
     total = sum(sizes.values())
     test = _share(total, sizes, math.ceil(total * test_size))
     left = {k: n - test[k] for k, n in sizes.items()}
     rest = sum(left.values())
     val = _share(rest, left, math.ceil(rest * val_size / (1 - test_size)))
-    h = hash_order(key, seed)
-    hashed = df.withColumn("_h", h)
     exprs, ranks = {}, {}
     for i, k in enumerate(sizes):
         exprs[str(i)] = F.when(F.col(stratum).eqNullSafe(F.lit(k)), F.col("_h"))
         ranks[str(i)] = sorted({r - 1 for r in (test[k], test[k] + val[k]) if r > 0})
-    cuts = order_statistics(hashed, exprs, ranks, {str(i): n for i, n in enumerate(sizes.values())}, small)
+    cuts = order_statistics(narrow, exprs, ranks, {str(i): n for i, n in enumerate(sizes.values())}, small)
     split: Column | None = None
     for i, k in enumerate(sizes):
         mine = F.col(stratum).eqNullSafe(F.lit(k))
@@ -79,7 +80,7 @@ def stratified_split(
         b = cuts.get((str(i), test[k] + val[k] - 1), -1)
         part = F.when(F.col("_h") <= F.lit(int(a)), "test").when(F.col("_h") <= F.lit(int(b)), "val").otherwise("train")
         split = F.when(mine, part) if split is None else split.when(mine, part)
-    out = hashed.withColumn("split", split if split is not None else F.lit("train")).drop("_h")
+    out = df.withColumn("_h", hash_order(key, seed)).withColumn("split", split if split is not None else F.lit("train")).drop("_h")
     return out.drop("_all") if added else out
 
 
@@ -94,8 +95,8 @@ def sample_rows(df: DataFrame, n: int, key: Sequence[str], seed: int = 42, small
     total = df.count()
     if total <= n:
         return df
-    cut = order_statistics(df, {"h": h}, {"h": [n - 1]}, {"h": total}, small)["h", n - 1]
-    return df.where(h <= F.lit(int(cut)))
+    last = order_statistics(df, {"h": h}, {"h": [n - 1]}, {"h": total}, small)["h", n - 1]
+    return df.where(h <= F.lit(int(last)))
 
 
 def shuffled(df: DataFrame, key: Sequence[str], seed: int = 42) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowloom.functions.hashing import hash_order_sql
-from flowloom.functions.ordered import finite
 from flowloom.operators import audit, clean, columns, labels, scale, split
 from flowloom.plans.registry import register, rounded
 from flowloom.plans.views import cte, table, view
