@@ -2,29 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_dir(spark: SparkSession) -> str | None:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only for a local session."""
+def shared_dir(spark: SparkSession) -> str:
+    """Folder for tables that outlive one plan, readable by the driver and every executor.
+
+    The session's ``spark.checkpoint.dir``; where it is unset, the warehouse, which a cluster shares as well.
+    """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        return None
-    folder = tempfile.mkdtemp(prefix="flowloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_cuts"
+
+
+def session_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that belongs to this application."""
+    return f"{shared_dir(spark).rstrip('/')}/flowloom-{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; unchanged when there is no such folder."""
-    folder = shared_dir(df.sparkSession)
-    if folder is None:
-        return df
-    path = f"{folder.rstrip('/')}/flowloom-{uuid.uuid4().hex}"
+    """Write ``df`` to the shared folder and read it back. ``clear`` removes what a session has written."""
+    path = f"{session_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table this application has written; frames that read them can no longer be run."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
