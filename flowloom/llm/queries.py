@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import bpe, language, packing, quality
+from flowloom.llm import bpe, language, near, packing, quality, substrings
 from flowloom.llm.columns import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+
+OP1_SQL = f"""
+with recursive
+w as (select doc_id, {_WORDS} as ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) = 0 then []::varchar[] when len(ws) < 5 then [array_to_string(ws, ' ')]
+      else [array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)] end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select x.doc_id as a, y.doc_id as b, count(*) as m from s x join s y on x.g = y.g and x.doc_id < y.doc_id group by all),
+e as (select a, b from c join n p on p.doc_id = a join n q on q.doc_id = b where 100 * m >= 75 * (p.n + q.n - m)),
+both_ways as (select a, b from e union all select b, a from e),
+r as (select doc_id as a, doc_id as b from documents union select r.a, t.b from r join both_ways t on t.a = r.b)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, k.c as component_id, d.doc_id = k.c as kept
+from documents d left join n using (doc_id) join (select a, min(b) as c from r group by a) k on k.a = d.doc_id
+"""
+
+
+@register("op1_near_duplicates", OP1_SQL)
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @register("op4_quality")
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -51,6 +73,27 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+OP7_SQL = """
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+x as (select doc_id, unnest(range(1, len(ws) - 11)) as i, ws from w where len(ws) >= 13),
+g as (select doc_id, i, md5(array_to_string(ws[i:i + 12], ' ')) as g from x),
+f as (select g, min(doc_id) as d from g group by g),
+late as (select g.doc_id, g.i from g join f using (g) where f.d < g.doc_id),
+gone as (select distinct doc_id, unnest(range(i, i + 13)) as i from late),
+p as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as i from w),
+k as (select p.doc_id, string_agg(p.word, ' ' order by p.i) filter (where gone.i is null) as kept, count(gone.i) as n
+      from p left join gone on gone.doc_id = p.doc_id and gone.i = p.i group by p.doc_id)
+select w.doc_id, len(w.ws) as n_words, coalesce(k.n, 0) as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256
+from w left join k using (doc_id)
+"""
+
+
+@register("op7_substring_dedup", OP7_SQL)
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @register("op10_language")
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
