@@ -27,12 +27,17 @@ from tokenizers import Tokenizer
 from flowloom.llm.columns import add_columns, groups
 
 WIDE = 64
-#: Pieces that a worker keeps, and the longest that it keeps.
-KEPT_PIECES, KEPT_LENGTH = 200_000, 100
+#: Pieces that a worker keeps of late (and as many of before), and the longest that it keeps.
+KEPT_PIECES, KEPT_LENGTH = 300_000, 100
 _NEVER = np.iinfo(np.int64).max
 #: Python counts these as white space, the tokenizer does not.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile(r"[^\S\x1c-\x1f]+")
+#: The pattern by which the file cuts words, and the same for lower-case ASCII and Latin-1 letters.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SIMPLE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+|\t"
+_LATIN_LETTERS = [chr(i) for i in range(0xDF, 0x100) if i != 0xF7]
+_SIMPLE = re.compile("[!-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]{1,60}")
 
 
 class Merges:
@@ -52,16 +57,12 @@ class Merges:
         return np.where(self.keys[found] == keys, self.ranks[found] * width + at, _NEVER)
 
 
-def merge_rows(rows: list[list[int]], width: int, merges: Merges) -> tuple[np.ndarray, np.ndarray]:
-    """Merge every row (at most ``width`` symbols, a power of two) to its end; all rows step together.
+def merge_rows(symbols: np.ndarray, lengths: np.ndarray, merges: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """Merge every row of ``symbols`` (a power of two wide) to its end; all rows step together.
 
     Returns the symbols of all rows in a line and the number that each row has left.
     """
-    count = len(rows)
-    lengths = np.array([len(r) for r in rows], np.int64)
-    symbols = np.zeros((count, width), np.int64)
-    for i, r in enumerate(rows):
-        symbols[i, : len(r)] = r
+    count, width = symbols.shape
     place = np.arange(width)
     tree = np.full((count, 2 * width), _NEVER, np.int64)
     if width > 1:
@@ -155,6 +156,20 @@ class Encoder:
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.names = {i: t.encode() for t, i in self.vocab.items()} | {i: t.encode() for t, i in self.special.items()}
         self.kept: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
+        # Ids of the single signs of the vocabulary, inside a word and at its end, by code point.
+        signs = {c: i for c, i in self.vocab.items() if len(c) == 1}
+        self.inner, self.last = (np.full(max(map(ord, signs)) + 1, -1, np.int64) for _ in range(2))
+        for c, i in signs.items():
+            self.inner[ord(c)], self.last[ord(c)] = i, self.vocab.get(c + self.suffix, -1)
+        self.simple = self._simple_rules(spec)
+
+    def _simple_rules(self, spec: dict) -> tuple[re.Pattern, dict] | None:
+        """How to cut pieces of ASCII and Latin-1 letters without the library, if the file's pattern is the known one."""
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        if (steps[0].get("pattern") or {}).get("Regex") != _PATTERN or (spec.get("normalizer") or {}).get("normalizers", [{}])[-1].get("type") != "Lowercase":
+            return None
+        return re.compile(_SIMPLE_PATTERN), {ord(c): self.library.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in _LATIN_LETTERS}
 
     def _words(self, pieces: list[str]) -> list[list[str]]:
         """Words of each piece, in the alphabet of the vocabulary. Pieces hold no white space, so blanks part them."""
@@ -170,61 +185,88 @@ class Encoder:
             out[at].append(word)
         return out
 
-    def _symbols(self, word: str) -> list[int]:
-        found = [self.vocab.get(c) for c in word[:-1]]
-        found.append(self.vocab.get(word[-1] + self.suffix))
-        return [x for x in found if x is not None] if None in found else found
-
     def encode_words(self, words: list[str]) -> dict[str, tuple[bytes, bytes]]:
         """Ids (little-endian 32-bit) and decoded bytes of each word."""
-        symbols = {w: self._symbols(w) for w in words}
+        sizes = np.array([len(w) for w in words], np.int64)
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        ends = np.cumsum(sizes)
+        known = np.where(points < len(self.inner), self.inner[np.minimum(points, len(self.inner) - 1)], -1)
+        known[ends - 1] = np.where(points[ends - 1] < len(self.last), self.last[np.minimum(points[ends - 1], len(self.last) - 1)], -1)
+        owner = np.repeat(np.arange(len(words)), sizes)[known >= 0]  # a sign that the vocabulary lacks is passed over
+        known, sizes = known[known >= 0], np.bincount(owner, minlength=len(words))
+        begins = np.cumsum(sizes) - sizes
         out, low = {}, -1
         for width in (1, 2, 4, 8, 16, 32, WIDE):
-            names = [w for w, s in symbols.items() if low < len(s) <= width]
-            for at in range(0, len(names), 20_000):
-                part = names[at : at + 20_000]
-                line, left = merge_rows([symbols[w] for w in part], width, self.merges)
-                data, tokens = line.astype("<u4").tobytes(), [self.names[i] for i in line.tolist()]
-                start = 0
-                for w, end in zip(part, np.cumsum(left).tolist(), strict=True):
-                    out[w] = data[4 * start : 4 * end], b" ".join(tokens[start:end])
-                    start = end
+            chosen = np.flatnonzero((sizes > low) & (sizes <= width))
+            for at in range(0, len(chosen), 20_000):
+                part = chosen[at : at + 20_000]
+                place = np.arange(width)
+                inside = place < sizes[part, None]
+                symbols = np.where(inside, known[np.minimum(begins[part, None] + place, max(0, len(known) - 1))], 0) if len(known) else np.zeros(inside.shape, np.int64)
+                line, left = merge_rows(symbols, sizes[part], self.merges)
+                self._name([words[i] for i in part.tolist()], line, np.cumsum(left).tolist(), out)
             low = max(width, 1)
-        for w, s in symbols.items():
-            if len(s) > WIDE:
-                line = merge_long(s, self.merges)
-                out[w] = line.astype("<u4").tobytes(), b" ".join([self.names[i] for i in line.tolist()])
+        for i in np.flatnonzero(sizes > WIDE).tolist():
+            line = merge_long(known[begins[i] : begins[i] + sizes[i]].tolist(), self.merges)
+            self._name([words[i]], line, [len(line)], out)
         return out
 
+    def _name(self, words: list[str], line: np.ndarray, ends: list[int], out: dict) -> None:
+        data, tokens = line.astype("<u4").tobytes(), [self.names[i] for i in line.tolist()]
+        start = 0
+        for w, end in zip(words, ends, strict=True):
+            out[w] = data[4 * start : 4 * end], b" ".join(tokens[start:end])
+            start = end
+
+    def _simple_words(self, pieces: list[str]) -> list[list[str]]:
+        """As ``_words``, for pieces of printable ASCII and Latin-1 letters, which normalising only makes lower-case."""
+        pattern, alphabet = self.simple
+        out, words = [], []
+        for w in "\n".join(pattern.findall("\t".join(pieces).lower())).translate(alphabet).split("\n"):
+            if w == "\t":
+                out.append(words)
+                words = []
+            else:
+                words.append(w)
+        return [*out, words]
+
     def encode_pieces(self, pieces: list[str]) -> list[tuple[bytes, bytes]]:
         """Ids and decoded bytes of pieces without white space."""
-        plain = [p for p in pieces if not (self.split_special and self.split_special.search(p))]
-        parts: dict[str, list] = dict(zip(plain, self._words(plain), strict=True)) if plain else {}
+        parts: dict[str, list] = {}
+        if self.simple:
+            simple = [p for p in pieces if _SIMPLE.fullmatch(p)]
+            parts.update(zip(simple, self._simple_words(simple), strict=True)) if simple else None
+        plain = [p for p in pieces if p not in parts and not (self.split_special and self.split_special.search(p))]
+        parts.update(zip(plain, self._words(plain), strict=True)) if plain else None
         for p in pieces:
             if p not in parts:
                 cut = [x for x in self.split_special.split(p) if x]
                 parts[p] = [w for x in cut for w in ([self.special[x]] if x in self.special else self._words([x])[0])]
-        words = self.encode_words(list({w for p in pieces for w in parts[p] if isinstance(w, str)}))
+        words = self.encode_words(list({w for found in parts.values() for w in found if isinstance(w, str)}))
         for i in self.special.values():
             words[i] = np.array([i], "<u4").tobytes(), self.names[i]
         out = []
         for p in pieces:
-            found = [words[w] for w in parts[p]]
-            out.append(found[0] if len(found) == 1 else (b"".join([x for x, _ in found]), b" ".join([d for x, d in found if x])))
+            found = parts[p]
+            if len(found) == 1:
+                out.append(words[found[0]])
+            else:
+                out.append((b"".join([words[w][0] for w in found]), b" ".join([words[w][1] for w in found if words[w][0]])))
         return out
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         """Ids (little-endian 32-bit) and decoded UTF-8 of each text."""
         split = [(_SPACE.split(t) if _NOT_SPACE.search(t) else t.split()) if t else [] for t in texts]
         wanted = set().union(*split) - self.kept.keys()
-        if len(self.kept) + len(wanted) > KEPT_PIECES:
-            self.kept.clear()
+        if len(self.kept) + len(wanted) > KEPT_PIECES:  # what is not met again until the next time is forgotten
+            self.older, self.kept = self.kept, {}
             wanted = set().union(*split)
-        wanted = sorted(wanted)
-        long = {}
+        again = wanted & self.older.keys()
+        self.kept.update((p, self.older[p]) for p in again)
+        wanted, long = sorted(wanted - again), {}
         for piece, found in zip(wanted, self.encode_pieces(wanted), strict=True):
             (self.kept if len(piece) <= KEPT_LENGTH else long)[piece] = found
-        get = self.kept.__getitem__ if not long else lambda p: self.kept.get(p) or long[p]
+        get = self.kept.__getitem__ if not long else lambda p: long[p] if p in long else self.kept[p]
         out = []
         for pieces in split:
             found = [get(p) for p in pieces]
