@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.functions.lineage import cut
-from flowloom.llm import language, packing, quality
+from flowloom.llm import language, near, packing, quality, substrings
 
 #: A text whose best language has a smaller cosine is taken for none of the languages.
 LEAST_COSINE = 0.05
@@ -32,12 +32,26 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs.select(*COLUMNS), weights).filter(F.col("score") >= LEAST_QUALITY).select(*COLUMNS)
 
 
+def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest ``doc_id`` of every class of near copies."""
+    return near.one_of_each(docs.select(*COLUMNS))
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take out passages that a smaller ``doc_id`` has; a text that loses every word goes."""
+    found = substrings.remove_repeats(docs.select(*COLUMNS))
+    changed = F.col("n_removed") > 0
+    kept = found.filter("n_removed = 0 or n_removed < n_words")
+    kept = kept.withColumn("text", F.when(changed, F.col("kept")).otherwise(F.col("text")))
+    return kept.withColumn("n_chars", F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences of at most 2048 tokens."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-STAGES = [("language", known_language), ("quality", good_quality), ("packing", packed)]
+STAGES = [("language", known_language), ("quality", good_quality), ("near_duplicates", one_of_each_class), ("substrings", without_repeats), ("packing", packed)]
 
 #: The learned stages have no counterpart in SQL.
 ORACLE_SQL = None

@@ -200,8 +200,10 @@ def _cut_words(texts: pa.Array, starts: pa.Array, keep_text: bool) -> list[pa.Ar
 
 def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """``docs`` with n_words, n_removed, kept_sha256 and kept (null unless ``keep_text``)."""
-    columns = docs.columns
-    named = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    added = [f.name for f in _FIELDS]
+    others = [c for c in docs.columns if c not in ("doc_id", "text", *added)]
+    # Other columns travel in one, so their names cannot meet those in use here.
+    named = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(0).alias("none")]).alias("others"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     hits = _shared(_keys(named.filter("doc_id is not null"))).groupBy("doc_id", "text_hash").agg(F.collect_set("key").alias("keys"))
     marked = named.join(hits, ["doc_id", "text_hash"], "left")
 
@@ -210,13 +212,12 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
         texts = batch.column(names.index("text"))
         none = pa.nulls(len(texts), pa.list_(pa.int64()))
         out = _cut_words(texts, none, keep_text)
-        if not keep_text:  # a text without shared anchors is finished here
-            out[3] = texts.filter(pa.array(np.ones(len(texts), bool)))
         return out
 
     first = add_columns(marked, whole, _FIELDS)
     if not keep_text:
-        first = first.withColumn("text", F.when(F.col("keys").isNotNull(), F.col("text"))).withColumn("kept", F.lit(None).cast("string"))
+        # A text without shared anchors is finished here and need not be sent again.
+        first = first.withColumn("text", F.when(F.col("keys").isNotNull(), F.col("text")))
     first = cut(first)
     open_ = first.filter("keys is not null")
     found = _segments(open_, False).join(_searched(_segments(open_, True)), ["key", "name"])
@@ -238,5 +239,5 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
         return [pa.compute.replace_with_mask(o, where, n) for o, n in zip(out, new, strict=True)]
 
     out = add_columns(joined.withColumnsRenamed({f.name: "_" + f.name for f in _FIELDS}), rest, _FIELDS)
-    names = {f.name for f in _FIELDS}
-    return out.select(*[F.col(f"`{c}`") for c in columns if c not in names], *[f.name for f in _FIELDS])
+    names = {c: F.col(f"others.`{c}`").alias(c) for c in others} | {c: F.col(c) for c in ("doc_id", "text")}
+    return out.select(*[names[c] for c in docs.columns if c in names], *added)
