@@ -32,7 +32,7 @@ from tokenizers import Tokenizer
 from flowloom.llm.columns import groups
 
 CAPACITY, GRAIN, END = 2048, 64, 1
-KEPT_PIECES, KEPT_LENGTH = 200_000, 100
+KEPT_PIECES, KEPT_LENGTH = 300_000, 100
 #: White space next to a blank: the tokenizer may then join blanks across the cut.
 _JOINED_BLANK = re.compile(r"\s | \s")
 #: Printable ASCII without "<" (special tokens), and the letters of Latin-1.
@@ -58,6 +58,7 @@ class BlankLedTokens:
                 table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
             self.ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -74,10 +75,14 @@ class BlankLedTokens:
         """Little-endian 32-bit ids of each text. A single blank between two other characters always begins a word."""
         texts = [t or "" for t in texts]
         cut = [None if _JOINED_BLANK.search(t) else t.split(" ") for t in texts]
-        needed = [*{p for parts in cut if parts for p in parts[1:]} - self.kept.keys()]
-        if len(self.kept) + len(needed) > KEPT_PIECES:
-            self.kept.clear()
-            needed = [*{p for parts in cut if parts for p in parts[1:]}]
+        met = {p for parts in cut if parts for p in parts[1:]}
+        needed = met - self.kept.keys()
+        if len(self.kept) + len(needed) > KEPT_PIECES:  # what is not met again until the next time is forgotten
+            self.older, self.kept = self.kept, {}
+            needed = met
+        again = needed & self.older.keys()
+        self.kept.update((p, self.older[p]) for p in again)
+        needed = [*needed - again]
         long = {}
         for at in range(0, len(needed), 4096):
             part = needed[at : at + 4096]
