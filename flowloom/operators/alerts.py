@@ -12,7 +12,7 @@ from collections import deque
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +22,6 @@ from flowloom.functions.ordered import running_totals
 THRESHOLD = 10
 WINDOW_US = 60_000_000
 COOLDOWN_US = 300_000_000
-HISTORY = 10_000
 
 
 def trailing_time(
@@ -47,11 +46,10 @@ def trailing_time(
     )
 
 
-def recent_attacks(attacks: DataFrame, window_us: int = WINDOW_US, groups: Sequence[str] = (), history: int = HISTORY) -> DataFrame:
+def recent_attacks(attacks: DataFrame, window_us: int = WINDOW_US, groups: Sequence[str] = ()) -> DataFrame:
     """Attacks in the trailing window at every attack time; one row per distinct time."""
     per = attacks.groupBy(*groups, "ts_us").agg(F.count(F.lit(1)).alias("attacks"))
-    out = trailing_time(per, window_us, {"recent": F.sum("attacks")}, groups)
-    return out.withColumn("recent", F.least("recent", F.lit(history)))
+    return trailing_time(per, window_us, {"recent": F.sum("attacks")}, groups)
 
 
 def severity(count: Column, threshold: int = THRESHOLD) -> Column:
@@ -69,27 +67,29 @@ def _episodes(df: DataFrame, pause_us: int, groups: Sequence[str]) -> DataFrame:
 
 
 def _stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Callable) -> DataFrame:
-    """Run ``fold`` over each key's rows in order, batch by batch, keeping only its state."""
-    keys = list(keys)
+    """Run ``fold`` over each key's rows in order, batch by batch, keeping only its state.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
-        for pdf in batches:
-            if pdf.empty:
+    Spark marks the first row of a key, so null keys and keys of any type and size stay apart.
+    """
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1
+    marked = df.withColumn("_first", first)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            new = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy()
-            new[0] = True
-            starts = np.flatnonzero(new)
-            keep = np.zeros(len(pdf), dtype=bool)
-            times = pdf["ts_us"].to_numpy()
-            for a, z in zip(starts, [*starts[1:], len(pdf)]):
-                key = tuple(pdf[keys].iloc[a])
-                if key != current:
-                    current, state = key, None
-                state = fold(times[a:z], state, keep[a:z])
-            yield pdf[keep]
+            names = batch.schema.names
+            new = np.flatnonzero(batch.column(names.index("_first")).to_numpy(zero_copy_only=False))
+            starts = new if len(new) and new[0] == 0 else np.append(0, new)
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            times = batch.column(names.index("ts_us")).to_numpy()
+            for a, z in zip(starts, [*starts[1:], batch.num_rows]):
+                state = fold(times[a:z], None if a in new else state, keep[a:z])
+            kept = batch.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([c for c, n in zip(kept.columns, names) if n != "_first"], names=[n for n in names if n != "_first"])
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, df.schema)
+    return marked.mapInArrow(run, df.schema)
 
 
 def burst_alerts(
@@ -101,9 +101,12 @@ def burst_alerts(
 ) -> DataFrame:
     """Alerts: at least ``threshold`` attacks in the window and more than the cooldown since the last alert.
 
-    Attacks that share a microsecond arrive together.
+    Attacks of one microsecond count one after another, so an alert's ``attack_count`` ends with the attack that fires
+    it; ``at_once`` says the how-many-th of its microsecond that is.
     """
-    candidates = recent_attacks(attacks, window_us, groups).where(F.col("recent") >= threshold)
+    seen = recent_attacks(attacks, window_us, groups).where(F.col("recent") >= threshold)
+    before = F.col("recent") - F.col("attacks")
+    candidates = seen.select(*groups, "ts_us", F.greatest(before + 1, F.lit(threshold)).alias("attack_count"), before.alias("_before"))
 
     def fold(times: np.ndarray, last: int | None, keep: np.ndarray) -> int | None:
         i = 0 if last is None else int(np.searchsorted(times, last + cooldown_us, side="right"))
@@ -112,30 +115,39 @@ def burst_alerts(
             i = int(np.searchsorted(times, last + cooldown_us, side="right"))
         return last
 
-    marked = _episodes(candidates.select(*groups, "ts_us", F.col("recent").alias("attack_count")), cooldown_us, groups)
+    marked = _episodes(candidates, cooldown_us, groups)
     fired = _stream(marked, [*groups, "episode"], ["ts_us"], fold)
-    return fired.select(*groups, "ts_us", "attack_count", severity(F.col("attack_count"), threshold).alias("severity"))
+    return fired.select(
+        *groups, "ts_us", "attack_count", severity(F.col("attack_count"), threshold).alias("severity"), (F.col("attack_count") - F.col("_before")).alias("at_once"))
 
 
 def alert_breakdown(
     attacks: DataFrame,
     alerts: DataFrame,
     keys: Mapping[str, str],
+    order: Sequence[str],
     groups: Sequence[str] = (),
     window_us: int = WINDOW_US,
-    top: int = 5,
+    top: Mapping[str, int] | None = None,
 ) -> DataFrame:
-    """Most frequent values of each key column among the attacks of an alert's window.
+    """Most frequent values of each key column among the attacks of an alert's window, up to the attack that fired it.
 
+    ``order`` orders attacks of one microsecond. ``top`` limits single kinds; without a limit all values are kept.
     Alerts are few; each is matched by the one or two window-long cells its window touches.
     Ties go to the value seen first.
     """
     cell = F.floor(F.col("alert_us") / F.lit(window_us))
-    spots = alerts.select(*groups, F.col("ts_us").alias("alert_us")).select(
-        "*", F.explode(F.array(cell - 1, cell)).alias("_cell"))
-    rows = attacks.withColumn("_cell", F.floor(F.col("ts_us") / F.lit(window_us)))
-    inside = rows.join(spots, [*groups, "_cell"]).where(
-        (F.col("ts_us") <= F.col("alert_us")) & (F.col("ts_us") > F.col("alert_us") - F.lit(window_us)))
+    names = [f"_g{i}" for i in range(len(groups))]
+    spots = alerts.select(*[F.col(g).alias(n) for g, n in zip(groups, names)], F.col("ts_us").alias("alert_us"), "at_once").select(
+        "*", F.explode(F.array(cell - 1, cell)).alias("_spot"))
+    rows = attacks.withColumn("_nth", F.row_number().over(Window.partitionBy(*groups, "ts_us").orderBy(*order)))
+    rows = rows.withColumn("_cell", F.floor(F.col("ts_us") / F.lit(window_us)))
+    on = F.col("_cell") == F.col("_spot")
+    for g, n in zip(groups, names):
+        on = on & F.col(g).eqNullSafe(F.col(n))
+    late, early = F.col("alert_us"), F.col("alert_us") - F.lit(window_us)
+    upto = (F.col("ts_us") < late) | ((F.col("ts_us") == late) & (F.col("_nth") <= F.col("at_once")))
+    inside = rows.join(spots, on).where(upto & (F.col("ts_us") > early))
     cells = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("value")) for k, c in keys.items()])
     per = (
         inside.select(*groups, "alert_us", "ts_us", F.explode(cells).alias("c"))
@@ -144,7 +156,24 @@ def alert_breakdown(
     )
     rank = F.row_number().over(
         Window.partitionBy(*groups, "alert_us", "kind").orderBy(F.desc("count"), "_first", "value"))
-    return per.withColumn("rank", rank).where(F.col("rank") <= top).drop("_first")
+    kept = F.lit(True)
+    for kind, limit in (top or {}).items():
+        kept = kept & ((F.col("kind") != kind) | (F.col("rank") <= limit))
+    return per.withColumn("rank", rank).where(kept).drop("_first")
+
+
+def admission(times: np.ndarray, passed: deque | None, keep: np.ndarray, max_events: int, window_us: int) -> deque:
+    """Mark the times that a sliding limit lets through; ``passed`` holds the last admitted ones."""
+    passed = deque(maxlen=max_events) if passed is None else passed
+    i = 0
+    while i < len(times):
+        if len(passed) == max_events and passed[0] >= times[i] - window_us:
+            i = int(np.searchsorted(times, passed[0] + window_us, side="right"))
+            continue
+        passed.append(int(times[i]))
+        keep[i] = True
+        i += 1
+    return passed
 
 
 def admit(events: DataFrame, max_events: int, window_us: int, order: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
@@ -160,15 +189,6 @@ def admit(events: DataFrame, max_events: int, window_us: int, order: Sequence[st
     rows = events.alias("e").join(episodes.alias("t"), on).select("e.*", "t.episode")
 
     def fold(ts: np.ndarray, state: deque | None, keep: np.ndarray) -> deque:
-        passed = deque(maxlen=max_events) if state is None else state
-        i = 0
-        while i < len(ts):
-            if len(passed) == max_events and passed[0] >= ts[i] - window_us:
-                i = int(np.searchsorted(ts, passed[0] + window_us, side="right"))
-                continue
-            passed.append(int(ts[i]))
-            keep[i] = True
-            i += 1
-        return passed
+        return admission(ts, state, keep, max_events, window_us)
 
     return _stream(rows, [*groups, "episode"], ["ts_us", *order], fold).drop("episode")

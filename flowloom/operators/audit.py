@@ -95,7 +95,7 @@ def label_distribution(df: DataFrame, label: str) -> DataFrame:
     )
 
 
-def extreme_columns(df: DataFrame, first: int = 20) -> DataFrame:
+def extreme_columns(df: DataFrame, first: int | None = None) -> DataFrame:
     """Columns whose extremes lie far outside their 1 % and 99 % quantiles."""
     cols = numeric_columns(df, meta=True)[:first]
     found = quantiles(df, {c: finite(c) for c in cols}, [0.01, 0.99])
@@ -121,7 +121,7 @@ def repeated_names(header: Sequence[str], similar: str = "Fwd Header Length") ->
     return {"repeated": repeated, "similar": alike if not repeated and len(alike) > 1 else []}
 
 
-def issues(df: DataFrame, first: int = 20) -> DataFrame:
+def issues(df: DataFrame, first: int | None = None) -> DataFrame:
     """The findings above as text rows; only findings that apply appear."""
     missing = missing_values(df).agg(F.count(F.lit(1)).alias("n")).select(
         F.lit(1).alias("ord"), F.when(F.col("n") > 0, F.format_string("Found %d columns with NaN values", "n")).alias("issue"))

@@ -145,19 +145,30 @@ def roc_auc_ovr(df: DataFrame, truth: str, scores: dict[int, str]) -> DataFrame:
 
 
 def curve_points(df: DataFrame, truth: str = "y_true", score: str = "probability", groups: Sequence[str] = ()) -> DataFrame:
-    """ROC and precision-recall points at every distinct score, with the share of positives."""
+    """ROC and precision-recall points at every distinct score, with the share of positives.
+
+    The row with an infinite threshold is the end of both curves: nothing found, precision 1.
+    """
     steps = score_steps(df, truth, score, groups)
-    totals = df.groupBy(*groups).agg(
+    names = [f"_g{i}" for i in range(len(groups))]
+    totals = df.groupBy(*[F.col(g).alias(n) for g, n in zip(groups, names)]).agg(
         F.count_if(F.col(truth) == 1).alias("_p"), F.count_if(F.col(truth) != 1).alias("_n"))
     if groups:
-        joined = steps.join(totals, list(groups))
+        on = F.lit(True)
+        for g, n in zip(groups, names):
+            on = on & F.col(g).eqNullSafe(F.col(n))
+        joined = steps.join(totals, on)
     else:
         row = totals.first()
         joined = steps.withColumns({"_p": F.lit(row["_p"]), "_n": F.lit(row["_n"])})
-    return joined.select(
-        *groups, F.col("score").alias("threshold"), safe_div(F.col("fp"), F.col("_n")).alias("fpr"),
-        safe_div(F.col("tp"), F.col("_p")).alias("tpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-        (F.col("_p") / (F.col("_p") + F.col("_n"))).alias("baseline"))
+    baseline = F.col("_p") / (F.col("_p") + F.col("_n"))
+    points = joined.select(
+        *groups, F.col("score").cast("double").alias("threshold"), safe_div(F.col("fp"), F.col("_n")).alias("fpr"),
+        safe_div(F.col("tp"), F.col("_p")).alias("tpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), baseline.alias("baseline"))
+    ends = totals.where("_p + _n > 0").select(
+        *[F.col(n).alias(g) for g, n in zip(groups, names)], F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"),
+        F.lit(0.0).alias("tpr"), F.lit(1.0).alias("precision"), baseline.alias("baseline"))
+    return points.unionByName(ends)
 
 
 def latency_summary(df: DataFrame, latency: str = "latency_ms") -> DataFrame:

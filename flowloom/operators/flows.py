@@ -16,15 +16,16 @@ depend on partitioning or on the order in which partial sums meet.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FLOW_KEY = ("src_ip", "src_port", "dst_ip", "dst_port", "protocol")
 DEFAULT_TIMEOUT_US = 120_000_000
 SHORT_SLICE_US = 10_000_000
-# The square of one gap, at most as long as the time-out, must fit a long.
-MAX_TIMEOUT_US = 2_000_000_000
-MAX_GROUP_ROWS = 5_000_000
+# The square of a gap up to this length fits a long.
+LONG_GAP_US = 2_000_000_000
 
 # TCP flag bits.
 TCP_FLAGS = {
@@ -74,29 +75,6 @@ def with_flow_key(packets: DataFrame) -> DataFrame:
     )
 
 
-def largest_slice(packets: DataFrame, slice_us: int) -> int:
-    """Packets in the fullest (5-tuple, slice); one map-side combined count."""
-    counts = (
-        with_flow_key(packets)
-        .groupBy(*FLOW_KEY, _slice(slice_us).alias("slice"))
-        .count()
-        .agg(F.max("count").alias("m"))
-    )
-    return int(counts.first()["m"] or 0)
-
-
-def choose_slicing(packets: DataFrame, timeout_us: int = DEFAULT_TIMEOUT_US) -> dict:
-    """Widest slices that stay small enough; wide slices leave few rows to stitch.
-
-    If even short slices would hold too many packets, packets with one time stamp are summed
-    first, and a slice then holds at most one row per microsecond and direction.
-    """
-    for width in (timeout_us, min(SHORT_SLICE_US, timeout_us)):
-        if largest_slice(packets, width) <= MAX_GROUP_ROWS:
-            return {"slice_us": width, "preaggregate": False}
-    return {"slice_us": min(1_000_000, timeout_us), "preaggregate": True}
-
-
 def _slice(slice_us: int) -> Column:
     return F.floor(F.col("ts_us") / F.lit(slice_us))
 
@@ -133,32 +111,22 @@ def with_interarrival(packets: DataFrame, slice_us: int = SHORT_SLICE_US,
                       timeout_us: int = DEFAULT_TIMEOUT_US) -> DataFrame:
     """Packets with ``session`` number and ``iat_us`` to the previous packet of its direction.
 
-    The first packet of a direction in a flow has a null gap. Order is only needed between
-    distinct time stamps; packets that share one are zero apart but for the one with the
-    smallest id. The join back to the packets may be split by the skew join.
+    The first packet of a direction in a flow has a null gap. Packets are sent once, by (5-tuple, slice); gaps are taken
+    inside the slice, and the first packet of a direction looks up the last one of the slices before in a small table of
+    slice borders. The 5-tuple is one struct column, in which null equals null.
     """
     keyed = with_flow_key(packets)
-    times = (
-        keyed.withColumn("slice", _slice(slice_us))
-        .groupBy(*FLOW_KEY, "slice", "is_fwd", "ts_us")
-        .agg(F.min("packet_id").alias("_first"))
-    )
+    rows = keyed.select("*", F.struct(*FLOW_KEY).alias("_key"), _slice(slice_us).alias("slice")).repartition("_key", "slice")
     ends = [F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us")]
     for d in _DIRS:
         own = F.when(F.col("is_fwd") if d == "fwd" else ~F.col("is_fwd"), F.col("ts_us"))
         ends += [F.min(own).alias(f"{d}_first"), F.max(own).alias(f"{d}_last")]
-    border = _stitch(times.groupBy(*FLOW_KEY, "slice").agg(*ends), timeout_us).select(
-        *FLOW_KEY, "slice", "session", "fwd_prev", "bwd_prev")
-    within = Window.partitionBy(*FLOW_KEY, "slice").orderBy("is_fwd", "ts_us")
+    border = _stitch(rows.groupBy("_key", "slice").agg(*ends), timeout_us, ("_key",)).select("_key", "slice", "session", "fwd_prev", "bwd_prev")
+    within = Window.partitionBy("_key", "slice").orderBy("is_fwd", "ts_us", "packet_id")
     local = F.when(F.lag("is_fwd").over(within) == F.col("is_fwd"), F.lag("ts_us").over(within))
     prev = F.coalesce("_local", F.when(F.col("is_fwd"), F.col("fwd_prev")).otherwise(F.col("bwd_prev")))
-    placed = (
-        times.withColumn("_local", local)
-        .join(border, [*FLOW_KEY, "slice"])
-        .select(*FLOW_KEY, "is_fwd", "ts_us", "session", "_first", prev.alias("_prev"))
-    )
-    gap = F.when(F.col("packet_id") == F.col("_first"), F.col("ts_us") - F.col("_prev")).otherwise(F.lit(0))
-    return keyed.join(placed, [*FLOW_KEY, "is_fwd", "ts_us"]).withColumn("iat_us", gap).drop("_first", "_prev")
+    placed = rows.withColumn("_local", local).join(border, ["_key", "slice"])
+    return placed.select(*keyed.columns, "session", (F.col("ts_us") - prev).alias("iat_us"))
 
 
 def _segments(atoms: DataFrame) -> DataFrame:
@@ -194,9 +162,9 @@ def _segments(atoms: DataFrame) -> DataFrame:
     return rows.groupBy(*FLOW_KEY, "slice").agg(*aggs)
 
 
-def _stitch(segments: DataFrame, timeout_us: int) -> DataFrame:
+def _stitch(segments: DataFrame, timeout_us: int, key: Sequence[str] = FLOW_KEY) -> DataFrame:
     """Number the flows of a 5-tuple and close the gaps that cross slice borders."""
-    order = Window.partitionBy(*FLOW_KEY).orderBy("slice")
+    order = Window.partitionBy(*key).orderBy("slice")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     starts = F.coalesce(F.col("first_us") - F.lag("last_us").over(order) > F.lit(timeout_us), F.lit(True))
@@ -222,12 +190,14 @@ def _wide_sum(square: Column) -> Column:
     return (low + high * F.lit(2**31).cast("decimal(11,0)")).cast("decimal(38,0)")
 
 
-def _merge(stitched: DataFrame) -> DataFrame:
-    """Slice rows of one flow to the flow row."""
+def _merge(stitched: DataFrame, timeout_us: int) -> DataFrame:
+    """Slice rows of one flow to the flow row. Gaps of long time-outs are squared as decimals."""
+    exact = timeout_us > LONG_GAP_US
     aggs = [F.min("first_us").alias("start_us"), F.max("last_us").alias("end_us")]
     for d in _DIRS:
         cross = F.col(f"{d}_first") - F.col(f"{d}_prev")
-        square = F.col(f"{d}_gap_sq") + F.coalesce(cross * cross, F.lit(0))
+        wide = cross.cast("decimal(19,0)") if exact else cross
+        square = F.col(f"{d}_gap_sq") + F.coalesce(wide * wide, F.lit(0))
         aggs += [F.sum(f"{d}_{c}").alias(f"{d}_{c}") for c in _SUMS]
         aggs += [
             F.min(f"{d}_len_min").alias(f"{d}_len_min"),
@@ -236,7 +206,7 @@ def _merge(stitched: DataFrame) -> DataFrame:
             F.max(F.greatest(f"{d}_gap_max", cross)).alias(f"{d}_gap_max"),
             (F.max(f"{d}_last") - F.min(f"{d}_first")).alias(f"{d}_gap_sum"),
             F.greatest(F.sum(f"{d}_n") - 1, F.lit(0)).alias(f"{d}_gap_n"),
-            _wide_sum(square).alias(f"{d}_gap_sq"),
+            (F.sum(square).cast("decimal(38,0)") if exact else _wide_sum(square)).alias(f"{d}_gap_sq"),
         ]
     aggs += [F.sum(f"{f}_count").alias(f"{f}_count") for f in _FLAG_NAMES]
     return stitched.groupBy(*FLOW_KEY, "session").agg(*aggs)
@@ -248,12 +218,14 @@ def flow_moments(
     slice_us: int | None = None,
     preaggregate: bool = False,
 ) -> DataFrame:
-    """One row per flow with every additive measure the features need."""
-    if timeout_us > MAX_TIMEOUT_US:
-        raise ValueError(f"time-out above {MAX_TIMEOUT_US} us")
+    """One row per flow with every additive measure the features need.
+
+    Slices are ``slice_us`` long whatever the data are, so what one task sorts is bounded by the line rate. With
+    ``preaggregate`` packets of one time stamp are summed first, at the price of a shuffle.
+    """
     width = min(slice_us or SHORT_SLICE_US, timeout_us)
     atoms = _atoms(with_flow_key(packets), width, preaggregate)
-    return _merge(_stitch(_segments(atoms), timeout_us))
+    return _merge(_stitch(_segments(atoms), timeout_us), timeout_us)
 
 
 def flow_table(moments: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -99,17 +99,43 @@ def fit(
     return Pipeline(stages=[*stages, estimator(spec, label, len(contract), classes, seed)]).fit(data)
 
 
+def class_count(model: PipelineModel) -> int:
+    """Number of classes the model was trained for."""
+    last = model.stages[-1]
+    return len(last.models) if isinstance(last, OneVsRestModel) else last.numClasses
+
+
 def probabilities(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Add the class probabilities as an array column."""
-    return model.transform(df).withColumn("probabilities", vector_to_array("probability"))
+    """Add the class probabilities as an array column.
+
+    A one-vs-rest model of boosted trees has a margin per class; their logistic values are scaled to add up to one.
+    """
+    out = model.transform(df)
+    if not isinstance(model.stages[-1], OneVsRestModel):
+        return out.withColumn("probabilities", vector_to_array("probability"))
+    each = F.transform(vector_to_array("rawPrediction"), lambda m: F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * m)))
+    out = out.withColumn("probabilities", each)
+    total = F.aggregate("probabilities", F.lit(0.0), lambda a, x: a + x)
+    return out.withColumn("probabilities", F.transform("probabilities", lambda x: x / total))
 
 
 def predict(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Score rows once and decide at the threshold."""
+    """Score rows once and decide: at the threshold for two classes, for the most likely one (smallest of equals) beyond.
+
+    With more than two classes ``probability`` is that of any class but the first, and ``prediction`` the class number.
+    """
     scored = probabilities(model, df.drop("prediction"))
-    scored = scored.withColumn("probability", F.element_at("probabilities", -1)).drop("rawPrediction", "prediction", FEATURES)
+    many = class_count(model) > 2
+    attack = F.lit(1.0) - F.element_at("probabilities", 1) if many else F.element_at("probabilities", -1)
+    scored = scored.withColumn("probability", attack).drop("rawPrediction", "prediction", FEATURES)
     twins = [c for c in scored.columns if c.endswith(scale.scaled_name(""))]
-    return score.decide(scored.drop(*twins), threshold)
+    out = score.decide(scored.drop(*twins), threshold)
+    if not many:
+        return out
+    best = (F.array_position("probabilities", F.array_max("probabilities")) - 1).cast("int")
+    return out.withColumn("prediction", best).withColumns({
+        "is_attack": F.col("prediction") != 0, "confidence": F.array_max("probabilities"),
+        "class_name": F.when(F.col("prediction") != 0, "ATTACK").otherwise("BENIGN")})
 
 
 def evaluate_split(scored: DataFrame, label: str, prefix: str) -> dict[str, float]:

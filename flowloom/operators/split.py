@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.hashing import HASH_RANGE, hash_order
 from flowloom.functions.lineage import cut
-from flowloom.functions.ordered import SMALL, order_statistics
+from flowloom.functions.ordered import SMALL, order_statistics, row_positions
 
 # Default days per split.
 TEMPORAL_DAYS = {
@@ -90,13 +90,23 @@ def sample_fraction(df: DataFrame, fraction: float, key: Sequence[str], seed: in
 
 
 def sample_rows(df: DataFrame, n: int, key: Sequence[str], seed: int = 42, small: int = SMALL) -> DataFrame:
-    """The ``n`` rows with the smallest key hash, or all rows when there are fewer."""
+    """The ``n`` rows with the smallest key hash, or all rows when there are fewer.
+
+    Rows that share the last hash are told apart by a hash of all their columns; of equal rows any will do.
+    """
     h = hash_order(key, seed)
     total = df.count()
     if total <= n:
         return df
     last = order_statistics(df, {"h": h}, {"h": [n - 1]}, {"h": total}, small)["h", n - 1]
-    return df.where(h <= F.lit(int(last)))
+    last = F.lit(int(last))
+    below, at = df.agg(F.count_if(h < last), F.count_if(h == last)).first()
+    if below + at == n:
+        return df.where(h <= last)
+    # Rows with one key: positions among them, found in ranges.
+    ties = df.where(h == last).withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    ties = row_positions(ties, ["_tie"], "_place").where(F.col("_place") < n - below).drop("_tie", "_place")
+    return df.where(h < last).unionByName(ties)
 
 
 def shuffled(df: DataFrame, key: Sequence[str], seed: int = 42) -> DataFrame:

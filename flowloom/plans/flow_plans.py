@@ -36,8 +36,7 @@ gaps as (
 
 
 def _moments(spark, sf_dir):
-    packets = view(spark, sf_dir, "packets")
-    return flows.flow_moments(packets, **flows.choose_slicing(packets))
+    return flows.flow_moments(view(spark, sf_dir, "packets"))
 
 
 @register(

@@ -243,12 +243,12 @@ def a32(spark, sf_dir):
 _POINTS = "s as threshold, round(fp::double / n, 9) as fpr, round(tp::double / p, 9) as tpr, round(tp::double / (tp + fp), 9) as precision, round(p::double / (p + n), 9) as baseline from st"
 
 
-@register("a34_curve_points", SC + _steps("scored", "y_true", "probability") + "select " + _POINTS)
+@register("a34_curve_points", SC + _steps("scored", "y_true", "probability") + "select " + _POINTS + " union all select 'inf'::double, 0, 0, 1, round(any_value(p)::double / any_value(p + n), 9) from st")
 def a34(spark, sf_dir):
     return rounded(evaluate.curve_points(view(spark, sf_dir, "scored")), 9, skip=("threshold",))
 
 
-@register("a34_multi_curve_points", _LONG + _steps("m", "y_true", "probability", "model") + "select model, " + _POINTS)
+@register("a34_multi_curve_points", _LONG + _steps("m", "y_true", "probability", "model") + "select model, " + _POINTS + " union all select model, 'inf'::double, 0, 0, 1, round(any_value(p)::double / any_value(p + n), 9) from st group by model")
 def a34m(spark, sf_dir):
     return rounded(evaluate.curve_points(_per_model(spark, sf_dir), groups=["model"]), 9, skip=("threshold",))
 
@@ -320,7 +320,7 @@ def _attacks(spark, sf_dir):
     return df.select("run_id", "flow_index", fast.alias("ts_us"), "src_ip", "dst_ip", "class_name")
 
 
-@register("w8_w11_recent_attacks", _ATT + """select run_id, ts_us, count(*) as attacks, least(max(recent), 10000) as recent,
+@register("w8_w11_recent_attacks", _ATT + """select run_id, ts_us, count(*) as attacks, max(recent) as recent,
   case when max(recent) >= 50 then 'critical' when max(recent) >= 20 then 'high' when max(recent) >= 10 then 'medium' else 'low' end as severity
   from w group by run_id, ts_us""")
 def w8(spark, sf_dir):
@@ -328,7 +328,8 @@ def w8(spark, sf_dir):
     return df.withColumn("severity", alerts.severity(F.col("recent")))
 
 
-_FIRE = _ATT.replace("with scored", "with recursive scored", 1) + """, cand as (select run_id, ts_us, max(recent) as recent from w group by all having max(recent) >= 10),
+_FIRE = _ATT.replace("with scored", "with recursive scored", 1) + """, nth as (select *, recent - count(*) over (partition by run_id, ts_us) + row_number() over (partition by run_id, ts_us order by flow_index) as upto from w),
+  cand as (select run_id, ts_us, min(upto) as recent from nth where upto >= 10 group by all),
   chain as (select run_id, min(ts_us) as ts_us from cand group by run_id
     union all select c.run_id, (select min(d.ts_us) from cand d where d.run_id = c.run_id and d.ts_us > c.ts_us + 300000000) from chain c
     where (select min(d.ts_us) from cand d where d.run_id = c.run_id and d.ts_us > c.ts_us + 300000000) is not null),
@@ -337,19 +338,20 @@ _FIRE = _ATT.replace("with scored", "with recursive scored", 1) + """, cand as (
 
 @register("st5_burst_alerts", _FIRE + """select *, case when attack_count >= 50 then 'critical' when attack_count >= 20 then 'high' when attack_count >= 10 then 'medium' else 'low' end as severity from fired""")
 def st5(spark, sf_dir):
-    return alerts.burst_alerts(_attacks(spark, sf_dir), ["run_id"])
+    return alerts.burst_alerts(_attacks(spark, sf_dir), ["run_id"]).drop("at_once")
 
 
 @register("a25_alert_breakdown", _FIRE + """, ins as (select a.run_id, f.ts_us as alert_us, a.ts_us, unnest(['attack_types','top_sources','top_targets']) as kind,
-    unnest([a.class_name, a.src_ip, a.dst_ip]) as value from att a join fired f on a.run_id = f.run_id and a.ts_us <= f.ts_us and a.ts_us > f.ts_us - 60000000),
+    unnest([a.class_name, a.src_ip, a.dst_ip]) as value from nth a join fired f on a.run_id = f.run_id and a.ts_us <= f.ts_us and a.ts_us > f.ts_us - 60000000
+    where a.ts_us < f.ts_us or a.upto <= f.attack_count),
   cnt as (select run_id, alert_us, kind, value, count(*) as "count", min(ts_us) as first from ins group by all),
   rk as (select *, row_number() over (partition by run_id, alert_us, kind order by "count" desc, first, value)::int as rank from cnt)
-  select * exclude (first) from rk where rank <= 5""")
+  select * exclude (first) from rk where rank <= 5 or kind = 'attack_types'""")
 def a25(spark, sf_dir):
     att = _attacks(spark, sf_dir)
     fired = alerts.burst_alerts(att, ["run_id"])
     keys = {"attack_types": "class_name", "top_sources": "src_ip", "top_targets": "dst_ip"}
-    return alerts.alert_breakdown(att, fired, keys, ["run_id"])
+    return alerts.alert_breakdown(att, fired, keys, ["flow_index"], ["run_id"], top={"top_sources": 5, "top_targets": 5})
 
 
 _WALK = _ATT.replace("with scored", "with recursive scored", 1) + """, ev as (select run_id, flow_index, ts_us, row_number() over (partition by run_id order by ts_us, flow_index) as rn from att),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+from collections import deque
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from flowloom.operators.alerts import COOLDOWN_US, HISTORY, THRESHOLD, WINDOW_US, severity
+from flowloom.operators.alerts import COOLDOWN_US, THRESHOLD, WINDOW_US, admission, severity
 from flowloom.operators.evaluate import binary_scores, confusion_counts
 from flowloom.operators.features import FEATURE_NAMES, feature_columns, snake
 from flowloom.operators.flows import FLOW_KEY, TCP_FLAGS, flag, with_flow_key
@@ -176,54 +178,83 @@ def active_flow_stream(
         step, _SNAPSHOT, _SNAPSHOT_STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
+def _wake(state: GroupState, us: int) -> None:
+    """Come back when the watermark has passed a time."""
+    state.setTimeoutTimestamp(max(us // 1000 + 1, int(state.getCurrentWatermarkMs()) + 1))
+
+
 def burst_alert_stream(
     attacks: DataFrame, key: str, threshold: int = THRESHOLD, window_us: int = WINDOW_US, cooldown_us: int = COOLDOWN_US
 ) -> DataFrame:
-    """Burst alerts per key with cooldown; the state holds the last attack times and the last alert."""
+    """Burst alerts per key with cooldown, the same as in the batch, once the watermark has passed their time.
+
+    Until then attacks wait, so late ones take their place in time order. The state holds (time, count) pairs of the
+    waiting attacks and of one window before, and the last alert; it expires with the window and the cooldown.
+    """
     key_type = attacks.schema[key].dataType
     out = T.StructType([T.StructField(key, key_type), T.StructField("ts_us", T.LongType()), T.StructField("attack_count", T.LongType())])
 
     def step(k: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old, last = state.get if state.exists else ([], None)
-        new = np.sort(np.concatenate([c["ts_us"].to_numpy() for c in chunks]))
-        times = np.concatenate([np.asarray(old, dtype=np.int64), new])
-        ends = np.searchsorted(times, times, side="right")
-        counts = np.minimum(ends - np.searchsorted(times, times - window_us, side="right"), HISTORY)
-        fresh = np.arange(len(times)) >= len(old)
-        spots = np.flatnonzero(fresh & (counts >= threshold))
-        rows, i = [], 0
+        times, counts, taken, last = state.get if state.exists else ([], [], 0, None)
+        seen_until = times[taken - 1] if taken else None
+        times, counts = np.asarray(times, dtype=np.int64), np.asarray(counts, dtype=np.int64)
+        if not state.hasTimedOut:
+            for c in chunks:
+                new, n = np.unique(c["ts_us"].to_numpy(dtype=np.int64), return_counts=True)
+                merged, place = np.unique(np.concatenate([times, new]), return_inverse=True)
+                counts = np.bincount(place, np.concatenate([counts, n]), minlength=len(merged)).astype(np.int64)
+                times = merged
+        mark = int(state.getCurrentWatermarkMs()) * 1000
+        start = 0 if seen_until is None else int(np.searchsorted(times, seen_until, side="right"))
+        stop = max(start, int(np.searchsorted(times, mark, side="left")))
+        total = np.concatenate([[0], np.cumsum(counts)])
+        before = total[:-1] - total[np.searchsorted(times, times - window_us, side="right")]
+        spots = start + np.flatnonzero(before[start:stop] + counts[start:stop] >= threshold)
+        rows, i = [], 0 if last is None else int(np.searchsorted(times[spots], last + cooldown_us, side="right"))
         while i < len(spots):
-            t = int(times[spots[i]])
-            if last is None or t - last > cooldown_us:
-                rows.append((*k, t, int(counts[spots[i]])))
-                last = t
-            i = max(i + 1, int(np.searchsorted(times[spots], last + cooldown_us, side="right")))
-        keep = times[times > times[-1] - window_us][-HISTORY:]
-        state.update(([int(x) for x in keep], last))
+            last = int(times[spots[i]])
+            rows.append((*k, last, max(int(before[spots[i]]) + 1, threshold)))
+            i = int(np.searchsorted(times[spots], last + cooldown_us, side="right"))
+        drop = min(stop, int(np.searchsorted(times, mark - window_us, side="right")))
+        times, counts, taken = times[drop:], counts[drop:], stop - drop
+        if not len(times) and (last is None or last + cooldown_us < mark):
+            state.remove()
+        else:
+            state.update((times.tolist(), counts.tolist(), taken, last))
+            _wake(state, int(times[taken]) if taken < len(times) else max([last + cooldown_us] if last is not None else [], default=0) or int(times[-1]) + window_us)
         if rows:
             yield pd.DataFrame(rows, columns=out.names)
 
     found = attacks.select(key, "ts", "ts_us").groupBy(key).applyInPandasWithState(
-        step, out, "times array<long>, last long", "append", GroupStateTimeout.NoTimeout)
+        step, out, "times array<long>, counts array<long>, taken int, last long", "append", GroupStateTimeout.EventTimeTimeout)
     return found.withColumn("severity", severity(F.col("attack_count"), threshold))
 
 
 def admission_stream(events: DataFrame, key: str, max_events: int, window_us: int, order: Sequence[str]) -> DataFrame:
-    """Events a sliding limit lets through per key; the state holds the last admitted times."""
+    """Events a sliding limit lets through per key, the same as in the batch, once the watermark has passed their time.
+
+    The state holds the waiting events and the last admitted times; it expires with the window.
+    """
     schema = events.schema
 
     def step(k: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        passed = list(state.get[0]) if state.exists else []
-        new = pd.concat(list(chunks)).sort_values(["ts_us", *order])
-        keep = np.zeros(len(new), dtype=bool)
-        for i, t in enumerate(new["ts_us"].to_numpy()):
-            if len(passed) < max_events or passed[-max_events] < t - window_us:
-                passed.append(int(t))
-                keep[i] = True
-                passed = passed[-max_events:]
-        state.update((passed,))
+        passed, held = state.get if state.exists else ([], None)
+        parts = [pickle.loads(held)] if held else []
+        if not state.hasTimedOut:
+            parts += list(chunks)
+        rows = pd.concat(parts).sort_values(["ts_us", *order]) if parts else pd.DataFrame(columns=schema.names)
+        mark = int(state.getCurrentWatermarkMs()) * 1000
+        times = rows["ts_us"].to_numpy(dtype=np.int64)
+        ready = int(np.searchsorted(times, mark, side="left"))
+        keep = np.zeros(ready, dtype=bool)
+        passed = list(admission(times[:ready], deque(passed, maxlen=max_events), keep, max_events, window_us))
+        if ready == len(rows) and (not passed or passed[-1] + window_us < mark):
+            state.remove()
+        else:
+            state.update((passed, pickle.dumps(rows[ready:]) if ready < len(rows) else None))
+            _wake(state, int(times[ready]) if ready < len(rows) else passed[-1] + window_us)
         if keep.any():
-            yield new[keep]
+            yield rows[:ready][keep]
 
     return events.groupBy(key).applyInPandasWithState(
-        step, schema, "passed array<long>", "append", GroupStateTimeout.NoTimeout)
+        step, schema, "passed array<long>, held binary", "append", GroupStateTimeout.EventTimeTimeout)

@@ -27,9 +27,9 @@ def test_attack_of_exactly_one_window_ago_is_not_counted(spark):
 
 
 def _brute(times, threshold, window, cooldown):
-    out, last = [], None
-    for t in sorted(set(times)):
-        n = sum(1 for x in times if t - window < x <= t)
+    out, last, times = [], None, sorted(times)
+    for i, t in enumerate(times):
+        n = sum(1 for x in times[: i + 1] if t - window < x)
         if n >= threshold and (last is None or t - last > cooldown):
             out.append((t, n))
             last = t
@@ -62,6 +62,32 @@ def test_admission_against_brute_force(spark, limit, window):
     assert got == want
 
 
+def test_equal_times_count_one_by_one(spark):
+    df = frame(spark, [i * 0.1 for i in range(9)] + [5.0] * 30)
+    (one,) = alerts.burst_alerts(df, ["run_id"]).collect()
+    assert (one["ts_us"], one["attack_count"], one["severity"], one["at_once"]) == (5 * S, 10, "medium", 1)
+    kinds = df.withColumn("kind", F.concat(F.lit("k"), F.col("flow_index") % 7))
+    found = alerts.alert_breakdown(kinds, alerts.burst_alerts(df, ["run_id"]), {"all": "kind", "few": "kind"}, ["flow_index"], ["run_id"], top={"few": 2}).collect()
+    assert sum(r["count"] for r in found if r["kind"] == "all") == 10
+    assert sum(r["kind"] == "all" for r in found) == 7 and sum(r["kind"] == "few" for r in found) == 2
+
+
+def test_missing_and_large_keys(spark):
+    rows = [(k, i, i * S) for k in (None, 2**53, 2**53 + 1) for i in range(30)]
+    df = spark.createDataFrame(rows, "run_id long, flow_index long, ts_us long")
+    fired = alerts.burst_alerts(df, ["run_id"])
+    assert sorted((r["run_id"] or 0, r["ts_us"]) for r in fired.collect()) == [(0, 9 * S), (2**53, 9 * S), (2**53 + 1, 9 * S)]
+    kinds = alerts.alert_breakdown(df.withColumn("kind", F.lit("x")), fired, {"k": "kind"}, ["flow_index"], ["run_id"])
+    assert sorted((r["run_id"] or 0, r["count"]) for r in kinds.collect()) == [(0, 10), (2**53, 10), (2**53 + 1, 10)]
+    passed = alerts.admit(df, 2, 40 * S, ["flow_index"], ["run_id"])
+    assert sorted((r["run_id"] or 0, r["flow_index"]) for r in passed.collect()) == [(k, i) for k in (0, 2**53, 2**53 + 1) for i in (0, 1)]
+
+
+def test_counts_have_no_top(spark):
+    df = spark.range(12_000).select(F.lit(0).alias("run_id"), F.col("id").alias("flow_index"), F.col("id").alias("ts_us"))
+    assert alerts.recent_attacks(df).agg(F.max("recent")).first()[0] == 12_000
+
+
 def test_without_groups(spark):
     assert alerts.burst_alerts(frame(spark, [i * 0.5 for i in range(30)])).count() == 1
     assert alerts.admit(frame(spark, [0, 0.1, 0.2]), 2, S, ["flow_index"]).count() == 2

@@ -76,13 +76,19 @@ def test_flow_invariants(spark, sf_dir):
     assert tuple(t) == tuple(p)
 
 
-def test_crowded_slices_are_noticed(spark, sf_dir, monkeypatch):
+def test_packets_without_a_port_keep_their_gaps(spark, sf_dir):
+    df = view(spark, sf_dir, "packets").limit(60).withColumns({"src_port": F.lit(None).cast("int"), "src_ip": F.lit("a"), "dst_ip": F.lit("b"), "dst_port": F.lit(2), "protocol": F.lit(6)})
+    out = flows.with_interarrival(df)
+    assert out.count() == 60
+    gaps = out.groupBy("session", "is_fwd").agg(F.sum("iat_us").alias("g"), (F.max("ts_us") - F.min("ts_us")).alias("span")).collect()
+    assert all((r["g"] or 0) == r["span"] for r in gaps)
+
+
+def test_long_time_outs(spark, sf_dir):
     df = view(spark, sf_dir, "packets")
-    assert flows.choose_slicing(df) == {"slice_us": 120_000_000, "preaggregate": False}
-    monkeypatch.setattr(flows, "MAX_GROUP_ROWS", flows.largest_slice(df, 120_000_000) - 1)
-    assert flows.choose_slicing(df) == {"slice_us": 10_000_000, "preaggregate": False}
-    monkeypatch.setattr(flows, "MAX_GROUP_ROWS", 1)
-    assert flows.choose_slicing(df) == {"slice_us": 1_000_000, "preaggregate": True}
+    hour = flows.flow_moments(df, timeout_us=7_200_000_000)
+    assert hour.count() < flows.flow_moments(df).count()
+    assert hour.where("fwd_gap_sq < 0 or bwd_gap_sq < 0").count() == 0
 
 
 def test_feature_contract():

@@ -52,6 +52,13 @@ def test_multiclass_forest_and_one_vs_rest(spark, parts, sf_dir):
     assert len(models.probabilities(forest, df).first()["probabilities"]) == 3
     boosted = models.fit(models.ModelSpec("G", "boosted", {"maxIter": 2, "maxDepth": 2}), df, contract, "y")
     assert {r[0] for r in boosted.transform(df).select("prediction").distinct().collect()} <= {0.0, 1.0, 2.0}
+    for model in (forest, boosted):
+        native = [int(r[0]) for r in model.transform(df).select("prediction").collect()]
+        got = models.predict(model, df).collect()
+        assert [r["prediction"] for r in got] == native
+        for r in got:
+            assert sum(r["probabilities"]) == pytest.approx(1.0) and r["probability"] == pytest.approx(1 - r["probabilities"][0])
+            assert r["is_attack"] == (r["prediction"] != 0)
 
 
 def test_scaler_travels_with_the_model(spark, sf_dir, tmp_path):

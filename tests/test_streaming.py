@@ -75,17 +75,22 @@ def test_windows_over_finished_flows(spark, sf_dir, packet_files, tmp_path):
 
 
 def _attack_files(spark, sf_dir, folder):
+    """Three files of attacks; every tenth attack comes one file late, within the watermark. The last file ends all."""
     df = view(spark, sf_dir, "packets").select((F.col("packet_id") % 3).alias("run_id"), "packet_id", "ts_us")
+    span = df.approxQuantile("ts_us", [0.33, 0.66], 0.0)
+    part = F.when(F.col("ts_us") <= span[0], 0).when(F.col("ts_us") <= span[1], 1).otherwise(2)
+    late = (F.col("packet_id") % 10 == 0).cast("int")
+    placed = df.withColumn("part", F.least(part + late, F.lit(2)))
     for i in range(3):
-        span = df.approxQuantile("ts_us", [0.0, 0.33, 0.66, 1.0], 0.0)
-        part = df.where((F.col("ts_us") > span[i] - (1 if i == 0 else 0)) & (F.col("ts_us") <= span[i + 1]))
-        part.coalesce(1).write.mode("append").parquet(folder)
+        placed.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(folder)
+    end = df.agg(F.max("ts_us")).first()[0] + 7_200_000_000
+    spark.createDataFrame([(99, -1, end)], "run_id long, packet_id long, ts_us long").coalesce(1).write.mode("append").parquet(folder)
     return df
 
 
 def _source(spark, folder):
     raw = spark.readStream.schema("run_id long, packet_id long, ts_us long").option("maxFilesPerTrigger", 1).parquet(folder)
-    return ps.with_event_time(raw)
+    return ps.with_event_time(raw, "1 hour")
 
 
 def test_alert_and_admission_streams_equal_batch(spark, sf_dir, tmp_path):

@@ -123,3 +123,18 @@ def test_wide_histogram_and_issues(spark, sf_dir):
     assert per == df.where("isnotnull(bytes_s) and not isnan(bytes_s) and abs(bytes_s) < double('Infinity')").count()
     clean_df = clean.clean(df, clean.CleanRules(copy_mark="_1"))
     assert audit.missing_values(clean_df.drop("label")).count() == audit.infinities(clean_df).count() == 0
+
+
+def test_samples_are_exact_when_keys_repeat(spark):
+    df = spark.range(100).select((F.col("id") % 5).alias("k"), "id", F.lit(1).alias("label_binary"))
+    for n in (3, 10, 20, 33):
+        assert split.sample_rows(df, n, ["k"]).count() == n
+        assert split.sample_positives(df.union(df), n, "label_binary", ["k"]).count() == n
+
+
+def test_curves_keep_missing_groups_and_end_points(spark):
+    df = spark.createDataFrame([(None, 1, 0.9), (None, 0, 0.2), ("a", 1, 0.5)], "g string, y_true int, probability double")
+    got = evaluate.curve_points(df, groups=["g"]).collect()
+    assert sum(r["g"] is None for r in got) == 3 and sum(r["g"] == "a" for r in got) == 2
+    ends = [r for r in got if r["threshold"] == float("inf")]
+    assert len(ends) == 2 and all((r["fpr"], r["tpr"], r["precision"]) == (0.0, 0.0, 1.0) for r in ends)
