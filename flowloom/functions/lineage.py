@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,11 +22,20 @@ def session_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/flowloom-{spark.sparkContext.applicationId}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back. ``clear`` removes what a session has written."""
-    path = f"{session_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+def cut(df: DataFrame, release: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back. ``clear`` removes what a session has written.
+
+    Spark deletes shuffle files once the driver has collected the plans they belong to. With ``release`` the driver is
+    asked to collect now, which pays after a plan that has sent much.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path = f"{session_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if release:
+        del df
+        gc.collect()
+        spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> None:

@@ -14,16 +14,21 @@ from flowloom.operators.evaluate import binary_scores, confusion_counts
 _COUNTERS = ("flows_processed", "alerts_generated", "true_positives", "false_positives", "true_negatives", "false_negatives")
 
 
-def snapshots(scored: DataFrame, interval_us: int, groups: Sequence[str] = (), time_us: str = "ts_us") -> DataFrame:
+def snapshots(
+    scored: DataFrame, interval_us: int, groups: Sequence[str] = (), time_us: str = "ts_us", latency: str | None = None
+) -> DataFrame:
     """Cumulative counters per interval with rates since the interval before.
 
-    Rows are counted per interval first; only one row per interval goes into the running sums.
+    Rows are counted per interval first; only one row per interval goes into the running sums. With ``latency`` the exact
+    interpolated p50, p95 and p99 of the interval are added; its distinct values are counted before they are sent.
     """
     tick = F.floor(F.col(time_us) / F.lit(interval_us))
     cells = confusion_counts(F.col("y_true"), F.col("prediction"))
     per = scored.groupBy(*groups, tick.alias("tick")).agg(
         F.count(F.lit(1)).alias("flows"), F.count_if(F.col("prediction") == 1).alias("alerts"),
-        *[c.alias(f"d_{k}") for k, c in cells.items()])
+        *[c.alias(f"d_{k}") for k, c in cells.items()],
+        *([F.percentile(F.col(latency).cast("double"), F.array(*[F.lit(p) for p in (0.5, 0.95, 0.99)])).alias("_q")] if latency else []))
+    quantiles = [F.col("_q")[i].alias(f"p{n}_ms") for i, n in enumerate((50, 95, 99))] if latency else []
     names = {"flows_processed": "flows", "alerts_generated": "alerts", **{k: f"d_{k}" for k in cells}}
     total = cut(running_totals(cut(per), ["tick"], {k: F.col(v) for k, v in names.items()}, groups))
     total = trailing_rows(total, 2, ["tick"], {"_before": F.min("tick")}, groups)
@@ -31,7 +36,7 @@ def snapshots(scored: DataFrame, interval_us: int, groups: Sequence[str] = (), t
     seconds = F.greatest(F.col("tick") - F.col("_before"), F.lit(1)) * F.lit(interval_us / 1e6)
     return total.select(
         *groups, "tick", *_COUNTERS,
-        (F.col("flows") / seconds).alias("flows_per_second"), (F.col("alerts") / seconds).alias("alerts_per_second"),
+        (F.col("flows") / seconds).alias("flows_per_second"), (F.col("alerts") / seconds).alias("alerts_per_second"), *quantiles,
     ).withColumns({k: v for k, v in binary_scores().items() if k != "specificity"})
 
 
@@ -72,11 +77,25 @@ def session_stats(packets: DataFrame, flows: DataFrame) -> DataFrame:
         F.lit(p["n"] / seconds if seconds > 0 else 0.0).alias("packets_per_second"))
 
 
-def live_totals(packets: DataFrame, bucket_us: int) -> DataFrame:
-    """Packets per time bucket with running total."""
-    per = packets.groupBy(F.floor(F.col("ts_us") / F.lit(bucket_us)).alias("tick")).agg(F.count(F.lit(1)).alias("packets"))
-    total = running_totals(per, ["tick"], {"total_packets": F.col("packets")})
-    return total.select("tick", "packets", "total_packets", (F.col("packets") / F.lit(bucket_us / 1e6)).alias("packets_per_sec"))
+def live_totals(packets: DataFrame, flows: DataFrame, bucket_us: int, timeout_us: int = 120_000_000) -> DataFrame:
+    """Per time bucket: packets, and so far packets, flows, attacks and their share, and the flows that are still open.
+
+    ``flows`` has start_us, end_us and is_attack. A flow counts from its first packet on and is open until its time-out
+    has passed. Each table is counted per bucket before anything is added up.
+    """
+    def tick(c: Column) -> Column:
+        return F.floor(c / F.lit(bucket_us)).alias("tick")
+
+    zero = F.lit(0).cast("long")
+    seen = packets.select(tick(F.col("ts_us")), F.lit(1).cast("long").alias("packets"), *[zero.alias(c) for c in ("flows", "attacks", "open")])
+    opened = flows.select(
+        tick(F.col("start_us")), zero.alias("packets"), F.lit(1).cast("long").alias("flows"), F.col("is_attack").cast("long").alias("attacks"), F.lit(1).cast("long").alias("open"))
+    closed = flows.select((tick(F.col("end_us") + F.lit(timeout_us)) + 1).alias("tick"), *[zero.alias(c) for c in ("packets", "flows", "attacks")], F.lit(-1).cast("long").alias("open"))
+    per = seen.unionByName(opened).unionByName(closed).groupBy("tick").agg(*[F.sum(c).alias(c) for c in ("packets", "flows", "attacks", "open")])
+    total = running_totals(per, ["tick"], {"total_packets": F.col("packets"), "total_flows": F.col("flows"), "total_attacks": F.col("attacks"), "active_flows": F.col("open")})
+    return total.select(
+        "tick", "packets", "total_packets", (F.col("packets") / F.lit(bucket_us / 1e6)).alias("packets_per_sec"), "total_flows", "total_attacks", "active_flows",
+        (F.col("total_attacks") / F.greatest(F.col("total_flows"), F.lit(1))).alias("attack_rate"))
 
 
 def top_values(df: DataFrame, keys: dict[str, Column], k: int = 10) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowloom.operators import alerts, evaluate, monitor, runs, score
+from flowloom.operators import alerts, evaluate, flows, monitor, runs, score
+from flowloom.plans.flow_plans import FLOW_CTE
 from flowloom.plans.registry import register, rounded
 from flowloom.plans.views import cte, table, view
+from flowloom.streaming import packet_flows
 
 SC = cte("scored") + """, dec as (select *, (probability >= 0.5)::int as prediction, probability >= 0.5 as is_attack,
   case when probability >= 0.5 then probability else 1 - probability end as confidence from scored)
@@ -272,17 +274,17 @@ def w3(spark, sf_dir):
 
 
 _HOUR = 3_600_000_000
-_SNAP = SC + f""", t as (select run_id, ts_us // {_HOUR} as tick, count(*) as flows, sum(prediction) as alerts, {_CELLS} from dec group by all),
-  c as (select run_id, tick, flows, alerts, coalesce(tick - lag(tick) over (partition by run_id order by tick), 1) * 3600.0::double as secs, """ + ", ".join(
+_SNAP = SC + f""", t as (select run_id, ts_us // {_HOUR} as tick, count(*) as flows, sum(prediction) as alerts, {_CELLS}, quantile_cont(latency_ms, [0.5, 0.95, 0.99]) as q from dec group by all),
+  c as (select run_id, tick, flows, alerts, q, coalesce(tick - lag(tick) over (partition by run_id order by tick), 1) * 3600.0::double as secs, """ + ", ".join(
     f"cast(sum({a}) over (partition by run_id order by tick) as bigint) as {b}" for a, b in (
         ("flows", "flows_processed"), ("alerts", "alerts_generated"), *[(k, k) for k in ("true_positives", "false_positives", "true_negatives", "false_negatives")])
-) + " from t), m as (" + metrics_sql("c", 6, "run_id, tick, flows_processed, alerts_generated, round(flows / secs, 9) as flows_per_second, round(alerts / secs, 9) as alerts_per_second,") + """)
+) + " from t), m as (" + metrics_sql("c", 6, "run_id, tick, flows_processed, alerts_generated, round(flows / secs, 9) as flows_per_second, round(alerts / secs, 9) as alerts_per_second, round(q[1], 6) as p50_ms, round(q[2], 6) as p95_ms, round(q[3], 6) as p99_ms,") + """)
   select * exclude (specificity) from m"""
 
 
 @register("w4_w5_snapshots", _SNAP)
 def w4(spark, sf_dir):
-    df = monitor.snapshots(_dec(spark, sf_dir), _HOUR, ["run_id"])
+    df = monitor.snapshots(_dec(spark, sf_dir), _HOUR, ["run_id"], latency="latency_ms")
     fast = {c: F.round(c, 9) for c in ("flows_per_second", "alerts_per_second")}
     return rounded(df.withColumns(fast), 6, skip=tuple(fast))
 
@@ -290,10 +292,9 @@ def w4(spark, sf_dir):
 @register("st7_live_metrics", SC + f""", t as (select ts_us // {_HOUR} as tick, count(*) as flows, sum(prediction)::bigint as alerts, {_CELLS} from dec group by all),
   m as ({metrics_sql('t', 6, 'tick, flows, alerts,')}) select * exclude (specificity) from m""")
 def st7(spark, sf_dir):
-    df = _dec(spark, sf_dir).withColumn("tick", F.floor(F.col("ts_us") / F.lit(_HOUR)))
-    cells = evaluate.confusion_counts(F.col("y_true"), F.col("prediction"))
-    per = df.groupBy("tick").agg(F.count(F.lit(1)).alias("flows"), F.count_if("is_attack").alias("alerts"), *[c.alias(k) for k, c in cells.items()])
-    return rounded(per.withColumns({k: v for k, v in evaluate.binary_scores().items() if k != "specificity"}))
+    per = packet_flows.live_metrics(_dec(spark, sf_dir).withColumn("ts", F.timestamp_micros("ts_us")), "1 hour")
+    tick = F.floor(F.unix_micros("window.start") / F.lit(_HOUR)).alias("tick")
+    return rounded(per.select(tick, *[c for c in per.columns if c not in ("window", "specificity")]))
 
 
 @register("w6_moving_stats", SC + """select flow_index, round(avg(latency_ms) over w, 8) as mean, min(latency_ms) over w as min, max(latency_ms) over w as max,
@@ -391,10 +392,18 @@ def a24(spark, sf_dir):
     return rounded(monitor.session_stats(df.select("ts_us"), df))
 
 
-@register("st9_live_totals", cte("packets") + """, t as (select ts_us // 1000000 as tick, count(*) as packets from packets group by all)
-  select tick, packets, cast(sum(packets) over (order by tick) as bigint) as total_packets, packets / 1.0::double as packets_per_sec from t""")
+@register("st9_live_totals", FLOW_CTE + """, fl as (select min(ts_us) as a, max(ts_us) as z, bool_or(dst_port = 80 or src_port = 80) as attack from sessions
+    group by src_ip, src_port, dst_ip, dst_port, protocol, session),
+  t as (select ts_us // 1000000 as tick, 1 as p, 0 as f, 0 as k, 0 as o from packets union all select a // 1000000, 0, 1, attack::int, 1 from fl
+    union all select (z + 120000000) // 1000000 + 1, 0, 0, 0, -1 from fl),
+  s as (select tick, sum(p) as p, sum(f) as f, sum(k) as k, sum(o) as o from t group by tick),
+  c as (select tick, p::bigint as packets, cast(sum(p) over w as bigint) as total_packets, p / 1.0::double as packets_per_sec, cast(sum(f) over w as bigint) as total_flows,
+    cast(sum(k) over w as bigint) as total_attacks, cast(sum(o) over w as bigint) as active_flows from s window w as (order by tick))
+  select *, round(total_attacks / greatest(total_flows, 1)::double, 9) as attack_rate from c""")
 def st9(spark, sf_dir):
-    return monitor.live_totals(view(spark, sf_dir, "packets"), 1_000_000)
+    packets = view(spark, sf_dir, "packets")
+    finished = flows.flow_moments(packets).withColumn("is_attack", (F.col("src_port") == 80) | (F.col("dst_port") == 80))
+    return rounded(monitor.live_totals(packets, finished, 1_000_000), 9)
 
 
 @register("a26_top_sources_ports", SC + """select 'src_ip' as key, * from (select src_ip as value, count(*) as "count" from dec where is_attack group by all order by 2 desc, 1 limit 10)

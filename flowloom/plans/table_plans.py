@@ -217,8 +217,8 @@ def p12(spark, sf_dir):
     return clean.zero_bad_cells(_raw(spark, sf_dir), ["bytes_s", "fwd_len"]).select("l_orderkey", "l_linenumber", "bytes_s", "fwd_len")
 
 
-_SC = ("fwd_len", "bytes_s", "const_col")
-_SCALE_BASE = RAW + f", z as (select {ID}, fwd_len, const_col, coalesce({FIN.format('bytes_s')}, 0) as bytes_s from flows_raw)"
+_SC = ("fwd_len", "bytes_s", "iat_mean", "down_up", "const_col")
+_SCALE_BASE = RAW + f", z as (select {ID}, fwd_len, iat_mean, down_up, const_col, coalesce({FIN.format('bytes_s')}, 0) as bytes_s from flows_raw)"
 
 
 def _p13(kind, a, b):
@@ -423,9 +423,9 @@ def o1(spark, sf_dir):
 def o2(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem")
     cols = ("quantity", "extendedprice", "discount", "tax")
-    cells = [F.struct(F.lit(c).alias("feature"), F.var_samp(f"l_{c}").alias("variance")) for c in cols]
-    rows = df.agg(F.array(*cells).alias("r")).select(F.explode("r").alias("r")).select("r.*")
-    return rounded(rows.orderBy(F.desc("variance")).limit(2), 4)
+    best = [c.removeprefix("l_") for c in audit.top_variance(df, [f"l_{c}" for c in cols], 2)]
+    cells = [F.struct(F.lit(c).alias("feature"), F.var_samp(f"l_{c}").alias("variance")) for c in best]
+    return rounded(df.agg(F.array(*cells).alias("r")).select(F.explode("r").alias("r")).select("r.*"), 4)
 
 
 @register("o4_first_rows", "select event_id, value from events order by event_id limit 50")
