@@ -13,10 +13,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowloom.functions.lineage import cut
 from flowloom.operators import evaluate, scale, score
 
 FEATURES = "features"
 WEIGHT = "_weight"
+VALIDATION = "_validation"
 
 
 @dataclass(frozen=True)
@@ -83,20 +85,28 @@ def fit(
     seed: int = 42,
     classes: int | None = None,
     scaler: scale.Params | None = None,
+    validation: DataFrame | None = None,
 ) -> PipelineModel:
     """Train one model on the contract columns (or on a ready ``features`` vector).
 
     With ``scaler`` parameters, fitted on the training rows, scaling is the first pipeline stage,
-    so batch and live scoring cannot miss it.
+    so batch and live scoring cannot miss it. Boosted trees of two classes stop early on ``validation`` rows.
     """
     classes = classes or int(train.agg(F.max(label)).first()[0]) + 1
     data = with_class_weights(train, label) if spec.balanced else train
+    watched = validation is not None and spec.kind == "boosted" and classes == 2
+    if watched:
+        seen = validation.withColumn(WEIGHT, F.lit(1.0)) if spec.balanced else validation
+        data = data.withColumn(VALIDATION, F.lit(False)).unionByName(seen.withColumn(VALIDATION, F.lit(True)), allowMissingColumns=True)
     stages: list = []
     if FEATURES not in data.columns:
         names = [scale.scaled_name(c) for c in contract] if scaler else list(contract)
         stages = [scale.scaler_stage({c: scaler[c] for c in contract})] if scaler else []
         stages.append(VectorAssembler(inputCols=names, outputCol=FEATURES))
-    return Pipeline(stages=[*stages, estimator(spec, label, len(contract), classes, seed)]).fit(data)
+    last = estimator(spec, label, len(contract), classes, seed)
+    if watched:
+        last = last.setValidationIndicatorCol(VALIDATION)
+    return Pipeline(stages=[*stages, last]).fit(data)
 
 
 def class_count(model: PipelineModel) -> int:
@@ -153,10 +163,10 @@ def sweep(
     rows, fitted = [], {}
     for spec in specs:
         start = time.time()
-        model = fit(spec, splits["train"], contract, label, seed)
+        model = fit(spec, splits["train"], contract, label, seed, validation=splits["val"])
         row = {"name": spec.name, "training_time": time.time() - start}
         for part in ("val", "test"):
-            row |= evaluate_split(predict(model, splits[part]), label, part)
+            row |= evaluate_split(cut(predict(model, splits[part]).select(label, "probability", "prediction")), label, part)
         rows.append(row)
         fitted[spec.name] = model
     return spark.createDataFrame(rows).orderBy(F.desc("val_f1"), "name"), fitted

@@ -68,14 +68,26 @@ def m10(spark, sf_dir):
 TRAFFIC = ["fwd_len", "bytes_s", "iat_mean"]
 
 
-def traffic_model(spark, sf_dir):
+#: Bound of the rows that the traffic model is fitted on.
+FIT_ROWS = 20_000
+
+
+def traffic_rows(spark, sf_dir, fit_rows=FIT_ROWS):
+    """Fitting rows (a hash sample of at most ``fit_rows``) and all other rows."""
+    rows = view(spark, sf_dir, "labelled")
+    train = split.sample_rows(rows, fit_rows, ["flow_key"])
+    return train, rows.join(train.select("flow_key"), "flow_key", "left_anti")
+
+
+def traffic_model(spark, sf_dir, fit_rows=FIT_ROWS):
     """Boosted trees on the labelled traffic, with the scaler inside the pipeline."""
-    train = split.sample_rows(view(spark, sf_dir, "labelled"), 20_000, ["flow_key"])
+    train, _ = traffic_rows(spark, sf_dir, fit_rows)
     spec = models.ModelSpec("GBT", "boosted", {"maxIter": 20, "maxDepth": 4}, True)
     return models.fit(spec, train, TRAFFIC, "label_binary", classes=2, scaler=scale.fit_scaler(train, TRAFFIC))
 
 
 @register("m10_score_all_traffic")
 def m10_traffic(spark, sf_dir):
-    scored = models.predict(traffic_model(spark, sf_dir), view(spark, sf_dir, "labelled"))
+    """Every row that the model was not fitted on."""
+    scored = models.predict(traffic_model(spark, sf_dir), traffic_rows(spark, sf_dir)[1])
     return evaluate.binary_metrics(scored, "label_binary")

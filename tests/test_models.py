@@ -76,3 +76,14 @@ def test_scaler_travels_with_the_model(spark, sf_dir, tmp_path):
     assert "fwd_len__scaled" not in a.columns
     pick = ("flow_key", "probability")
     assert sorted(map(tuple, a.select(*pick).collect())) == sorted(map(tuple, b.select(*pick).collect()))
+
+
+def test_boosted_trees_stop_on_validation_rows(spark, sf_dir):
+    from flowloom.plans.views import view
+
+    rows = view(spark, sf_dir, "labelled").withColumn("noise", (F.xxhash64("flow_key") % 2 != 0).cast("int"))
+    train, val = rows.where("_day = 'Monday'"), rows.where("_day = 'Friday'")
+    spec = models.ModelSpec("G", "boosted", {"maxIter": 15, "maxDepth": 3}, True)
+    model = models.fit(spec, train, ["fwd_len", "bytes_s"], "noise", classes=2, validation=val)
+    assert len(model.stages[-1].trees) < 15
+    assert models.predict(model, val).count() == val.count()
