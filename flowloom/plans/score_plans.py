@@ -59,6 +59,30 @@ def p29(spark, sf_dir):
     return rounded(score.result_rows(df))
 
 
+def _file_rows(spark, sf_dir):
+    return _dec(spark, sf_dir).withColumns({
+        "timestamp": F.col("ts_us"), "src_port": F.lit(0), "protocol": F.lit(6), "packets": F.lit(1), "bytes": F.lit(40), "duration": F.col("latency_ms")})
+
+
+_FILE = "ts_us as timestamp, src_ip, 0 as src_port, dst_ip, dst_port, 6 as protocol, printf('%.4f', latency_ms) as duration, 1 as packets, 40 as bytes,"
+
+
+@register("s13_flow_file_rows", SC + f"select {_FILE} prediction, case when is_attack then 'ATTACK' else 'BENIGN' end as class_name, is_attack, printf('%.4f', confidence) as confidence from dec")
+def s13(spark, sf_dir):
+    return score.flow_file_rows(_file_rows(spark, sf_dir))
+
+
+@register("s14_attack_file_rows", SC + f"select {_FILE} printf('%.4f', confidence) as confidence, probability from dec where is_attack")
+def s14(spark, sf_dir):
+    return score.attack_file_rows(_file_rows(spark, sf_dir))
+
+
+@register("s14_attack_lines", SC + """select '[' || ts_us || '] ATTACK: ' || src_ip || ':0 -> ' || dst_ip || ':' || dst_port || printf(' (%.1f%%)', confidence * 100) as value
+  from dec where is_attack""")
+def s14_lines(spark, sf_dir):
+    return score.attack_log_lines(_file_rows(spark, sf_dir))
+
+
 _VOTE3 = "(probability * 0.5 + p2 * 0.3 + p3 * 0.2)"
 
 
