@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,15 +27,18 @@ def cut(df: DataFrame, release: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back. ``clear`` removes what a session has written.
 
     Spark deletes shuffle files once the driver has collected the plans they belong to. With ``release`` the driver is
-    asked to collect now, which pays after a plan that has sent much.
+    asked to collect now, which pays after a plan that has sent much. It is asked twice, since listeners hold a plan for a
+    moment after its end.
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{session_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if release:
         del df
-        gc.collect()
-        spark._jvm.System.gc()
+        for _ in range(2):
+            time.sleep(0.5)
+            gc.collect()
+            spark._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
