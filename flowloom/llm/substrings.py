@@ -2,8 +2,8 @@
 
 1. A window of ``WINDOW`` words has an anchor: its run of ``ANCHOR`` words with the smallest hash. Equal windows have equal
    anchors, so an anchor that one document alone has rules its windows out; the others are the shards' key.
-2. The windows of one anchor lie together, as a segment of at most 2 * WINDOW - ANCHOR words. Equal segments of several
-   documents are merged, with the smallest ``doc_id``, before they are sent; a shard indexes the segments of its anchors,
+2. The windows of one anchor lie together, as a segment of at most 2 * WINDOW - ANCHOR words. Equal segments of a batch
+   of documents are merged, with the smallest ``doc_id``, before they are sent; a shard indexes the segments of its anchors,
    searches every window of them backwards and takes the smallest ``doc_id`` over the interval that matches.
 3. A window that a smaller ``doc_id`` has is removed: its words go, whatever else covers them.
 
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,9 +29,9 @@ from pyspark.sql import types as T
 from flowloom.functions.lineage import cut
 from flowloom.llm.columns import add_columns, groups
 from flowloom.llm.fm_index import FMIndex, least_in
-from flowloom.llm.words import WORD_FACTOR, Words, mix, runs
+from flowloom.llm.words import Words, mix, runs, span_sums
 
-WINDOW, ANCHOR = 13, 5
+WINDOW, ANCHOR = 13, 7
 _U = np.uint64
 _FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.StringType())]
 
@@ -53,7 +54,7 @@ def anchors(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _keys(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, text_hash): distinct anchors of each text."""
+    """(key, doc_id): distinct anchors of each text."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,10 +70,10 @@ def _keys(docs: DataFrame) -> DataFrame:
                 new = np.ones(len(order), bool)
                 new[1:] = (owner[1:] != owner[:-1]) | (grams[1:] != grams[:-1])
                 rows = pa.array(owner[new] + start)
-                yield pa.RecordBatch.from_arrays([pa.array(grams[new].view(np.int64)), batch.column(0).take(rows), batch.column(2).take(rows)], names=["key", "doc_id", "text_hash"])
+                yield pa.RecordBatch.from_arrays([pa.array(grams[new].view(np.int64)), batch.column(0).take(rows)], names=["key", "doc_id"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "text_hash").mapInArrow(step, f"key long, doc_id {kind}, text_hash long")
+    return docs.select("doc_id", "text").mapInArrow(step, f"key long, doc_id {kind}")
 
 
 def _shared(keys: DataFrame) -> DataFrame:
@@ -106,46 +107,58 @@ def _shared(keys: DataFrame) -> DataFrame:
     return keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(step, keys.schema)
 
 
+def _tags(keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return mix(keys ^ mix(rows.astype(_U) + _U(1)))
+
+
 def _segments(marked: DataFrame, with_words: bool) -> DataFrame:
-    """One row a shared anchor of a text: doc_id, text_hash, first window, anchor and a hash of the words, or the words."""
+    """One row a shared anchor of a text: doc_id, text_hash, first window, anchor and a hash of the words.
+
+    With words, equal segments of a batch are one row, with the smallest ``doc_id``, and the words are added.
+    """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for i in range(batch.num_rows):
-                text = batch.column(2).slice(i, 1)
-                words = Words(text)
+            docs = batch.column(0).to_numpy()
+            out: list[list] = [[], [], [], []]
+            texts: list[bytes] = []
+            for start, stop in groups(batch.column(2)):
+                words = Words(batch.column(2).slice(start, stop - start))
                 hashes = words.hashes()
                 starts, at = anchors(hashes, words.first)
-                found = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
+                if not len(at):
+                    continue
+                found = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
                 ends = np.append(found[1:], len(at)) - 1
-                grams = runs(hashes, ANCHOR)[at[found]].view(np.int64)
-                wanted = np.isin(grams, batch.column(3)[i].values.to_numpy())
-                found, ends, grams = found[wanted], ends[wanted], grams[wanted]
-                lo, hi = starts[found], starts[ends] + WINDOW
-                total = np.zeros(len(hashes) + 1, _U)
-                for size in np.unique(hi - lo).tolist():
-                    names = runs(hashes, size)
-                    mine = hi - lo == size
-                    total[lo[mine]] = names[lo[mine]] * _U(WORD_FACTOR) + _U(size)
-                out[0] += [i] * len(lo)
-                out[1] += lo.tolist()
-                out[2] += grams.tolist()
-                out[3] += mix(total[lo]).view(np.int64).tolist()
+                owner = np.searchsorted(words.first, at[found], side="right") - 1
+                grams = runs(hashes, ANCHOR)[at[found]]
+                keys = batch.column(3).slice(start, stop - start)
+                key_rows = np.repeat(np.arange(stop - start), pc.fill_null(pc.list_value_length(keys), 0).to_numpy())
+                wanted = np.isin(_tags(grams, owner), _tags(keys.flatten().to_numpy().view(_U), key_rows))
+                lo, hi, owner, grams = starts[found][wanted], starts[ends][wanted] + WINDOW, owner[wanted], grams[wanted].view(np.int64)
+                names = mix(span_sums(hashes, None, lo, hi) + (hi - lo).astype(_U)).view(np.int64)
+                rows = owner + start
                 if with_words:
-                    raw = words.data
-                    out[4] += [raw[a:b].tobytes() for a, b in zip(words.starts[lo].tolist(), words.ends[hi - 1].tolist(), strict=True)]
-            rows = pa.array(out[0], pa.int64())
-            arrays = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays + ([pa.array(out[4], pa.binary())] if with_words else []), names=["doc_id", "text_hash", "at", "key", "name"] + ["words"] * with_words)
+                    order = np.lexsort((docs[rows], names, grams))
+                    new = np.append(True, (grams[order][1:] != grams[order][:-1]) | (names[order][1:] != names[order][:-1]))[: len(order)]
+                    lo, hi, owner, grams, names, rows = (x[order[new]] for x in (lo, hi, owner, grams, names, rows))
+                    raw = words.data.tobytes()
+                    texts += [raw[a:b] for a, b in zip(words.starts[lo].tolist(), words.ends[hi - 1].tolist(), strict=True)]
+                for kept, new_part in zip(out, (rows, lo - words.first[owner], grams, names), strict=True):
+                    kept.append(new_part)
+            rows, at, grams, names = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+            arrays = [batch.column(0).take(pa.array(rows)), pa.array(grams), pa.array(names)]
+            if with_words:
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(texts, pa.binary())], names=["doc_id", "key", "name", "words"])
+            else:
+                yield pa.RecordBatch.from_arrays([*arrays, batch.column(1).take(pa.array(rows)), pa.array(at, pa.int32())], names=["doc_id", "key", "name", "text_hash", "at"])
 
     kind = marked.schema["doc_id"].dataType.simpleString()
-    return marked.select("doc_id", "text_hash", "text", "keys").mapInArrow(step, f"doc_id {kind}, text_hash long, at int, key long, name long" + ", words binary" * with_words)
+    return marked.select("doc_id", "text_hash", "text", "keys").mapInArrow(step, f"doc_id {kind}, key long, name long, " + ("words binary" if with_words else "text_hash long, at int"))
 
 
 def _searched(segments: DataFrame) -> DataFrame:
     """(key, name, first): for the windows of each distinct segment, the smallest doc_id that has them."""
-    distinct = segments.groupBy("key", "name").agg(F.min("doc_id").alias("doc_id"), F.first("words").alias("words"))
     n = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,30 +166,31 @@ def _searched(segments: DataFrame) -> DataFrame:
         if not shard:
             return
         table = pa.Table.from_batches(shard).combine_chunks()
+        keys, names, docs = (table.column(c).to_numpy() for c in ("key", "name", "doc_id"))
+        order = np.lexsort((docs, names, keys))
+        new = np.append(True, (keys[order][1:] != keys[order][:-1]) | (names[order][1:] != names[order][:-1]))
+        table, docs = table.take(pa.array(order[new])), docs[order[new]]
         words = Words(table.column("words").combine_chunks().cast(pa.string()))
-        names, ids = np.unique(words.hashes(), return_inverse=True)
-        docs = table.column("doc_id").to_numpy()
+        ids = np.unique(words.hashes(), return_inverse=True)[1]
         counts = np.diff(words.first)
         # Segments one after another, each with a 0 behind.
         line = np.zeros(len(ids) + len(counts), np.int64)
-        owner = np.repeat(np.arange(len(counts)), counts)
-        line[np.arange(len(ids)) + owner] = ids + 1
+        line[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids + 1
         windows = counts - WINDOW + 1
         inner = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
         starts = np.repeat(words.first[:-1] + np.arange(len(counts)), windows) + inner
         index = FMIndex(line)
-        of_suffix = docs[np.minimum(np.repeat(np.arange(len(counts)), counts + 1), len(docs) - 1)][index.suffixes]
-        firsts = []
-        for at in range(0, len(starts), 1 << 18):
-            firsts.append(index.intervals(starts[at : at + (1 << 18)], WINDOW))
-        low, high = (np.concatenate([x[k] for x in firsts]) if firsts else np.zeros(0, np.int64) for k in (0, 1))
-        least = least_in((low, high), of_suffix)
-        lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(windows)).astype(np.int32), pa.array(least))
+        of_suffix = np.repeat(docs, counts + 1)[index.suffixes]
+        low, high = np.empty(len(starts), np.int64), np.empty(len(starts), np.int64)
+        for at in range(0, len(starts), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            low[part], high[part] = index.intervals(starts[part], WINDOW)
+        lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(windows)).astype(np.int32), pa.array(least_in((low, high), of_suffix)))
         out = pa.Table.from_arrays([table.column("key"), table.column("name"), lists], names=["key", "name", "first"])
         yield from out.to_batches(max_chunksize=10_000)
 
     kind = segments.schema["doc_id"].dataType.simpleString()
-    return distinct.repartition(n, "key").mapInArrow(step, f"key long, name long, first array<{kind}>")
+    return segments.repartition(n, "key").mapInArrow(step, f"key long, name long, first array<{kind}>")
 
 
 def _cut_words(texts: pa.Array, starts: pa.Array, keep_text: bool) -> list[pa.Array]:
@@ -204,8 +218,8 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     others = [c for c in docs.columns if c not in ("doc_id", "text", *added)]
     # Other columns travel in one, so their names cannot meet those in use here.
     named = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(0).alias("none")]).alias("others"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    hits = _shared(_keys(named.filter("doc_id is not null"))).groupBy("doc_id", "text_hash").agg(F.collect_set("key").alias("keys"))
-    marked = named.join(hits, ["doc_id", "text_hash"], "left")
+    hits = _shared(_keys(named.filter("doc_id is not null"))).groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    marked = named.join(hits, "doc_id", "left")
 
     def whole(batch: pa.RecordBatch) -> list[pa.Array]:
         names = batch.schema.names
@@ -218,7 +232,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     if not keep_text:
         # A text without shared anchors is finished here and need not be sent again.
         first = first.withColumn("text", F.when(F.col("keys").isNotNull(), F.col("text")))
-    first = cut(first)
+    first = cut(first, release=True)
     open_ = first.filter("keys is not null")
     found = _segments(open_, False).join(_searched(_segments(open_, True)), ["key", "name"])
     late = F.filter(F.transform("first", lambda f, i: F.when(f < F.col("doc_id"), F.col("at") + i)), lambda x: x.isNotNull())
@@ -236,7 +250,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
         picked = pa.array(rows)
         new = _cut_words(batch.column(names.index("text")).take(picked), gone_at.take(picked), keep_text)
         where = pa.array(np.isin(np.arange(batch.num_rows), rows))
-        return [pa.compute.replace_with_mask(o, where, n) for o, n in zip(out, new, strict=True)]
+        return [pc.replace_with_mask(o, where, n) for o, n in zip(out, new, strict=True)]
 
     out = add_columns(joined.withColumnsRenamed({f.name: "_" + f.name for f in _FIELDS}), rest, _FIELDS)
     names = {c: F.col(f"others.`{c}`").alias(c) for c in others} | {c: F.col(c) for c in ("doc_id", "text")}
