@@ -97,6 +97,14 @@ def test_near_classes_as_brute_force(spark):
     assert len({c for _, c in got.values()}) < len(rows)
 
 
+def test_blocks_find_what_the_centres_would(spark, monkeypatch):
+    monkeypatch.setattr(near, "STAR_ROUNDS", 0)
+    monkeypatch.setattr(near, "BLOCK", 7)
+    rows = edits(seed=8)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.near_classes(frame(spark, rows)).collect()}
+    assert got == plain_classes(rows)
+
+
 def test_near_classes_on_awkward_rows(spark):
     rows = with_more(frame(spark, AWKWARD))
     got = near.near_classes(rows).collect()
