@@ -35,8 +35,8 @@ CAPACITY, GRAIN, END = 2048, 64, 1
 KEPT_PIECES, KEPT_LENGTH = 300_000, 100
 #: White space next to a blank: the tokenizer may then join blanks across the cut.
 _JOINED_BLANK = re.compile(r"\s | \s")
-#: Printable ASCII without "<" (special tokens), and the letters of Latin-1.
-_LATIN = re.compile("[ -;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+#: Line feeds, printable ASCII without "<" (special tokens), and the letters of Latin-1.
+_LATIN = re.compile("[\\n -;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 SCHEMA = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -75,7 +75,7 @@ class BlankLedTokens:
         """Little-endian 32-bit ids of each text. A single blank between two other characters always begins a word."""
         texts = [t or "" for t in texts]
         cut = [None if _JOINED_BLANK.search(t) else t.split(" ") for t in texts]
-        met = {p for parts in cut if parts for p in parts[1:]}
+        met = set().union(*(parts[1:] for parts in cut if parts))
         needed = met - self.kept.keys()
         if len(self.kept) + len(needed) > KEPT_PIECES:  # what is not met again until the next time is forgotten
             self.older, self.kept = self.kept, {}
