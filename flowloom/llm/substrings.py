@@ -237,7 +237,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     found = _segments(open_, False).join(_searched(_segments(open_, True)), ["key", "name"])
     late = F.filter(F.transform("first", lambda f, i: F.when(f < F.col("doc_id"), F.col("at") + i)), lambda x: x.isNotNull())
     gone = found.select("doc_id", "text_hash", late.alias("gone")).filter(F.size("gone") > 0)
-    gone = gone.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+    gone = cut(gone.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("gone")).alias("gone")), release=True)
     joined = first.join(gone, ["doc_id", "text_hash"], "left")
 
     def rest(batch: pa.RecordBatch) -> list[pa.Array]:
