@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowloom.functions.lineage import cut
-from flowloom.llm.columns import add_columns, groups
+from flowloom.llm.columns import add_columns, batches_of, groups
 from flowloom.llm.graph import components
 from flowloom.llm.words import Words, mix, shingle_sets
 
@@ -221,7 +221,8 @@ def near_classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE
     def add(pairs: DataFrame) -> None:
         """Confirm pairs, and join the components that the new links connect."""
         nonlocal labels
-        joins = cut(apart(confirmed(pairs, texts, percent, shingle)).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+        with batches_of(docs.sparkSession, 256):  # two texts a row
+            joins = cut(apart(confirmed(pairs, texts, percent, shingle)).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
         if joins.isEmpty():
             return
         moved = components(joins)
@@ -235,7 +236,9 @@ def near_classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE
         centre = members.groupBy("key").agg(F.max_by(F.struct("node", "part"), order).alias("c"))
         pairs = members.join(centre, "key").filter("part != c.part").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
         add(_alike(pairs, texts))
-    close = cut(_between_parts(parted(), classes, texts).distinct())
+    between = _between_parts(parted(), classes, texts).distinct()
+    with batches_of(docs.sparkSession, 8):  # two blocks a row
+        close = cut(between)
     ranked = [F.row_number().over(Window.partitionBy(side).orderBy(F.desc("n"), "a", "b")) for side in ("a", "b")]
     best = [close.withColumn("rank", rank).filter("rank <= 2").select("a", "b") for rank in ranked]
     add(best[0].union(best[1]).distinct())
