@@ -317,6 +317,30 @@ def test_repeats_with_equal_and_missing_ids(spark):
     assert substrings.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_repeats_of_a_hot_passage_do_not_meet_in_one_index(spark, monkeypatch):
+    rnd = random.Random(4)
+    passage, words = [f"p{i}" for i in range(30)], [f"v{i}" for i in range(5000)]
+    rows = [(i, " ".join([*rnd.choices(words, k=20), *(passage if i % 3 else []), *rnd.choices(words, k=20)])) for i in range(300)]
+    rows += [(300, " ".join(rnd.choices(words, k=9) + passage * 3)), (301, "same " * 100), (302, "same " * 90), (None, " ".join(passage))]
+    sent, search = [], substrings._searched
+    monkeypatch.setattr(substrings, "HOT_SEGMENTS", 20, raising=False)
+    monkeypatch.setattr(substrings, "SHARD_SEGMENTS", 30, raising=False)
+    monkeypatch.setattr(substrings, "_searched", lambda segments: sent.append(segments) or search(segments))
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(frame(spark, rows), keep_text=False).collect() if r.doc_id is not None)
+    assert got == [x[:4] for x in plain_repeats([r for r in rows if r[0] is not None])]
+    most = max(Counter(r.key for r in sent[0].select("key", "name").distinct().collect()).values(), default=0)
+    assert most <= 20
+
+
+def test_shards_end_at_borders_of_keys():
+    keys = np.sort(np.random.default_rng(1).integers(0, 400, 5000))
+    batches = pa.Table.from_pydict({"key": keys}).to_batches(max_chunksize=70)
+    found = [t.column("key").to_numpy() for t in substrings.shards(iter(batches), 200, 1 << 30)]
+    assert np.array_equal(np.concatenate(found), keys) and len(found) > 10
+    assert all(a[-1] < b[0] for a, b in zip(found, found[1:])) and max(map(len, found)) < 200 + 70 + np.bincount(keys).max()
+    assert sum(t.num_rows for t in substrings.shards(iter(batches), 1 << 30, 1)) == len(keys)
+
+
 def test_index_finds_every_occurrence():
     rnd = np.random.default_rng(0)
     line = np.concatenate([np.append(rnd.integers(1, 4, rnd.integers(9, 60)), 0) for _ in range(20)])
