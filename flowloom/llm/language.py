@@ -2,7 +2,8 @@
 
 Every letter has a fixed random vector of +1 and -1. A letter trigram is bound from the vectors of its letters, the
 first rotated twice, the second once. A text is the bundle (sum) of its trigrams; a language's prototype is the bundle
-of its learning texts; a text gets the language whose prototype has the largest cosine.
+of its learning texts; a text gets the language whose prototype has the largest cosine. Unrelated texts have cosines
+around 0 with a standard deviation of 1 / sqrt(dimensions).
 
 Nulls and edges: a null text, an empty one, or one without a letter is ``und`` with score 0. Without any learning row
 every text is ``und``. Of equal cosines the first language in alphabetical order wins. Repeated rows count each time.
@@ -22,7 +23,9 @@ from pyspark.sql import types as T
 from flowloom.llm.columns import add_columns
 from flowloom.llm.words import mix
 
-DIMENSIONS = 512
+DIMENSIONS = 4096
+#: Dimensions that travel in one row when partial bundles are added.
+PIECE = 64
 UNKNOWN = "und"
 #: Trigram vectors that a worker keeps; beyond, it starts anew, so memory stays bounded for any alphabet.
 KEPT_VECTORS = 16_384
@@ -49,15 +52,14 @@ def trigram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=4096)
-def letter_vector(point: int, dimensions: int) -> np.ndarray:
-    """The letter's own +1 and -1, drawn from its code point."""
+def letter_bits(point: int, dimensions: int, turns: int) -> np.ndarray:
+    """The letter's own +1 (as 1) and -1 (as 0), drawn from its code point and rotated."""
     seeds = np.full(-(-dimensions // 64), point, np.uint64) << np.uint64(32) | np.arange(-(-dimensions // 64), dtype=np.uint64)
-    bits = np.unpackbits(mix(seeds + np.uint64(1)).view(np.uint8))[:dimensions]
-    return bits.astype(np.float32) * 2 - 1
+    return np.roll(np.unpackbits(mix(seeds + np.uint64(1)).view(np.uint8))[:dimensions], turns)
 
 
 class TrigramVectors:
-    """Rows of trigram vectors, made when first asked for."""
+    """Rows of trigram vectors, made when first asked for; +1 is kept as 1 and -1 as 0."""
 
     def __init__(self, dimensions: int):
         self.dimensions = dimensions
@@ -66,19 +68,23 @@ class TrigramVectors:
     def _forget(self) -> None:
         self.codes = np.zeros(0, np.uint64)
         self.rows = np.zeros(0, np.int64)
-        self.table = np.zeros((256, self.dimensions), np.float32)
+        self.table = np.zeros((256, self.dimensions), np.uint8)
 
     def bind(self, code: int) -> np.ndarray:
-        a, b, c = (letter_vector(code >> shift & 0x1FFFFF, self.dimensions) for shift in (42, 21, 0))
-        return np.roll(a, 2) * np.roll(b, 1) * c
+        a, b, c = (letter_bits(code >> shift & 0x1FFFFF, self.dimensions, turns) for shift, turns in ((42, 2), (21, 1), (0, 0)))
+        return a ^ b ^ c  # a product of three signs is +1 where an odd number of them is
 
     def bundle(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        total = np.zeros(self.dimensions, np.float64)
+        ones = np.zeros(self.dimensions, np.int64)
         for at in range(0, len(codes), KEPT_VECTORS // 4):
             part = slice(at, at + KEPT_VECTORS // 4)
-            rows = self._find(codes[part])
-            total += counts[part].astype(np.float32) @ self.table[rows]
-        return total
+            rows, left, bit = self._find(codes[part]), counts[part], 0
+            while left.any():
+                odd = rows[(left & 1).astype(bool)]
+                for i in range(0, len(odd), 255):  # so many ones fit into a byte
+                    ones += np.add.reduce(self.table[odd[i : i + 255]], axis=0, dtype=np.uint8).astype(np.int64) << bit
+                left, bit = left >> 1, bit + 1
+        return (2 * ones - int(counts.sum())).astype(np.float64)
 
     def _find(self, codes: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.codes, codes)
@@ -133,6 +139,8 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang", dimensions: i
     vector a language reaches the driver.
     """
 
+    pieces, columns = -(-dimensions // PIECE), [f"v{i}" for i in range(PIECE)]
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted: dict[str, dict[int, int]] = {}
         vectors, sums = _vectors(dimensions), {}
@@ -153,14 +161,17 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang", dimensions: i
         for name in list(counted):
             settle(name)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "vector"])
-
-    partial = rows.filter(F.col(lang).isNotNull()).select(F.col(text).cast("string"), F.col(lang).cast("string")).mapInArrow(step, "lang string, vector array<double>")
-    summed = partial.select("lang", F.posexplode("vector").alias("i", "v")).groupBy("lang", "i").agg(F.sum("v").alias("v"))
-    rows = summed.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "v")))["v"].alias("vector")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
+            found = np.zeros((len(sums), pieces * PIECE))
+            found[:, :dimensions] = list(sums.values())
+            names = pa.array(np.repeat(np.array(list(sums), object), pieces), pa.string())
+            yield pa.RecordBatch.from_arrays([names, pa.array(np.tile(np.arange(pieces, dtype=np.int32), len(sums))), *map(pa.array, found.reshape(-1, PIECE).T.copy())], names=["lang", "piece", *columns])
+
+    partial = rows.filter(F.col(lang).isNotNull()).select(F.col(text).cast("string"), F.col(lang).cast("string")).mapInArrow(step, ", ".join(["lang string, piece int", *[f"{c} double" for c in columns]]))
+    summed = partial.groupBy("lang", "piece").agg(F.array(*[F.sum(c) for c in columns]).alias("v"))
+    rows = summed.groupBy("lang").agg(F.flatten(F.sort_array(F.collect_list(F.struct("piece", "v")))["v"]).alias("vector")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
     if len(rows) > MAX_LANGUAGES:
         raise ValueError(f"column {lang} has more than {MAX_LANGUAGES} values; it does not look like a language column")
-    return Profiles([r["lang"] for r in rows], np.array([r["vector"] for r in rows]).reshape(len(rows), dimensions))
+    return Profiles([r["lang"] for r in rows], np.array([r["vector"] for r in rows]).reshape(len(rows), pieces * PIECE)[:, :dimensions])
 
 
 def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:

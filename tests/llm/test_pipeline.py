@@ -1,5 +1,6 @@
 """The pipeline against the same steps in plain Python."""
 
+import random
 from collections import defaultdict
 
 import corpus_pipeline as pipeline
@@ -43,6 +44,20 @@ def test_pipeline_as_brute_force(spark, sf_dir):
         assert at == len(ids)
 
 
+def test_language_stage_rejects_unseen_scripts(spark, sf_dir):
+    rnd = random.Random(7)
+    known = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*pipeline.COLUMNS)
+    texts = []
+    for low, high in ((0xE01, 0xE2F), (0x430, 0x450), (0xAC00, 0xD7A4), (0x3B1, 0x3CA), (0x10D0, 0x10F1)):
+        letters = [chr(c) for c in range(low, high) if chr(c).isalpha()]
+        texts += [" ".join("".join(rnd.choices(letters, k=rnd.randrange(2, 9))) for _ in range(200)) for _ in range(40)]
+    planted = [(-1 - i, t, None, "planted", len(t)) for i, t in enumerate(texts)]
+    short = [(-1000 - i, t, None, "planted", len(t)) for i, t in enumerate(("the weather is nice today", "where is the station", "this is a short note"))]
+    docs = known.unionByName(spark.createDataFrame(planted + short, known.schema))
+    got = {r.doc_id for r in pipeline.known_language(spark, docs, sf_dir).select("doc_id").collect()}
+    assert not got & {r[0] for r in planted} and got >= {r[0] for r in short}
+
+
 def test_stages():
     assert [n for n, _ in pipeline.STAGES] == ["language", "quality", "near_duplicates", "substrings", "packing"]
     assert pipeline.ORACLE_SQL is None
