@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.functions.lineage import cut
-from flowloom.llm import bpe, chat, language, near, packing, quality, sampling, search, substrings, warc
+from flowloom.llm import bpe, chat, language, near, negatives, packing, pii, quality, sampling, search, substrings, warc, whitening
 from flowloom.llm.columns import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,6 +163,42 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+@register("op11_personal_data")
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.learn(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_added", "base_sha256", "spans")
+
+
+OP12_SQL = """
+with r as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                  list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+           from embeddings where label is not null and embedding is not null
+           and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, a.label as own, b.vec_id, b.label,
+             coalesce(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])), 0)::bigint as score
+      from r a join r b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select * from (select anchor_id, own, vec_id, score, row_number() over (partition by anchor_id order by score desc, vec_id) as n
+                     from s where label = own) where n <= 5),
+c as (select p.anchor_id, p.vec_id as positive_id, p.score as positive_score, s.vec_id as negative_id, s.score as negative_score,
+             row_number() over (partition by p.anchor_id, p.vec_id order by s.score desc, s.vec_id) as rank
+      from p join s on s.anchor_id = p.anchor_id and s.label <> p.own and 100 * s.score between 30 * p.score and 90 * p.score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from c where rank <= 10
+"""
+
+
+@register("op12_hard_negatives", OP12_SQL)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+@register("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
