@@ -1,23 +1,19 @@
 """Burst alerts with cooldown, and a sliding-window admission limit.
 
 Counting is done per distinct microsecond inside time blocks that borrow the end of the block
-before, so one busy key is spread over many tasks. Only the last step is sequential by nature:
-whether an alert fires depends on the alert before. It runs per *episode* (a stretch without a
-pause longer than the cooldown) as a sorted stream with constant memory.
+before, so one busy key is spread over many tasks. Whether an alert fires depends on the alert before, and
+the limit on what it has let through; both run in chunks of time that hand on their state (``chunked``).
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.lineage import cut
-from flowloom.functions.ordered import running_totals
+from flowloom.operators.chunked import cooldown, handed_on, same_keys
 
 THRESHOLD = 10
 WINDOW_US = 60_000_000
@@ -59,39 +55,6 @@ def severity(count: Column, threshold: int = THRESHOLD) -> Column:
     )
 
 
-def _episodes(df: DataFrame, pause_us: int, groups: Sequence[str]) -> DataFrame:
-    """Number the stretches without a pause longer than ``pause_us``; input has one row per time."""
-    marked = trailing_time(df, pause_us, {"_near": F.count(F.lit(1))}, groups, include_now=False)
-    starts = F.when(F.col("_near") == 0, 1).otherwise(0).cast("long")
-    return running_totals(cut(marked), ["ts_us"], {"episode": starts}, groups).drop("_near")
-
-
-def _stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Callable) -> DataFrame:
-    """Run ``fold`` over each key's rows in order, batch by batch, keeping only its state.
-
-    Spark marks the first row of a key, so null keys and keys of any type and size stay apart.
-    """
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1
-    marked = df.withColumn("_first", first)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            names = batch.schema.names
-            new = np.flatnonzero(batch.column(names.index("_first")).to_numpy(zero_copy_only=False))
-            starts = new if len(new) and new[0] == 0 else np.append(0, new)
-            keep = np.zeros(batch.num_rows, dtype=bool)
-            times = batch.column(names.index("ts_us")).to_numpy()
-            for a, z in zip(starts, [*starts[1:], batch.num_rows]):
-                state = fold(times[a:z], None if a in new else state, keep[a:z])
-            kept = batch.filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([c for c, n in zip(kept.columns, names) if n != "_first"], names=[n for n in names if n != "_first"])
-
-    return marked.mapInArrow(run, df.schema)
-
-
 def burst_alerts(
     attacks: DataFrame,
     groups: Sequence[str] = (),
@@ -108,15 +71,9 @@ def burst_alerts(
     before = F.col("recent") - F.col("attacks")
     candidates = seen.select(*groups, "ts_us", F.greatest(before + 1, F.lit(threshold)).alias("attack_count"), before.alias("_before"))
 
-    def fold(times: np.ndarray, last: int | None, keep: np.ndarray) -> int | None:
-        i = 0 if last is None else int(np.searchsorted(times, last + cooldown_us, side="right"))
-        while i < len(times):
-            keep[i], last = True, int(times[i])
-            i = int(np.searchsorted(times, last + cooldown_us, side="right"))
-        return last
-
-    marked = _episodes(candidates, cooldown_us, groups)
-    fired = _stream(marked, [*groups, "episode"], ["ts_us"], fold)
+    candidates = cut(candidates)
+    on = (F.col("c.ts_us") == F.col("f.ts_us")) & same_keys("c", "f", groups)
+    fired = candidates.alias("c").join(cooldown(candidates.select(*groups, "ts_us"), cooldown_us, groups).alias("f"), on, "left_semi")
     return fired.select(
         *groups, "ts_us", "attack_count", severity(F.col("attack_count"), threshold).alias("severity"), (F.col("attack_count") - F.col("_before")).alias("at_once"))
 
@@ -162,33 +119,6 @@ def alert_breakdown(
     return per.withColumn("rank", rank).where(kept).drop("_first")
 
 
-def admission(times: np.ndarray, passed: deque | None, keep: np.ndarray, max_events: int, window_us: int) -> deque:
-    """Mark the times that a sliding limit lets through; ``passed`` holds the last admitted ones."""
-    passed = deque(maxlen=max_events) if passed is None else passed
-    i = 0
-    while i < len(times):
-        if len(passed) == max_events and passed[0] >= times[i] - window_us:
-            i = int(np.searchsorted(times, passed[0] + window_us, side="right"))
-            continue
-        passed.append(int(times[i]))
-        keep[i] = True
-        i += 1
-    return passed
-
-
 def admit(events: DataFrame, max_events: int, window_us: int, order: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
     """Events that a sliding limit lets through: fewer than ``max_events`` admitted in ``[ts - window, ts]``."""
-    # Of the events of one microsecond only the first few can pass; ranks are limited before the shuffle.
-    rank = F.row_number().over(Window.partitionBy(*groups, "ts_us").orderBy(*order))
-    events = events.withColumn("_rank", rank).where(F.col("_rank") <= max_events).drop("_rank")
-    times = events.select(*groups, "ts_us").distinct()
-    episodes = _episodes(times, window_us, groups)
-    on = F.col("e.ts_us") == F.col("t.ts_us")
-    for g in groups:
-        on = on & F.col(f"e.{g}").eqNullSafe(F.col(f"t.{g}"))
-    rows = events.alias("e").join(episodes.alias("t"), on).select("e.*", "t.episode")
-
-    def fold(ts: np.ndarray, state: deque | None, keep: np.ndarray) -> deque:
-        return admission(ts, state, keep, max_events, window_us)
-
-    return _stream(rows, [*groups, "episode"], ["ts_us", *order], fold).drop("episode")
+    return handed_on(events, max_events, window_us, order, groups)

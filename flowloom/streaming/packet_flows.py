@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from flowloom.operators.alerts import COOLDOWN_US, THRESHOLD, WINDOW_US, admission, severity
+from flowloom.operators.alerts import COOLDOWN_US, THRESHOLD, WINDOW_US, severity
+from flowloom.operators.chunked import admission
 from flowloom.operators.evaluate import binary_scores, confusion_counts
 from flowloom.operators.features import FEATURE_NAMES, feature_columns, snake
 from flowloom.operators.flows import FLOW_KEY, TCP_FLAGS, flag, with_flow_key

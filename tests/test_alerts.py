@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from flowloom.operators import alerts, runs
+from flowloom.operators import alerts, chunked, runs
 
 S = 1_000_000
 
@@ -100,3 +100,68 @@ def test_deleting_a_run_takes_its_alerts(spark):
     assert [x["run_id"] for x in left.collect()] == [2] and kept.count() == 1
     page = runs.alert_page(a.withColumns({"id": F.col("flow_index"), "is_correct": F.lit(False)}), 1, 1, 1, only_incorrect=True)
     assert [x["flow_index"] for x in page.collect()] == [1]
+
+
+def _chain(times, pause):
+    out = []
+    for t in sorted(times):
+        if not out or t - out[-1] > pause:
+            out.append(t)
+    return out
+
+
+@pytest.mark.parametrize("fan", [2, 3, 16])
+def test_cooldown_in_chunks_against_brute_force(spark, fan):
+    rng = random.Random(fan)
+    made = {
+        None: rng.sample(range(-5000, 5000), 900),
+        "sparse": [rng.randrange(0, 40) + 700 * k for k in range(-9, 9)],
+        "even": list(range(0, 6000, 7)),
+        "exact": [k * 50 for k in range(-40, 60)] + [k * 51 for k in range(40)],
+        "gaps": [a + rng.randrange(0, 60) for a in (0, 95, 1700, 1760, 4000) for _ in range(30)],
+        "one": [123],
+    }
+    rows = [(k, t) for k, times in made.items() for t in set(times)]
+    got = chunked.cooldown(spark.createDataFrame(rows, "who string, ts_us long"), 50, ["who"], fan=fan).collect()
+    for k, times in made.items():
+        assert sorted(r["ts_us"] for r in got if r["who"] == k) == _chain(times, 50), k
+
+
+def test_a_day_long_flood_of_one_key_is_spread(spark):
+    """No gap in a day: alerts by a walk over all candidates, and no task that gets more than a node."""
+    day = spark.range(0, 86_400_000, 250).select(F.lit(7).alias("run_id"), F.col("id").alias("flow_index"), (F.col("id") * 1000 + F.col("id") % 977).alias("ts_us"))
+    fired = alerts.burst_alerts(day, ["run_id"])
+    times = [k * 1000 + k % 977 for k in range(0, 86_400_000, 250)]
+    assert sorted(r["ts_us"] for r in fired.collect()) == _chain(times[9:], alerts.COOLDOWN_US)
+    plan = fired._jdf.queryExecution().executedPlan().toString()
+    assert "episode" not in plan
+
+
+@pytest.mark.parametrize("limit,window,chunk", [(1, 10, 11), (5, 30, 40), (5, 30, 31), (3, 100, 130)])
+def test_admission_in_chunks_against_brute_force(spark, limit, window, chunk):
+    rng = random.Random(limit * window)
+    made = {
+        None: [rng.randrange(-900, 900) for _ in range(700)],
+        "even": list(range(0, 1500, 2)),
+        "bursts": [a + rng.randrange(0, 9) for a in range(0, 3000, 37) for _ in range(7)],
+        "pauses": [a + rng.randrange(0, 60) for a in (0, 400, 430, 2000) for _ in range(40)],
+        "one": [5],
+    }
+    rows = [(k, i, t) for k, times in made.items() for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "who string, n long, ts_us long")
+    got = chunked.handed_on(df, limit, window, ["n"], ["who"], chunk=chunk)
+    assert got.columns == df.columns
+    got = {(r["who"], r["n"]) for r in got.collect()}
+    for k, times in made.items():
+        passed, want = [], set()
+        for t, i in sorted((t, i) for i, t in enumerate(times)):
+            if sum(p >= t - window for p in passed) < limit:
+                passed.append(t)
+                want.add((k, i))
+        assert {g for g in got if g[0] == k} == want, k
+
+
+def test_chunks_of_nothing(spark):
+    none = spark.createDataFrame([], "who string, n long, ts_us long")
+    assert chunked.cooldown(none.select("who", "ts_us"), 5, ["who"]).count() == 0
+    assert chunked.handed_on(none, 2, 5, ["n"], ["who"]).count() == 0
