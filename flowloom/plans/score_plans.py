@@ -313,12 +313,23 @@ def w4(spark, sf_dir):
     return rounded(df.withColumns(fast), 6, skip=tuple(fast))
 
 
-@register("st7_live_metrics", SC + f""", t as (select ts_us // {_HOUR} as tick, count(*) as flows, sum(prediction)::bigint as alerts, {_CELLS} from dec group by all),
-  m as ({metrics_sql('t', 6, 'tick, flows, alerts,')}) select * exclude (specificity) from m""")
+_RUNNING = ("flows", "alerts", "true_positives", "false_positives", "true_negatives", "false_negatives")
+_LATENCY_CLASS = "case when latency_ms > 0 then ceil(ln(latency_ms) / ln(1.01))::int when latency_ms <= 0 then -1073741824 end"
+_LIVE = SC + f""", t as (select ts_us // {_HOUR} as tick, count(*) as flows, sum(prediction)::bigint as alerts, {_CELLS} from dec group by all),
+  r as (select tick, {', '.join(f'{c} as new_{c}, sum({c}) over (order by tick)::bigint as {c}' for c in _RUNNING)} from t),
+  h as (select ts_us // {_HOUR} as tick, {_LATENCY_CLASS} as class, count(*) as n from dec group by all having class is not null),
+  u as (select t.tick, h.class, sum(h.n) as n from t join h on h.tick <= t.tick group by all),
+  v as (select tick, class, sum(n) over (partition by tick order by class) as upto, sum(n) over (partition by tick) as total from u),
+  q as (select tick, {', '.join(f'min(class) filter (where upto > {p} * (total - 1)) as c{n}' for p, n in ((0.5, 50), (0.95, 95), (0.99, 99)))} from v group by tick),
+  m as ({metrics_sql('r', 6, 'tick, flows, alerts, ' + ', '.join(f'new_{c}' for c in _RUNNING) + ',')})
+  select m.*, {', '.join(f'case when c{n} = -1073741824 then 0.0::double else round(pow(1.01, c{n} - 0.5), 6) end as p{n}_ms' for n in (50, 95, 99))} from m join q using (tick)"""
+
+
+@register("st7_live_metrics", _LIVE)
 def st7(spark, sf_dir):
     per = packet_flows.live_metrics(_dec(spark, sf_dir).withColumn("ts", F.timestamp_micros("ts_us")), "1 hour")
     tick = F.floor(F.unix_micros("window.start") / F.lit(_HOUR)).alias("tick")
-    return rounded(per.select(tick, *[c for c in per.columns if c not in ("window", "specificity")]))
+    return rounded(per.select(tick, *[c for c in per.columns if c != "window"]))
 
 
 @register("w6_moving_stats", SC + """select flow_index, round(avg(latency_ms) over w, 8) as mean, min(latency_ms) over w as min, max(latency_ms) over w as max,

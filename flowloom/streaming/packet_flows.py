@@ -5,21 +5,25 @@ from __future__ import annotations
 import pickle
 from collections import deque
 from collections.abc import Iterator, Sequence
+from datetime import datetime, timedelta
+from decimal import Decimal
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from flowloom.operators.alerts import COOLDOWN_US, THRESHOLD, WINDOW_US, severity
 from flowloom.operators.chunked import admission
 from flowloom.operators.evaluate import binary_scores, confusion_counts
 from flowloom.operators.features import FEATURE_NAMES, feature_columns, snake
-from flowloom.operators.flows import FLOW_KEY, TCP_FLAGS, flag, with_flow_key
-from flowloom.operators.live import MIN_PACKETS, TICK_US
+from flowloom.operators.flows import FLOW_KEY, SHORT_SLICE_US, TCP_FLAGS, flag, with_flow_key
+from flowloom.operators.live import MIN_PACKETS, TICK_US, class_quantiles, latency_class, running_windows
 from flowloom.operators.models import predict
 
 PACKET_SCHEMA = (
@@ -44,21 +48,15 @@ def once_per_packet(packets: DataFrame, key: str = "packet_id") -> DataFrame:
     return packets.dropDuplicatesWithinWatermark([key])
 
 
-def _gaps(times: Column) -> Column:
-    n = F.size(times)
-    return F.when(n > 1, F.zip_with(F.slice(times, F.lit(2), n - 1), F.slice(times, F.lit(1), n - 1), lambda a, b: a - b)).otherwise(
-        F.array().cast("array<bigint>"))
+def slice_stream(packets: DataFrame, width_us: int = SHORT_SLICE_US) -> DataFrame:
+    """A row per 5-tuple and slice of time with the columns of the batch slices, once the watermark has passed the slice.
 
-
-def flow_stream(packets: DataFrame, timeout: str = "120 seconds") -> DataFrame:
-    """Flow moments emitted once a flow has been silent for the time-out (append mode).
-
-    Same columns as the batch ``flow_moments`` but for the flow number: the session window start
-    stands in its place. Packets that arrive late but within the watermark are put in time order.
+    Only open slices keep times of packets (two packets may need a third one between them), so the state is bounded by the
+    line rate times slice and watermark, however long a flow lasts. ``at`` is the event time of what follows.
     """
     keyed = with_flow_key(packets)
     length, payload = F.col("length").cast("long"), F.col("payload_length").cast("long")
-    aggs = [F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us")]
+    aggs = [F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us")]
     for d in ("fwd", "bwd"):
         own = F.col("is_fwd") if d == "fwd" else ~F.col("is_fwd")
         aggs += [
@@ -73,17 +71,141 @@ def flow_stream(packets: DataFrame, timeout: str = "120 seconds") -> DataFrame:
             F.sort_array(F.collect_list(F.when(own, F.col("ts_us")))).alias(f"_{d}"),
         ]
     aggs += [F.count_if(flag(f)).alias(f"{f.lower()}_count") for f in TCP_FLAGS]
-    flows = keyed.groupBy(*FLOW_KEY, F.session_window("ts", timeout).alias("w")).agg(*aggs)
+    slices = keyed.groupBy(*FLOW_KEY, F.window("ts", f"{width_us} microseconds").alias("w")).agg(*aggs)
     for d in ("fwd", "bwd"):
-        gaps = _gaps(F.col(f"_{d}"))
-        square = F.aggregate(gaps, F.lit(0).cast("decimal(38,0)"),
-                             lambda a, g: (a + (g.cast("decimal(19,0)") * g.cast("decimal(19,0)"))).cast("decimal(38,0)"))
-        flows = flows.withColumns({
-            f"{d}_gap_min": F.array_min(gaps), f"{d}_gap_max": F.array_max(gaps), f"{d}_gap_sq": square,
-            f"{d}_gap_n": F.size(gaps).cast("long"),
-            f"{d}_gap_sum": F.try_element_at(F.col(f"_{d}"), F.lit(-1)) - F.try_element_at(F.col(f"_{d}"), F.lit(1)),
-        })
-    return flows.withColumn("session", F.unix_micros("w.start")).drop("_fwd", "_bwd")
+        times = F.col(f"_{d}")
+        n = F.size(times)
+        gaps = F.when(n > 1, F.zip_with(F.slice(times, F.lit(2), n - 1), F.slice(times, F.lit(1), n - 1), lambda a, b: a - b)).otherwise(F.array().cast("array<bigint>"))
+        slices = slices.withColumns({
+            f"{d}_first": F.try_element_at(times, F.lit(1)), f"{d}_last": F.try_element_at(times, F.lit(-1)), f"{d}_gap_min": F.array_min(gaps), f"{d}_gap_max": F.array_max(gaps),
+            # Gaps in a slice add up to at most its width, so their squares fit a long.
+            f"{d}_gap_sq": F.aggregate(gaps, F.lit(0).cast("bigint"), lambda a, g: a + g * g)})
+    return slices.withColumn("at", F.window_time("w")).drop("w", "_fwd", "_bwd")
+
+
+_DIR_SUMS = ("n", "bytes", "payload", "len_sq", "psh", "urg")
+_ADDED = (*[f"{d}_{c}" for d in ("fwd", "bwd") for c in _DIR_SUMS], *[f"{f.lower()}_count" for f in TCP_FLAGS])
+_LEAST = tuple(f"{d}_{c}" for d in ("fwd", "bwd") for c in ("len_min", "gap_min", "first"))
+_MOST = tuple(f"{d}_{c}" for d in ("fwd", "bwd") for c in ("len_max", "gap_max", "last"))
+_SQUARES = ("fwd_gap_sq", "bwd_gap_sq")
+_KEY_SCHEMA = "src_ip string, src_port int, dst_ip string, dst_port int, protocol int"
+_FLOW_STATE = ", ".join([f"{c} long" for c in ("start_us", "end_us", "tick", *_ADDED, *_LEAST, *_MOST)] + [f"{c} decimal(38,0)" for c in _SQUARES])
+
+
+def _extended(flow: dict | None, part: Row, timeout_us: int) -> tuple[dict, bool]:
+    """A flow with one more slice, or a new flow when the silence before the slice was too long; and whether it is new."""
+    new = flow is None or part["first_us"] - flow["end_us"] > timeout_us
+    if new:
+        flow = {c: 0 for c in _ADDED} | {c: None for c in (*_LEAST, *_MOST)} | {c: Decimal(0) for c in _SQUARES} | {"start_us": part["first_us"], "end_us": part["last_us"], "tick": None}
+    out = dict(flow)
+    for c in _ADDED:
+        out[c] += part[c]
+    for names, better in ((_LEAST, min), (_MOST, max)):
+        for c in names:
+            out[c] = better((v for v in (flow[c], part[c]) if v is not None), default=None)
+    for d in ("fwd", "bwd"):
+        out[f"{d}_gap_sq"] += part[f"{d}_gap_sq"]
+        if flow[f"{d}_last"] is not None and part[f"{d}_first"] is not None:
+            gap = part[f"{d}_first"] - flow[f"{d}_last"]
+            out[f"{d}_gap_sq"] += gap * gap
+            out[f"{d}_gap_min"] = min(v for v in (out[f"{d}_gap_min"], gap) if v is not None)
+            out[f"{d}_gap_max"] = max(v for v in (out[f"{d}_gap_max"], gap) if v is not None)
+    out["end_us"] = max(flow["end_us"], part["last_us"])
+    return out, new
+
+
+class _PerFlow(StatefulProcessor):
+    """One flow of a 5-tuple as state: sums, extremes and border times, of the same size however many packets it has."""
+
+    def __init__(self, timeout_us: int, width_us: int):
+        self.timeout_us, self.width_us = timeout_us, width_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.flow = handle, handle.getValueState("flow", _FLOW_STATE)
+        self.names = [f.strip().split(" ")[0] for f in _FLOW_STATE.replace("decimal(38,0)", "decimal").split(",")]
+
+    def load(self) -> dict | None:
+        return dict(zip(self.names, self.flow.get(), strict=True)) if self.flow.exists() else None
+
+    def save(self, flow: dict | None, wake_us: int = 0) -> None:
+        for ms in list(self.handle.listTimers()):
+            self.handle.deleteTimer(ms)
+        if flow is None:
+            self.flow.clear()
+        else:
+            self.flow.update(tuple(flow[c] for c in self.names))
+            self.handle.registerTimer(-(-wake_us // 1000))
+
+    def close(self) -> None:
+        pass
+
+
+class _Finished(_PerFlow):
+    """A row for every slice that is seen, and one for every flow whose time-out has passed."""
+
+    def expiry(self, flow: dict) -> int:
+        return flow["end_us"] + self.timeout_us + self.width_us
+
+    def done(self, key: tuple, flow: dict) -> Row:
+        out = {"kind": "flow", "at": _time(self.expiry(flow)), "packets": 0, "bytes": 0, "opened": 0, "start_us": flow["start_us"], "end_us": flow["end_us"], **{c: flow[c] for c in (*_ADDED, *_SQUARES)}}
+        for d in ("fwd", "bwd"):
+            out |= {f"{d}_{c}": flow[f"{d}_{c}"] for c in ("len_min", "len_max", "gap_min", "gap_max")}
+            n = flow[f"{d}_n"]
+            out |= {f"{d}_gap_n": max(n - 1, 0), f"{d}_gap_sum": flow[f"{d}_last"] - flow[f"{d}_first"] if n else None}
+        return Row(**dict(zip(FLOW_KEY, key, strict=True)), **{c: out.get(c) for c in _EVENT_COLUMNS})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802
+        flow = self.load()
+        for part in sorted(rows, key=lambda r: r["first_us"]):
+            before = flow
+            flow, new = _extended(flow, part, self.timeout_us)
+            if new and before is not None:
+                yield self.done(key, before)
+            seen = {"kind": "seen", "at": part["at"], "packets": part["fwd_n"] + part["bwd_n"], "bytes": part["fwd_bytes"] + part["bwd_bytes"], "opened": int(new)}
+            yield Row(**dict(zip(FLOW_KEY, key, strict=True)), **{c: seen.get(c) for c in _EVENT_COLUMNS})
+        self.save(flow, self.expiry(flow))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802
+        flow = self.load()
+        if flow is not None:
+            yield self.done(key, flow)
+        self.flow.clear()
+
+
+_MOMENTS = ", ".join(
+    f"{c} long" for c in ("start_us", "end_us", *_ADDED, *[f"{d}_{c}" for d in ("fwd", "bwd") for c in ("len_min", "len_max", "gap_min", "gap_max", "gap_n", "gap_sum")])
+) + ", " + ", ".join(f"{c} decimal(38,0)" for c in _SQUARES)
+_EVENTS = f"kind string, at timestamp, packets long, bytes long, opened int, {_MOMENTS}"
+_EVENT_COLUMNS = [f.strip().split(" ")[0] for f in _EVENTS.replace("decimal(38,0)", "decimal").split(",")]
+_MOMENT_COLUMNS = _EVENT_COLUMNS[5:]
+
+
+def _time(us: int) -> datetime:
+    return datetime.fromtimestamp(us // 1_000_000) + timedelta(microseconds=us % 1_000_000)
+
+
+def _microseconds(timeout: str | int) -> int:
+    """A number of microseconds, or a text like "120 seconds"."""
+    return timeout if isinstance(timeout, int) else int(pd.Timedelta(timeout).value // 1000)
+
+
+def flow_events(packets: DataFrame, timeout: str | int = "120 seconds", width_us: int = SHORT_SLICE_US) -> DataFrame:
+    """Two kinds of rows, in append mode: ``seen`` for each slice (packets, bytes, whether it opens a flow) and ``flow`` with the
+    moments of each flow, once no packet of it can come any more. ``at`` is their event time."""
+    timeout_us = _microseconds(timeout)
+    width_us = min(width_us, timeout_us)
+    return slice_stream(packets, width_us).groupBy(*FLOW_KEY).transformWithState(
+        _Finished(timeout_us, width_us), f"{_KEY_SCHEMA}, {_EVENTS}", "Append", "EventTime", eventTimeColumnName="at")
+
+
+def flow_stream(packets: DataFrame, timeout: str | int = "120 seconds", width_us: int = SHORT_SLICE_US) -> DataFrame:
+    """Flow moments emitted once a flow has been silent for the time-out (append mode).
+
+    Same columns as the batch ``flow_moments`` but for the flow number, for which the flow's start stands; ``at`` is the time
+    at which the flow is closed. Packets that arrive late but within the watermark take their place.
+    """
+    events = flow_events(packets, timeout, width_us).where("kind = 'flow'")
+    return events.select(*FLOW_KEY, F.col("start_us").alias("session"), "at", *_MOMENT_COLUMNS)
 
 
 def scored_flows(moments: DataFrame, model: PipelineModel, contract: Sequence[str], threshold: float = 0.5) -> DataFrame:
@@ -107,76 +229,143 @@ def scored_flows(moments: DataFrame, model: PipelineModel, contract: Sequence[st
 
 def attack_windows(flows: DataFrame, width: str, is_attack: Column) -> DataFrame:
     """Flows and attacks per tumbling window of the closing time of finished flows."""
-    return flows.groupBy(F.window(F.window_time("w"), width).alias("window")).agg(
+    return flows.groupBy(F.window("at", width).alias("window")).agg(
         F.count(F.lit(1)).alias("flows"), F.count_if(is_attack).alias("attacks"))
 
 
-def live_metrics(scored: DataFrame, width: str = "1 second") -> DataFrame:
-    """Counts, confusion cells and scores per tumbling window of a scored stream with ``ts``."""
-    cells = confusion_counts(F.col("y_true"), F.col("prediction"))
-    return (
-        scored.groupBy(F.window("ts", width).alias("window"))
-        .agg(F.count(F.lit(1)).alias("flows"), F.count_if(F.col("prediction") == 1).alias("alerts"), *[c.alias(k) for k, c in cells.items()])
-        .withColumns(binary_scores())
-    )
+_COUNTS = ("flows", "alerts", "true_positives", "false_positives", "true_negatives", "false_negatives")
+
+
+class _Running(StatefulProcessor):
+    """Totals so far and counts per latency class, per key; a row for each closed window, in order."""
+
+    def __init__(self, keys: Sequence[str], counts: Sequence[str], classes: bool):
+        self.keys, self.counts, self.classes = list(keys), list(counts), classes
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        totals = ", ".join(f"{c} long" for c in self.counts)
+        self.state = handle.getValueState("totals", f"{totals}, seen map<string,long>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802
+        held = self.state.get() if self.state.exists() else None
+        totals = dict(zip(self.counts, held, strict=False)) if held else dict.fromkeys(self.counts, 0)
+        seen = {int(k): n for k, n in held[-1].items()} if held else {}  # keys of a stored map are texts
+        for start, part in groupby(sorted(rows, key=lambda r: r["window"]["start"]), key=lambda r: r["window"]["start"]):
+            own = dict.fromkeys(self.counts, 0)
+            for r in part:
+                end = r["window"]["end"]
+                for c in self.counts:
+                    own[c] += r[c]
+                if self.classes and r["class"] is not None:
+                    seen[r["class"]] = seen.get(r["class"], 0) + r["timed"]
+            totals = {c: totals[c] + own[c] for c in self.counts}
+            out = dict(zip(self.keys, key, strict=True)) | {"window": Row(start=start, end=end)} | {f"new_{c}": own[c] for c in self.counts} | totals
+            if self.classes:
+                out |= dict(zip(("p50_ms", "p95_ms", "p99_ms"), class_quantiles(seen, (0.5, 0.95, 0.99)), strict=True))
+            yield Row(**out)
+        self.state.update((*[totals[c] for c in self.counts], {str(k): n for k, n in seen.items()}))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def _running(per: DataFrame, keys: Sequence[str], counts: Sequence[str], classes: bool) -> DataFrame:
+    """Totals so far of a table or stream with a window column; in a stream a constant key stands for the whole of it."""
+    keys = list(keys)
+    if not per.isStreaming:
+        return running_windows(per, keys, counts, classes)
+    named = per if keys else per.withColumn("_all", F.lit(0))
+    by = keys or ["_all"]
+    fields = [named.schema[k] for k in by] + [named.schema["window"]] + [T.StructField(c, T.LongType()) for c in (*[f"new_{c}" for c in counts], *counts)]
+    fields += [T.StructField(c, T.DoubleType()) for c in ("p50_ms", "p95_ms", "p99_ms")] * classes
+    out = named.groupBy(*by).transformWithState(_Running(by, counts, classes), T.StructType(fields), "Append", "EventTime")
+    return out if keys else out.drop("_all")
 
 
-def live_totals(packets: DataFrame, width: str = "1 second") -> DataFrame:
+def live_metrics(scored: DataFrame, width: str = "1 second", latency: str | None = "latency_ms", groups: Sequence[str] = ()) -> DataFrame:
+    """After each tumbling window of a scored stream with ``ts``: new and total counts, confusion cells and scores so far, and
+    the percentiles of all latencies so far (within half a per cent).
+
+    A window sends one row per latency class; the state holds the totals and the classes, which merge by addition.
+    """
+    cells = confusion_counts(F.col("y_true"), F.col("prediction"))
+    kind = latency_class(F.col(latency)) if latency else F.lit(None).cast("int")
+    aggs = [F.count(F.lit(1)).alias("flows"), F.count_if(F.col("prediction") == 1).alias("alerts"), *[c.alias(k) for k, c in cells.items()]]
+    per = scored.withColumn("class", kind).groupBy(*groups, F.window("ts", width).alias("window"), "class").agg(*aggs)
+    total = _running(per.withColumn("timed", F.col("flows")), groups, _COUNTS, True)
+    return total.withColumns(binary_scores())
+
+
+def live_totals(events: DataFrame, width: str = "1 second", is_attack: Column | None = None) -> DataFrame:
+    """After each tumbling window of ``flow_events``: packets and bytes in it, and so far packets, bytes, finished flows, attacks, and
+    their share, and the flows that are open. ``is_attack`` decides on the moments of a finished flow."""
+    done = F.col("kind") == "flow"
+    attack = F.lit(False) if is_attack is None else is_attack
+    per = events.groupBy(F.window("at", width).alias("window")).agg(
+        F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"), F.sum("opened").alias("opened"), F.count_if(done).alias("flows"), F.count_if(done & attack).alias("attacks"))
+    total = _running(per, (), ("packets", "bytes", "opened", "flows", "attacks"), False)
+    seconds = (F.unix_micros("window.end") - F.unix_micros("window.start")) / F.lit(1e6)
+    return total.select(
+        "window", F.col("new_packets").alias("packets"), F.col("new_bytes").alias("bytes"), (F.col("new_packets") / seconds).alias("packets_per_sec"), F.col("packets").alias("total_packets"), F.col("bytes").alias("total_bytes"),
+        F.col("flows").alias("total_flows"), F.col("attacks").alias("total_attacks"), (F.col("opened") - F.col("flows")).alias("active_flows"), (F.col("attacks") / F.greatest(F.col("flows"), F.lit(1))).alias("attack_rate"))
+
+
+def packet_totals(packets: DataFrame, width: str = "1 second") -> DataFrame:
     """Packets and bytes per tumbling window."""
     return packets.groupBy(F.window("ts", width).alias("window")).agg(
         F.count(F.lit(1)).alias("packets"), F.sum("length").alias("bytes"))
 
 
-_SNAPSHOT = (
-    "src_ip string, src_port int, dst_ip string, dst_port int, protocol int, tick long, total_packets long, total_bytes long, "
-    "start_us long, last_us long"
-)
-_SNAPSHOT_COLUMNS = (*FLOW_KEY, "tick", "total_packets", "total_bytes", "start_us", "last_us")
-_SNAPSHOT_STATE = "packets long, bytes long, start_us long, last_us long, tick long"
+class _Active(_PerFlow):
+    """The totals of a flow at every tick that the watermark passes, until its time-out."""
+
+    def __init__(self, timeout_us: int, tick_us: int, min_packets: int):
+        super().__init__(timeout_us, tick_us)
+        self.min_packets = min_packets
+
+    def emit(self, key: tuple, flow: dict, until: int) -> Iterator[Row]:
+        last = min(until, (flow["end_us"] + self.timeout_us) // self.width_us)
+        n, size = (flow[f"fwd_{c}"] + flow[f"bwd_{c}"] for c in ("n", "bytes"))
+        if n >= self.min_packets:
+            for k in range(flow["tick"], last + 1):
+                yield Row(**dict(zip(FLOW_KEY, key, strict=True)), tick=k, total_packets=n, total_bytes=size, start_us=flow["start_us"], last_us=flow["end_us"])
+        flow["tick"] = max(flow["tick"], last + 1)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802
+        flow = self.load()
+        for part in sorted(rows, key=lambda r: r["first_us"]):
+            home = part["first_us"] // self.width_us
+            if flow is not None:  # ticks up to this slice see the totals without it
+                yield from self.emit(key, flow, home)
+            tick = flow["tick"] if flow else None
+            flow, new = _extended(flow, part, self.timeout_us)
+            flow["tick"] = home + 1 if new else tick
+        self.save(flow, flow["tick"] * self.width_us)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802
+        flow = self.load()
+        if flow is None:
+            return
+        yield from self.emit(key, flow, timerValues.getCurrentWatermarkInMs() * 1000 // self.width_us)
+        over = flow["tick"] > (flow["end_us"] + self.timeout_us) // self.width_us
+        self.save(None if over else flow, flow["tick"] * self.width_us)
 
 
 def active_flow_stream(
     packets: DataFrame, tick_us: int = TICK_US, timeout_us: int = 120_000_000, min_packets: int = MIN_PACKETS
 ) -> DataFrame:
-    """Totals of active flows, repeated at every tick the watermark passes (update mode).
+    """Totals of active flows, repeated at every tick the watermark passes (append mode).
 
-    State per flow is five numbers. Packets of one trigger are taken in time order.
+    Packets are added up per tick first; the state of a flow is one row, and a timer wakes it at the next tick.
     """
-
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows: list[tuple] = []
-
-        def emit(until: int, s: list[int]) -> None:
-            last = min(until, (s[3] + timeout_us) // tick_us)
-            if s[0] >= min_packets:
-                rows.extend((*key, k, s[0], s[1], s[2], s[3]) for k in range(s[4], last + 1))
-            s[4] = max(s[4], last + 1)
-
-        s = list(state.get) if state.exists else None
-        if not state.hasTimedOut:
-            new = pd.concat(list(chunks)).sort_values("ts_us", kind="stable")
-            for t, size in zip(new["ts_us"].to_numpy(), new["length"].to_numpy()):
-                t = int(t)
-                if s is not None:
-                    # Ticks before this packet see the totals without it.
-                    emit(t // tick_us, s)
-                if s is None or t - s[3] > timeout_us:
-                    s = [0, 0, t, t, t // tick_us + 1]
-                s[0], s[1], s[3] = s[0] + 1, s[1] + int(size), max(s[3], t)
-        elif s is not None:
-            emit(int(state.getCurrentWatermarkMs()) * 1000 // tick_us, s)
-        if s is None or s[4] > (s[3] + timeout_us) // tick_us:
-            state.remove()
-        else:
-            state.update(tuple(s))
-            wake = max(s[4] * tick_us // 1000, int(state.getCurrentWatermarkMs()) + 1)
-            state.setTimeoutTimestamp(wake)
-        if rows:
-            yield pd.DataFrame(rows, columns=_SNAPSHOT_COLUMNS)
-
-    keyed = with_flow_key(packets).select(*FLOW_KEY, "ts", "ts_us", "length")
-    return keyed.groupBy(*FLOW_KEY).applyInPandasWithState(
-        step, _SNAPSHOT, _SNAPSHOT_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    if tick_us > timeout_us:
+        raise ValueError("a tick may not be longer than the time-out")
+    schema = f"{_KEY_SCHEMA}, tick long, total_packets long, total_bytes long, start_us long, last_us long"
+    return slice_stream(packets, tick_us).groupBy(*FLOW_KEY).transformWithState(
+        _Active(timeout_us, tick_us, min_packets), schema, "Append", "EventTime")
 
 
 def _wake(state: GroupState, us: int) -> None:
