@@ -5,6 +5,8 @@
 ``running_totals``    cumulative sums over a total order, globally or per group
 ``row_positions``     dense 0-based positions in a total order
 ``trailing_rows``     aggregates over the last n rows
+``grouped_selection`` exact k-th smallest values of any number of groups, as a table
+``grouped_quantiles`` exact linear-interpolated quantiles of any number of groups, as a table
 """
 
 from __future__ import annotations
@@ -271,3 +273,40 @@ def trailing_rows(
         .where(F.col("_block") == F.col("_home"))
         .select(*df.columns, *aggs)
     )
+
+
+def _null_safe(left: str, right: str, groups: Sequence[str]) -> Column:
+    on = F.lit(True)
+    for g in groups:
+        on = on & F.col(f"{left}.{g}").eqNullSafe(F.col(f"{right}.{g}"))
+    return on
+
+
+def grouped_selection(df: DataFrame, value: str, wanted: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """groups, rank and value: the values of each group at the 0-based ranks of ``wanted`` (groups, ``ranks`` as an array).
+
+    Equal values of a group are counted first; the counts are added up over ranges of values, so neither a large group nor many
+    groups meet in a task, and a rank is found where the running count passes it. Nulls are left out; ranks that
+    a group does not have give no row.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
+    upto = running_totals(counted, [value], {"_upto": F.col("_n")}, groups)
+    joined = upto.alias("u").join(wanted.alias("w"), _null_safe("u", "w", groups))
+    hit = F.filter("w.ranks", lambda r: (r < F.col("u._upto")) & (r >= F.col("u._upto") - F.col("u._n")))
+    return joined.select(*[F.col(f"u.{g}").alias(g) for g in groups], F.explode(hit).alias("rank"), F.col(f"u.{value}").alias(value))
+
+
+def grouped_quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str], groups: Sequence[str]) -> DataFrame:
+    """groups and one column a quantile, with linear interpolation; groups without a value are absent."""
+    sizes = df.where(F.col(value).isNotNull()).groupBy(*groups).agg(F.count(F.lit(1)).alias("_size"))
+    spots = [(F.col("_size") - 1) * F.lit(float(p)) for p in probs]
+    ends = [(F.floor(s).cast("long"), F.ceil(s).cast("long")) for s in spots]
+    wanted = sizes.select(*groups, "_size", F.array_distinct(F.array(*[c for pair in ends for c in pair])).alias("ranks"))
+    found = grouped_selection(df, value, wanted.drop("_size"), groups)
+    at = found.groupBy(*groups).agg(F.map_from_entries(F.collect_list(F.struct("rank", value))).alias("_at"))  # two ranks a quantile
+    joined = at.alias("a").join(sizes.alias("s"), _null_safe("a", "s", groups)).select(*[F.col(f"a.{g}").alias(g) for g in groups], "a._at", "s._size")
+    out = []
+    for (low, high), spot, name in zip(ends, spots, names):
+        a, b = F.element_at("_at", low), F.element_at("_at", high)
+        out.append((a + (b - a) * (spot - low)).cast("double").alias(name))
+    return joined.select(*groups, *out)

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.lineage import cut
-from flowloom.functions.ordered import row_positions, running_totals, trailing_rows
+from flowloom.functions.ordered import grouped_quantiles, row_positions, running_totals, trailing_rows
+from flowloom.operators.chunked import same_keys
 from flowloom.operators.evaluate import binary_scores, confusion_counts
 
 _COUNTERS = ("flows_processed", "alerts_generated", "true_positives", "false_positives", "true_negatives", "false_negatives")
@@ -20,15 +21,18 @@ def snapshots(
     """Cumulative counters per interval with rates since the interval before.
 
     Rows are counted per interval first; only one row per interval goes into the running sums. With ``latency`` the exact
-    interpolated p50, p95 and p99 of the interval are added; its distinct values are counted before they are sent.
+    interpolated p50, p95 and p99 of the interval are added, found by running counts over ranges of latencies.
     """
     tick = F.floor(F.col(time_us) / F.lit(interval_us))
     cells = confusion_counts(F.col("y_true"), F.col("prediction"))
     per = scored.groupBy(*groups, tick.alias("tick")).agg(
         F.count(F.lit(1)).alias("flows"), F.count_if(F.col("prediction") == 1).alias("alerts"),
-        *[c.alias(f"d_{k}") for k, c in cells.items()],
-        *([F.percentile(F.col(latency).cast("double"), F.array(*[F.lit(p) for p in (0.5, 0.95, 0.99)])).alias("_q")] if latency else []))
-    quantiles = [F.col("_q")[i].alias(f"p{n}_ms") for i, n in enumerate((50, 95, 99))] if latency else []
+        *[c.alias(f"d_{k}") for k, c in cells.items()])
+    quantiles = ["p50_ms", "p95_ms", "p99_ms"] if latency else []
+    if latency:
+        timed = scored.select(*groups, tick.alias("tick"), F.col(latency).cast("double").alias("_latency"))
+        found = grouped_quantiles(timed, "_latency", (0.5, 0.95, 0.99), quantiles, [*groups, "tick"])
+        per = per.alias("p").join(found.alias("q"), same_keys("p", "q", [*groups, "tick"]), "left").select("p.*", *[f"q.{n}" for n in quantiles])
     names = {"flows_processed": "flows", "alerts_generated": "alerts", **{k: f"d_{k}" for k in cells}}
     total = cut(running_totals(cut(per), ["tick"], {k: F.col(v) for k, v in names.items()}, groups))
     total = trailing_rows(total, 2, ["tick"], {"_before": F.min("tick")}, groups)

@@ -1,13 +1,12 @@
 """Train / validation / test splits and deterministic samples.
 
 Every row gets a hash of its key. Exact sizes come from the k-th smallest hash of a class, found
-by ``order_statistics``; after that a split is a filter without any shuffle. Rows with one key
+by ``grouped_selection``; after that a split is a look-up in a row per class. Rows with one key
 share a hash and stay on one side, so copies cannot leak between splits.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.hashing import HASH_RANGE, hash_order
 from flowloom.functions.lineage import cut
-from flowloom.functions.ordered import SMALL, order_statistics, row_positions
+from flowloom.functions.ordered import SMALL, grouped_selection, order_statistics, row_positions
 
 # Default days per split.
 TEMPORAL_DAYS = {
@@ -36,14 +35,14 @@ def temporal_split(df: DataFrame, days: Mapping[str, Sequence[str]] = TEMPORAL_D
     return df.withColumn("split", out).where("split is not null")
 
 
-def _share(total: int, sizes: Mapping, wanted: int) -> dict:
-    """Whole numbers that add up to ``wanted`` in proportion to ``sizes`` (largest remainder)."""
-    exact = {k: wanted * n / total for k, n in sizes.items()}
-    out = {k: math.floor(v) for k, v in exact.items()}
-    order = sorted(sizes, key=lambda k: (-(exact[k] - out[k]), k))
-    for k in order[: wanted - sum(out.values())]:
-        out[k] += 1
-    return out
+def _shares(sizes: DataFrame, wanted: Column, name: str) -> DataFrame:
+    """Add whole numbers that add up to ``wanted`` in proportion to column ``n`` (largest remainder, then the smaller stratum)."""
+    everything = Window.partitionBy()
+    exact = wanted * F.col("n") / F.sum("n").over(everything)
+    out = sizes.withColumn("_exact", exact).withColumn("_whole", F.floor("_exact"))
+    rank = F.row_number().over(Window.orderBy((F.col("_exact") - F.col("_whole")).desc(), "stratum"))
+    left = wanted - F.sum("_whole").over(everything)
+    return out.withColumns({"_rank": rank, "_left": left}).select("*", (F.col("_whole") + (F.col("_rank") <= F.col("_left")).cast("long")).alias(name)).drop("_exact", "_whole", "_rank", "_left")
 
 
 def stratified_split(
@@ -53,35 +52,29 @@ def stratified_split(
     test_size: float = 0.15,
     val_size: float = 0.15,
     seed: int = 42,
-    small: int = SMALL,
 ) -> DataFrame:
-    """Add ``split`` with exact sizes per class; without ``stratum`` (or its column) one class."""
-    if stratum not in df.columns:
-        df, stratum, added = df.withColumn("_all", F.lit(0)), "_all", True
-    else:
-        added = False
-    # Class and hash are all the search needs; later rounds read this narrow table.
-    narrow = cut(df.select(stratum, hash_order(key, seed).alias("_h")))
-    sizes = {r[stratum]: r["count"] for r in narrow.groupBy(stratum).count().collect()}
-    total = sum(sizes.values())
-    test = _share(total, sizes, math.ceil(total * test_size))
-    left = {k: n - test[k] for k, n in sizes.items()}
-    rest = sum(left.values())
-    val = _share(rest, left, math.ceil(rest * val_size / (1 - test_size)))
-    exprs, ranks = {}, {}
-    for i, k in enumerate(sizes):
-        exprs[str(i)] = F.when(F.col(stratum).eqNullSafe(F.lit(k)), F.col("_h"))
-        ranks[str(i)] = sorted({r - 1 for r in (test[k], test[k] + val[k]) if r > 0})
-    cuts = order_statistics(narrow, exprs, ranks, {str(i): n for i, n in enumerate(sizes.values())}, small)
-    split: Column | None = None
-    for i, k in enumerate(sizes):
-        mine = F.col(stratum).eqNullSafe(F.lit(k))
-        a = cuts.get((str(i), test[k] - 1), -1)
-        b = cuts.get((str(i), test[k] + val[k] - 1), -1)
-        part = F.when(F.col("_h") <= F.lit(int(a)), "test").when(F.col("_h") <= F.lit(int(b)), "val").otherwise("train")
-        split = F.when(mine, part) if split is None else split.when(mine, part)
-    out = df.withColumn("_h", hash_order(key, seed)).withColumn("split", split if split is not None else F.lit("train")).drop("_h")
-    return out.drop("_all") if added else out
+    """Add ``split`` with exact sizes per class; without ``stratum`` (or its column) one class.
+
+    Sizes and borders are tables with a row per class, so there may be any number of classes.
+    """
+    given = F.col(stratum) if stratum in df.columns else F.lit(0)
+    hashed = df.withColumns({"_stratum": given, "_h": hash_order(key, seed)})
+    # Class and hash are all the search needs.
+    narrow = cut(hashed.select(F.col("_stratum").alias("stratum"), "_h"))
+    everything = Window.partitionBy()
+    sizes = narrow.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    sizes = _shares(sizes, F.ceil(F.sum("n").over(everything) * F.lit(test_size)), "test")
+    left = sizes.select("stratum", "test", (F.col("n") - F.col("test")).alias("n"))
+    left = _shares(left, F.ceil(F.sum("n").over(everything) * F.lit(val_size) / F.lit(1 - test_size)), "val")
+    ends = cut(left.select("stratum", (F.col("test") - 1).alias("last_test"), (F.col("test") + F.col("val") - 1).alias("last_val")))
+    found = grouped_selection(narrow, "_h", ends.select("stratum", F.array_distinct(F.array("last_test", "last_val")).alias("ranks")), ["stratum"])
+    on = F.col("e.stratum").eqNullSafe(F.col("f.stratum"))
+    hit = {n: F.max(F.when(F.col("f.rank") == F.col(f"e.{n}"), F.col("f._h"))) for n in ("last_test", "last_val")}
+    borders = ends.alias("e").join(found.alias("f"), on, "left").groupBy(F.col("e.stratum").alias("_s")).agg(*[F.coalesce(c, F.lit(-1).cast("long")).alias(f"_{n}") for n, c in hit.items()])
+    part = F.when(F.col("_h") <= F.col("_last_test"), "test").when(F.col("_h") <= F.col("_last_val"), "val").otherwise("train")
+    # One row a class: Spark sends it to the rows when it is small.
+    joined = hashed.join(cut(borders), F.col("_stratum").eqNullSafe(F.col("_s")))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != "split"], part.alias("split"))
 
 
 def sample_fraction(df: DataFrame, fraction: float, key: Sequence[str], seed: int = 42) -> DataFrame:

@@ -1,10 +1,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from flowloom.functions import ordered
+from flowloom.operators import split
 
 
 @pytest.fixture(scope="module")
@@ -68,3 +70,29 @@ def test_running_totals_split_a_frequent_value(spark, descending):
     out = ordered.running_totals(df, ["t", "id"], {"s": F.lit(1).cast("long")}, descending=descending, buckets=20)
     rows = sorted(out.collect(), key=lambda r: (r["t"], r["id"]), reverse=descending)
     assert [r["s"] for r in rows] == list(range(1, 901))
+
+
+def test_grouped_selection_and_quantiles(spark):
+    rng = random.Random(12)
+    made = {None: [rng.randrange(40) / 4 for _ in range(301)], "a": [rng.random() for _ in range(2000)], "b": [3.5], "c": [1.0, 2.0], "same": [7.0] * 90}
+    rows = [(k, v) for k, vs in made.items() for v in vs] + [("a", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    wanted = spark.createDataFrame([(k, [0, len(vs) // 2, len(vs) - 1, len(vs)]) for k, vs in made.items()], "g string, ranks array<long>")
+    got = {(r.g, r.rank): r.v for r in ordered.grouped_selection(df, "v", wanted, ["g"]).collect()}
+    assert got == {(k, i): sorted(vs)[i] for k, vs in made.items() for i in {0, len(vs) // 2, len(vs) - 1}}
+    probs = (0.0, 0.25, 0.5, 0.99)
+    found = {r.g: tuple(r)[1:] for r in ordered.grouped_quantiles(df, "v", probs, ("a", "b", "c", "d"), ["g"]).collect()}
+    assert set(found) == set(made)
+    for k, vs in made.items():
+        assert np.allclose(found[k], np.quantile(vs, probs), rtol=1e-12)
+
+
+def test_a_split_of_many_strata(spark):
+    df = spark.range(6000).select(F.col("id").alias("k"), F.when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 500).alias("s"), F.lit("x").alias("split"))
+    out = split.stratified_split(df, ["k"], "s", 0.2, 0.1)
+    assert out.columns == ["k", "s", "split"]
+    counts = {r.split: r["count"] for r in out.groupBy("split").count().collect()}
+    assert counts == {"test": 1200, "val": 600, "train": 4200}
+    per = out.groupBy("s").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "test").alias("t")).collect()
+    assert len(per) == 501 and all(abs(r.t - 0.2 * r.n) < 1 for r in per)
+    assert split.stratified_split(df.limit(0), ["k"], "s").count() == 0

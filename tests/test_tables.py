@@ -79,10 +79,9 @@ def test_keep_first_prefers_the_first_file(spark):
     assert sorted((r["k"], r["_source_file"]) for r in df.collect()) == [(1, "a.csv"), (2, "c.csv")]
 
 
-@pytest.mark.parametrize("small", [1_000_000, 20])
-def test_split_sizes_are_exact(spark, sf_dir, small):
+def test_split_sizes_are_exact(spark, sf_dir):
     df = view(spark, sf_dir, "labelled")
-    out = split.stratified_split(df, ["flow_key"], small=small)
+    out = split.stratified_split(df, ["flow_key"])
     n = df.count()
     sizes = {r["split"]: r["count"] for r in out.groupBy("split").count().collect()}
     assert sizes["test"] == math.ceil(n * 0.15) and sum(sizes.values()) == n
