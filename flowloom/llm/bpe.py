@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from flowloom.llm.columns import add_columns, groups
+from flowloom.llm.columns import add_columns, groups, place_of
 
 WIDE = 64
 #: Pieces that a worker keeps of late (and as many of before), and the longest that it keeps.
@@ -282,15 +282,17 @@ def encoder(path: str) -> Encoder:
 def encode(docs: DataFrame, path: str, text: str = "text", keep_ids: bool = True) -> DataFrame:
     """``docs`` with ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if wanted, ``ids`` and ``decoded``."""
 
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    if keep_ids:
+        fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    place = place_of(docs, text, fields)
+
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        texts, coder, rows = batch.column(batch.schema.get_field_index(text)), encoder(path), []
+        texts, coder, rows = batch.column(place), encoder(path), []
         for start, stop in groups(texts):
             for ids, decoded in coder.encode(texts.slice(start, stop - start).to_pylist()):
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()) + ((np.frombuffer(ids, "<u4").astype(np.int32), decoded.decode()) if keep_ids else ()))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * (5 if keep_ids else 3)
         return [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()), strict=False)]
 
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    if keep_ids:
-        fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
     return add_columns(docs, make, fields)

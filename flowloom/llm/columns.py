@@ -15,8 +15,18 @@ from pyspark.sql import types as T
 GROUP_BYTES = 1 << 20
 
 
-def add_columns(df: DataFrame, make: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[T.StructField]) -> DataFrame:
-    """``df`` and the columns that ``make`` computes from each batch.
+def place_of(df: DataFrame, column: str, fields: list[T.StructField]) -> int:
+    """Where ``add_columns`` puts a column of ``df``. Letter case does not count, as in Spark; a missing column is an error."""
+    names = {f.name.lower() for f in fields}
+    kept = [c for c in df.columns if c.lower() not in names]
+    found = [i for i, c in enumerate(kept) if c == column] or [i for i, c in enumerate(kept) if c.lower() == column.lower()]
+    if len(found) != 1:
+        raise ValueError(f"column {column!r} is {'missing' if not found else 'not unique'} in {df.columns}")
+    return found[0]
+
+
+def add_columns(df: DataFrame, make: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[T.StructField], done: Callable[[], None] | None = None) -> DataFrame:
+    """``df`` and the columns that ``make`` computes from each batch; ``done`` is called at the end of each task.
 
     A column of ``df`` that has the name of a new one gives way to it, as with ``withColumn``.
     """
@@ -27,6 +37,8 @@ def add_columns(df: DataFrame, make: Callable[[pa.RecordBatch], list[pa.Array]],
         for batch in batches:
             new = make(batch)
             yield pa.RecordBatch.from_arrays(list(batch.columns) + new, names=list(batch.schema.names) + [f.name for f in fields])
+        if done:
+            done()
 
     return base.mapInArrow(step, T.StructType(base.schema.fields + fields))
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.llm.columns import add_columns
+from flowloom.llm.columns import add_columns, place_of
 from flowloom.llm.words import mix
 
 DIMENSIONS = 4096
@@ -29,8 +29,6 @@ PIECE = 64
 UNKNOWN = "und"
 #: Trigram vectors that a worker keeps; beyond, it starts anew, so memory stays bounded for any alphabet.
 KEPT_VECTORS = 16_384
-#: More languages than this in the learning column means that it holds something else.
-MAX_LANGUAGES = 2_000
 
 
 @lru_cache(maxsize=1)
@@ -132,8 +130,8 @@ class Profiles:
         return self.languages[best], float(min(1.0, max(0.0, cosines[best])))
 
 
-def learn(rows: DataFrame, text: str = "text", lang: str = "lang", dimensions: int = DIMENSIONS) -> Profiles:
-    """Prototypes from every row that has a language.
+def learn(rows: DataFrame, text: str = "text", lang: str = "lang", dimensions: int = DIMENSIONS, most: int | None = None) -> Profiles:
+    """Prototypes from every row that has a language. ``most``: more languages than this are an error (none: any number).
 
     Each partition counts trigrams by language and bundles the counts once; Spark adds the partial bundles, so one
     vector a language reaches the driver.
@@ -160,6 +158,7 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang", dimensions: i
                     settle(name)
         for name in list(counted):
             settle(name)
+        _vectors.cache_clear()
         if sums:
             found = np.zeros((len(sums), pieces * PIECE))
             found[:, :dimensions] = list(sums.values())
@@ -168,20 +167,23 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang", dimensions: i
 
     partial = rows.filter(F.col(lang).isNotNull()).select(F.col(text).cast("string"), F.col(lang).cast("string")).mapInArrow(step, ", ".join(["lang string, piece int", *[f"{c} double" for c in columns]]))
     summed = partial.groupBy("lang", "piece").agg(F.array(*[F.sum(c) for c in columns]).alias("v"))
-    rows = summed.groupBy("lang").agg(F.flatten(F.sort_array(F.collect_list(F.struct("piece", "v")))["v"]).alias("vector")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"column {lang} has more than {MAX_LANGUAGES} values; it does not look like a language column")
+    rows = summed.groupBy("lang").agg(F.flatten(F.sort_array(F.collect_list(F.struct("piece", "v")))["v"]).alias("vector")).orderBy("lang").collect()
+    if most is not None and len(rows) > most:
+        raise ValueError(f"column {lang} has more than {most} values")
     return Profiles([r["lang"] for r in rows], np.array([r["vector"] for r in rows]).reshape(len(rows), pieces * PIECE)[:, :dimensions])
 
 
 def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (the cosine, not below 0)."""
 
+    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    at = place_of(docs, text, fields)
+
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        found = [profiles.predict(t.as_py()) for t in batch.column(batch.schema.get_field_index(text))]
+        found = [profiles.predict(t.as_py()) for t in batch.column(at)]
         return [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
 
-    return add_columns(docs, make, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return add_columns(docs, make, fields, done=_vectors.cache_clear)
 
 
 def learning_rows(docs: DataFrame, fold: Column, held_out: int) -> DataFrame:

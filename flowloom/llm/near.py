@@ -39,7 +39,9 @@ SHINGLE, PERCENT = 5, 75
 POSTED, LEAST_POSTED = 32, 12
 #: At 0.75 a sketch is expected to collide in 769 coordinates, with a standard deviation of 13.9.
 FINE, LEAST_FINE = 1024, 701
-STAR_ROUNDS, BLOCK = 2, 512
+STAR_ROUNDS, BLOCK = 2, 256
+#: Texts that go to a Python worker at a time.
+TEXT_ROWS = 1024
 
 _U = np.uint64
 #: Shingles that are hashed at a time.
@@ -196,12 +198,14 @@ def inverted_lists(classes: DataFrame) -> DataFrame:
 
 def near_classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept, one row per document."""
-    signed = cut(signatures(docs, shingle))
+    with batches_of(docs.sparkSession, TEXT_ROWS):
+        signed = cut(signatures(docs, shingle))
     known = signed.filter("n_shingles > 0 and doc_id is not null")
     # One row a shingle set: its smallest document stands for it.
     classes = cut(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.min_by("signs", "doc_id").alias("signs")))
     lists = cut(inverted_lists(classes), release=True)
-    texts = cut(_sketched(docs.select(F.col("doc_id").alias("node"), "text").join(lists.select("node").distinct(), "node", "left_semi"), shingle), release=True)
+    with batches_of(docs.sparkSession, TEXT_ROWS):
+        texts = cut(_sketched(docs.select(F.col("doc_id").alias("node"), "text").join(lists.select("node").distinct(), "node", "left_semi"), shingle), release=True)
     sizes = lists.groupBy("key").agg(F.count("*").alias("n"))
     shares = cut(lists.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("shares")))
     labels = lists.select("node", F.col("node").alias("component")).limit(0)
@@ -250,6 +254,16 @@ def near_classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` without the documents that a smaller ``doc_id`` of their class stands for."""
-    kept = near_classes(docs, percent, shingle).filter("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """``docs`` without the documents that a smaller ``doc_id`` of their class stands for.
+
+    Of rows that share the kept ``doc_id``, the one with the smallest text stays (null first; then by a hash of the row).
+    """
+    kept = cut(near_classes(docs, percent, shingle).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_rows")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    out = docs.join(kept.filter("_rows = 1"), "doc_id", "left_semi").select(*columns).unionByName(docs.filter("doc_id is null"))
+    shared = kept.filter("_rows > 1")
+    if shared.isEmpty():
+        return out
+    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first(), F.xxhash64(*columns))
+    several = docs.join(shared, "doc_id", "left_semi").select(*columns, F.row_number().over(order).alias("_place")).filter("_place = 1")
+    return out.unionByName(several.drop("_place"))

@@ -156,9 +156,11 @@ class Packer:
         return rows
 
 
-def pack(docs: DataFrame, path: str, ranks: str | None = None, capacity: int = CAPACITY, grain: int = GRAIN, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, path: str, ranks: str | None = None, capacity: int = CAPACITY, grain: int = GRAIN, end: int = END, forget: bool = False) -> DataFrame:
     """One row a piece: where it lies in its document and in its sequence, and the crc32 of its ids.
 
+    With ``forget`` a task leaves no pieces in the worker's memory for the next one.
+
     Sequence ids are the input partition's number and a count, so a task that runs again gives the same ids as long as
     its input partition is the same rows in the same order, which holds for a scan of files.
     """
@@ -183,5 +185,7 @@ def pack(docs: DataFrame, path: str, ranks: str | None = None, capacity: int = C
                 yield from out()
         packer.finish()
         yield from out()
+        if forget:
+            coder.kept, coder.older = {}, {}
 
     return rows.mapInArrow(step, schema)

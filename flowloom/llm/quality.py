@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.llm.columns import add_columns, groups
+from flowloom.llm.columns import add_columns, groups, place_of
 from flowloom.llm.words import Words, mix, span_sums
 
 _U = np.uint64
@@ -119,8 +119,11 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame
     sent = docs.sparkSession.sparkContext.broadcast(weights)
     bits = (len(weights) - 1).bit_length()
 
+    fields = [T.StructField("score", T.DoubleType())]
+    place = place_of(docs, text, fields)
+
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        sums = [float(x @ sent.value[at]) for at, x in features(batch.column(batch.schema.get_field_index(text)), bits)]
+        sums = [float(x @ sent.value[at]) for at, x in features(batch.column(place), bits)]
         return [pa.array(1 / (1 + np.exp(-np.clip(np.array(sums, float), -35, 35))))]
 
-    return add_columns(docs, make, [T.StructField("score", T.DoubleType())])
+    return add_columns(docs, make, fields)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from flowloom.llm import bpe, chat, language, near, packing, quality, queries, sampling, search, substrings, warc
+from flowloom.llm import bpe, chat, graph, language, near, packing, quality, queries, sampling, search, substrings, warc
 from flowloom.llm.columns import fold_of
 from flowloom.llm.fm_index import FMIndex
 
@@ -416,3 +416,43 @@ def test_registered_names():
     assert numbers == list(range(1, 11)) and "pipeline" in queries.QUERIES
     assert json.dumps(sorted(queries.ORACLES))
     assert pa.__version__
+
+
+def test_columns_are_found_as_in_spark(spark):
+    """A text column in other letters is the text, and not the last column by accident."""
+    german = "der die das und ist nicht ein eine mit auf für von dem den"
+    rows = [(i, german if i % 2 else "the and of is not with for from that this", "de" if i % 2 else "en") for i in range(40)]
+    profiles = language.learn(frame(spark, rows, "doc_id long, text string, lang string"))
+    other = frame(spark, [(1, german, "the and of is not")], "doc_id long, TEXT string, source string")
+    assert [r.lang_pred for r in language.identify(other, profiles).collect()] == ["de"]
+    assert [r.decoded for r in bpe.encode(other, WORD_BPE).collect()][0].startswith("der</w> die")
+    weights = np.zeros(1 << 18)
+    assert quality.score(other, weights).count() == 1
+    with pytest.raises(ValueError):
+        language.identify(other.drop("TEXT"), profiles)
+
+
+def test_one_of_each_takes_the_smallest_text(spark):
+    rows = [(1, "one two three four"), (1, "alpha beta gamma delta"), (2, "x y z"), (None, "x y z"), (3, None), (3, "")]
+    for parts in (1, 5):
+        kept = near.one_of_each(frame(spark, rows).repartition(parts)).collect()
+        assert sorted((r.doc_id or -1, r.text or "") for r in kept) == [(-1, "x y z"), (1, "alpha beta gamma delta"), (2, "x y z"), (3, "")]
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components_in_one_task_and_in_steps(spark, few):
+    rnd = random.Random(few)
+    links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(180)]
+    root = {n: n for pair in links for n in pair}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long"), few=few).collect()}
+    assert got == {n: find(n) for a, b in links if a != b for n in (a, b)}
+    assert graph.components(spark.createDataFrame([], "a long, b long"), few=few).count() == 0
