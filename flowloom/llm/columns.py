@@ -39,6 +39,7 @@ def add_columns(df: DataFrame, make: Callable[[pa.RecordBatch], list[pa.Array]],
             yield pa.RecordBatch.from_arrays(list(batch.columns) + new, names=list(batch.schema.names) + [f.name for f in fields])
         if done:
             done()
+        pa.default_memory_pool().release_unused()
 
     return base.mapInArrow(step, T.StructType(base.schema.fields + fields))
 

@@ -66,7 +66,7 @@ class TrigramVectors:
     def _forget(self) -> None:
         self.codes = np.zeros(0, np.uint64)
         self.rows = np.zeros(0, np.int64)
-        self.table = np.zeros((256, self.dimensions), np.uint8)
+        self.table = np.zeros((KEPT_VECTORS, self.dimensions), np.uint8)  # pages that no vector has reached take no memory
 
     def bind(self, code: int) -> np.ndarray:
         a, b, c = (letter_bits(code >> shift & 0x1FFFFF, self.dimensions, turns) for shift, turns in ((42, 2), (21, 1), (0, 0)))
@@ -93,8 +93,6 @@ class TrigramVectors:
                 self._forget()
                 known[:] = False
             new, base = codes[~known], len(self.codes)
-            while len(self.table) < base + len(new):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             for i, code in enumerate(new.tolist()):
                 self.table[base + i] = self.bind(code)
             order = np.argsort(np.concatenate([self.codes, new]))
