@@ -82,6 +82,8 @@ def running_windows(per: DataFrame, keys: Sequence[str], counts: Sequence[str],
     ``per`` has rows per window (and latency ``class``, with ``timed`` latencies). Stretches of ``WINDOWS`` windows run side by
     side; what lies before a stretch comes from the sums of the stretches before it.
     """
+    if not keys:
+        return running_windows(per.withColumn("_all", F.lit(0)), ["_all"], counts, classes).drop("_all")
     keys, counts = list(keys), list(counts)
     start = F.unix_micros("window.start")
     part = F.floor(start / ((F.unix_micros("window.end") - start) * WINDOWS)).alias("_part")

@@ -57,8 +57,9 @@ def stratified_split(
 
     Sizes and borders are tables with a row per class, so there may be any number of classes.
     """
-    given = F.col(stratum) if stratum in df.columns else F.lit(0)
-    hashed = df.withColumns({"_stratum": given, "_h": hash_order(key, seed)})
+    hashed = df.withColumn("_h", hash_order(key, seed))
+    # One class for all rows is a column as well, so that the join below has a key.
+    hashed = hashed.withColumn("_stratum", F.col(stratum) if stratum in df.columns else F.pmod("_h", F.lit(1)))
     # Class and hash are all the search needs.
     narrow = cut(hashed.select(F.col("_stratum").alias("stratum"), "_h"))
     everything = Window.partitionBy()
