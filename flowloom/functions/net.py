@@ -107,6 +107,22 @@ def ipv6_groups(ip: Column) -> Column:
     return _let(_v6_plain(ip), expand)
 
 
+def ipv4_key(number: Column) -> Column:
+    """An IPv4 number as the text ``4`` and eight hex digits, else null; texts sort as the numbers do."""
+    n = number.cast("long")
+    return F.when(n.between(0, 2**32 - 1), F.concat(F.lit("4"), F.lpad(F.lower(F.hex(n)), 8, "0")))
+
+
+def address_key(ip: Column) -> Column:
+    """An address as ``4`` and 8 or ``6`` and 32 hex digits, else null; texts of a family sort as its numbers do."""
+
+    def spelled(groups: Column) -> Column:
+        digits = F.transform(groups, lambda g: F.lpad(F.lower(F.hex(g)), 4, "0"))
+        return F.when(groups.isNotNull(), F.concat(F.lit("6"), F.array_join(digits, "")))
+
+    return F.coalesce(ipv4_key(ipv4_to_long(ip)), _let(ipv6_groups(ip), spelled))
+
+
 def _private_groups(g: Column) -> Column:
     at = [F.get(g, F.lit(i)) for i in range(8)]
     zero = [a == 0 for a in at]

@@ -126,6 +126,36 @@ def j6b(spark, sf_dir):
     return df.select("packet_id", "src_ip", "country")
 
 
+@register("j6_nested_ranges", PK + """, a as (select distinct '10.' || (l_partkey % 4) || '.' || (l_suppkey % 256) || '.' || (l_orderkey % 256) as ip from lineitem),
+  n as (select *, split_part(ip, '.', 1)::bigint * 16777216 + split_part(ip, '.', 2)::bigint * 65536 + split_part(ip, '.', 3)::bigint * 256 + split_part(ip, '.', 4)::bigint as n from a),
+  c as (select 167772160 + (n_nationkey % 10) * 20000 as start_ip, 167772160 + (n_nationkey % 10) * 20000 + 90000 // (1 + n_nationkey // 5) as end_ip, n_name as country from nation),
+  h as (select ip, country, row_number() over (partition by ip order by start_ip desc, end_ip, country desc) as k from n join c on n between start_ip and end_ip)
+  select ip, country from a left join h using (ip) where coalesce(k, 1) = 1""")
+def j6_nested(spark, sf_dir):
+    """Ranges that overlap and nest: the innermost decides."""
+    ip = F.concat_ws(".", F.lit("10"), F.col("l_partkey") % 4, F.col("l_suppkey") % 256, F.col("l_orderkey") % 256)
+    k = F.col("n_nationkey").cast("long")
+    start = F.lit(167772160) + (k % 10) * 20000
+    size = F.floor(F.lit(90000) / (F.floor(k / 5) + 1))
+    ranges = table(spark, sf_dir, "nation").select(start.alias("start_ip"), (start + size).alias("end_ip"), F.col("n_name").alias("country"))
+    return geo.locate(table(spark, sf_dir, "lineitem").select(ip.alias("ip")), "ip", ranges)
+
+
+@register("j6_ipv6_locations", """with a as (select distinct l_suppkey % 128 as g, l_partkey as p from lineitem), c as (select n_nationkey * 4 as lo, n_nationkey * 4 + 6 as hi, n_name as country from nation),
+  h as (select g, p, arg_max(country, lo) as country from a join c on g between lo and hi group by g, p)
+  select '2001:db8:' || lower(to_hex(g)) || '::' || lower(right(to_hex(p), 4)) as ip, any_value(country) as country from a left join h using (g, p) group by 1""")
+def j6_v6(spark, sf_dir):
+    """IPv6 addresses in overlapping ranges of site numbers, given as texts."""
+    site, host = F.lower(F.hex(F.col("l_suppkey") % 128)), F.lower(F.hex("l_partkey"))
+    ip = F.concat(F.lit("2001:DB8:"), F.upper(site), F.lit("::"), F.right(host, F.lit(4)))
+    k = F.col("n_nationkey") * 4
+    ranges = table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("2001:db8:"), F.hex(k), F.lit("::")).alias("start_ip"),
+        F.concat(F.lit("2001:db8:"), F.hex(k + 6), F.lit(":ffff:ffff:ffff:ffff:ffff")).alias("end_ip"), F.col("n_name").alias("country"))
+    found = geo.locate(table(spark, sf_dir, "lineitem").select(ip.alias("ip")), "ip", ranges)
+    return found.withColumn("ip", F.lower("ip"))
+
+
 @register("st3_active_snapshots", FLOW_CTE + f""", ext as (select {KEY}, session, min(ts_us) // 5000000 + 1 as a, (max(ts_us) + 120000000) // 5000000 as z from sessions group by all),
   ticks as (select {KEY}, session, unnest(range(a, z + 1)) as tick from ext)
   select t.src_ip, t.src_port, t.dst_ip, t.dst_port, t.protocol, t.session, tick, count(*) as total_packets, sum(length)::bigint as total_bytes, min(ts_us) as start_us, max(ts_us) as last_us
