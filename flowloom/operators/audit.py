@@ -188,13 +188,14 @@ def top_variance(df: DataFrame, cols: Sequence[str], k: int = 30) -> list[str]:
 
 
 def correlations(df: DataFrame, cols: Sequence[str], k: int = 30) -> DataFrame:
-    """Pearson correlation of every column pair over rows where both are finite, in one aggregate."""
+    """Pearson correlation of every column pair over rows where both are finite, in one aggregate; null where one is constant."""
     chosen = top_variance(df, cols, k)
     cells = []
     for i, a in enumerate(chosen):
         for b in chosen[i:]:
-            x = finite(a)
-            r = F.corr(x, finite(b))
+            x, y = F.when(finite(b).isNotNull(), finite(a)), F.when(finite(a).isNotNull(), finite(b))
+            # Spark's own corr divides by zero, an error in ANSI mode, where a column is constant.
+            r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
             cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(~F.isnan(r), r).alias("corr")))
     return _rows(df, cells)
 

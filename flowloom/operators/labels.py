@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Spellings of the web attacks and the class numbers of the labelled data set.
@@ -70,6 +70,11 @@ def class_number(label: str, numbers: Mapping[str, int] = CLASS_NUMBERS) -> Colu
     return F.coalesce(_lookup(numbers, F.col(label)), partial, F.lit(max(numbers.values()) + 1))
 
 
+def class_table(spark: SparkSession, numbers: Mapping[str, int] = CLASS_NUMBERS) -> DataFrame:
+    """The class names and numbers as a dimension table."""
+    return spark.createDataFrame(list(numbers.items()), "label string, code int")
+
+
 def with_labels(df: DataFrame, label: str = "label") -> DataFrame:
     """Normalised text label plus ``label_binary`` and ``label_multiclass``."""
     out = df.withColumn(label, normalise_label(label))

@@ -9,11 +9,12 @@ from dataclasses import dataclass, field
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.functions.lineage import cut
+from flowloom.functions.ordered import row_positions
 from flowloom.operators import evaluate, scale, score
 
 FEATURES = "features"
@@ -59,7 +60,7 @@ def estimator(spec: ModelSpec, label: str, n_features: int, n_classes: int, seed
         return RandomForestClassifier(**common, **weight, **params)
     if spec.kind == "boosted":
         if n_classes > 2:
-            return OneVsRest(classifier=GBTClassifier(featuresCol=FEATURES, seed=seed, **params), featuresCol=FEATURES, labelCol=label)
+            return OneVsRest(classifier=GBTClassifier(featuresCol=FEATURES, seed=seed, **params), featuresCol=FEATURES, labelCol=label, **weight)
         return GBTClassifier(**common, **weight, **params)
     if spec.kind == "network":
         hidden = params.pop("hidden", [64, 32])
@@ -195,21 +196,56 @@ def ensemble(
         width = len(out.first()[columns[0]]) if out.first() else 2
         mean, best = score.soft_vote([[F.col(c)[k] for k in range(width)] for c in columns], weights)
         return out.withColumns({"probability": mean[-1], "prediction": best}).drop(*columns, FEATURES)
-    # Majority of the decided classes, the smallest class on ties.
     votes = F.array(*[F.array_position(F.col(c), F.array_max(c)).cast("int") - 1 for c in columns])
-    ranked = F.array_sort(
-        F.transform(F.array_distinct(votes), lambda v: F.struct(F.size(F.filter(votes, lambda x: x == v)).alias("n"), (-v).alias("c"))))
-    return out.withColumn("prediction", -F.element_at(ranked, -1)["c"]).drop(*columns, FEATURES)
+    return out.withColumn("prediction", score.majority(votes)).drop(*columns, FEATURES)
 
 
 def importances(model: PipelineModel, contract: Sequence[str]) -> DataFrame:
-    """Features by importance; the model holds one number per feature."""
-    values = model.stages[-1].featureImportances.toArray()
+    """Features by importance; a tree model holds one number per feature, one-vs-rest the mean of its members' numbers.
+
+    Networks hold none: see ``permutation_importances``, which serves any model.
+    """
+    last = model.stages[-1]
+    members = last.models if isinstance(last, OneVsRestModel) else [last]
+    if not all(hasattr(m, "featureImportances") for m in members):
+        raise ValueError(f"{type(last).__name__} holds no importances; use permutation_importances")
+    values = sum(m.featureImportances.toArray() for m in members)
+    values = values / (values.sum() or 1.0)
     spark = SparkSession.getActiveSession()
     rows = [(c, float(v)) for c, v in zip(contract, values)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
+def permutation_importances(
+    model: PipelineModel, df: DataFrame, contract: Sequence[str], label: str, keys: Sequence[str], seed: int = 42, threshold: float = 0.5
+) -> DataFrame:
+    """How much accuracy is lost when the values of one feature are dealt to other rows, per feature; serves any model.
+
+    Rows are put in the order of a seeded hash of ``keys`` and every row takes the values of the row before it, the first
+    those of the last: one permutation serves all features, since each is exchanged alone. A row is scored once as it
+    is and once a feature. Rows without a truth are left out; without rows every importance is null. ``keys`` should tell rows
+    apart: rows with equal keys stand in any order among themselves.
+    """
+    ready = FEATURES in df.columns
+    cells = vector_to_array(FEATURES) if ready else F.array(*[F.col(f"`{c}`").cast("double") for c in contract])
+    rows = df.where(F.col(label).isNotNull()).select(F.col(label).alias("_truth"), cells.alias("_own"), F.xxhash64(F.lit(seed), *keys).alias("_h"))
+    placed = cut(row_positions(rows, ["_h"], "_at").drop("_h"))
+    total = placed.count()
+    givers = placed.select(F.pmod(F.col("_at") + 1, F.lit(max(total, 1))).alias("_at"), F.col("_own").alias("_other"))
+    mixed = placed.join(givers, "_at").select("_truth", "_own", "_other", F.explode(F.sequence(F.lit(0), F.lit(len(contract)))).alias("_k"))
+    cells = F.transform("_own", lambda v, i: F.when(i + 1 == F.col("_k"), F.get("_other", i)).otherwise(v))
+    mixed = mixed.select("_truth", "_k", cells.alias("_cells"))
+    if ready:
+        mixed = mixed.select("_truth", "_k", array_to_vector("_cells").alias(FEATURES))
+    else:
+        mixed = mixed.select("_truth", "_k", *[F.col("_cells")[i].alias(c) for i, c in enumerate(contract)])
+    hits = predict(model, mixed, threshold).groupBy("_k").agg(F.count_if(F.col("prediction") == F.col("_truth")).alias("hits")).collect()
+    right = {r["_k"]: r["hits"] for r in hits}  # one number per feature
+    spark = df.sparkSession
+    found = [(c, (right[0] - right[i + 1]) / total if total else None) for i, c in enumerate(contract)]
+    return spark.createDataFrame(found, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
 def describe(model: PipelineModel, contract: Sequence[str], threshold: float = 0.5) -> dict:
     """Model type, feature count, threshold and the size parameters it has."""
     last = model.stages[-1]

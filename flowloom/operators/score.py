@@ -48,6 +48,13 @@ def soft_vote(scores: Sequence[Sequence[Column]], weights: Sequence[float] | Non
     return mean, best.cast("int")
 
 
+def majority(votes: Column) -> Column:
+    """Most frequent class of an array of votes, the smallest one on ties; null votes do not count. No shuffle."""
+    cast = F.filter(votes, lambda v: v.isNotNull())
+    counted = F.transform(F.array_distinct(cast), lambda v: F.struct(F.size(F.filter(cast, lambda x: x == v)).alias("n"), (-v).alias("c")))
+    return -F.array_max(counted)["c"]
+
+
 def hard_vote(df: DataFrame, key: str, prediction: str = "prediction") -> DataFrame:
     """Most frequent prediction per key, the smallest one on ties; input has one row per model."""
     per = df.groupBy(key, prediction).agg(F.count(F.lit(1)).alias("votes"))

@@ -58,6 +58,14 @@ def m9(spark, sf_dir):
     return models.importances(models.fit(SMALL["m1_random_forest"], parts["train"], contract, "y_true", classes=2), contract)
 
 
+@register("m9_permutation_importance")
+def m9_permuted(spark, sf_dir):
+    """A network, which holds no importances of its own, judged on every row that it was not fitted on."""
+    parts, contract = _parts(spark, sf_dir)
+    model = models.fit(SMALL["m3_network"], parts["train"], contract, "y_true", classes=2)
+    return models.permutation_importances(model, parts["val"].unionByName(parts["test"]), contract, "y_true", ["vec_id"])
+
+
 @register("m10_score_and_evaluate")
 def m10(spark, sf_dir):
     parts, contract = _parts(spark, sf_dir)

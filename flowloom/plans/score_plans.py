@@ -83,15 +83,15 @@ def s14_lines(spark, sf_dir):
     return score.attack_log_lines(_file_rows(spark, sf_dir))
 
 
-_VOTE3 = "(probability * 0.5 + p2 * 0.3 + p3 * 0.2)"
+# Both sides add the same products in the same order, so ties agree to the last bit.
+_VOTE3 = "(probability * 0.5::double + p2 * 0.3::double + p3 * 0.2::double)"
+_AGAINST3 = "((1 - probability) * 0.5::double + (1 - p2) * 0.3::double + (1 - p3) * 0.2::double)"
 
 
-@register("m6_soft_vote", SC + f"""select flow_index, round({_VOTE3}, 6) as p_attack, case when round({_VOTE3}, 9) > round(1 - {_VOTE3}, 9) then 1 else 0 end as vote from scored""")
+@register("m6_soft_vote", SC + f"""select flow_index, round({_VOTE3}, 6) as p_attack, case when {_VOTE3} > {_AGAINST3} then 1 else 0 end as vote from scored""")
 def m6(spark, sf_dir):
     cols = [F.col(c) for c in ("probability", "p2", "p3")]
-    mean, _ = score.soft_vote([[1 - c, c] for c in cols], [5, 3, 2])
-    # Sums of binary fractions: a tie is decided on nine digits, as in the checking statement.
-    best = F.when(F.round(mean[1], 9) > F.round(1 - mean[1], 9), 1).otherwise(0)
+    mean, best = score.soft_vote([[1 - c, c] for c in cols], [5, 3, 2])
     return rounded(view(spark, sf_dir, "scored").select("flow_index", mean[1].alias("p_attack"), best.alias("vote")))
 
 
@@ -106,6 +106,13 @@ def m7(spark, sf_dir):
     return score.hard_vote(df.select("flow_index", F.explode(votes).alias("prediction")), "flow_index")
 
 
+@register("m7_majority", _VOTES + """select flow_index, prediction from (select *, row_number() over (partition by flow_index order by n desc, prediction) as rn from cnt) where rn = 1""")
+def m7_row(spark, sf_dir):
+    """Votes of one row are counted inside the row."""
+    votes = F.array(*[(F.col(c) >= 0.5).cast("int") for c in ("probability", "p2", "p3")], F.col("y_class"))
+    return view(spark, sf_dir, "scored").select("flow_index", score.majority(votes).alias("prediction"))
+
+
 _MODELS = {"a": "probability", "b": "p2", "c": "p3"}
 _LONG = SC + """, m as (select flow_index, y_true, unnest(['a','b','c']) as model, unnest([probability, p2, p3]) as probability from scored)"""
 

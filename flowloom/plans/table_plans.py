@@ -202,19 +202,18 @@ def u5(spark, sf_dir):
     return _raw(spark, sf_dir).select("label").distinct()
 
 
-@register("j3_label_dimension", RAW + "select trim(label) as label, coalesce(r_regionkey, -1) as code, count(*) as \"rows\" from flows_raw left join region on length(trim(label)) % 5 = r_regionkey where label is not null group by all")
+@register("j3_label_dimension", LABELLED_SQL + ", dim(label, code) as (values " + ", ".join(f"('{k}', {v})" for k, v in labels.CLASS_NUMBERS.items()) + """)
+  select label, coalesce(code, -1) as code, count(*) as "rows" from fixed left join dim using (label) group by all""")
 def j3(spark, sf_dir):
-    """Label lookup in a small dimension table; texts are counted before they are joined."""
-    per = clean.drop_unlabelled(_raw(spark, sf_dir), "label").groupBy(F.trim("label").alias("label")).agg(
-        F.count(F.lit(1)).alias("rows"))
-    dim = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("code"))
-    keyed = per.withColumn("k", (F.length("label") % 5).cast("long"))
-    return keyed.join(dim, keyed["k"] == dim["code"], "left").select("label", F.coalesce("code", F.lit(-1)).alias("code"), "rows")
+    """Class numbers from the table of classes; texts are counted before they are joined."""
+    df = clean.drop_unlabelled(_raw(spark, sf_dir), "label")
+    per = df.groupBy(labels.normalise_label("label").alias("label")).agg(F.count(F.lit(1)).alias("rows"))
+    return per.join(labels.class_table(spark), "label", "left").select("label", F.coalesce("code", F.lit(-1)).alias("code"), "rows")
 
 
-@register("p12_zero_bad_cells", RAW + f"select {ID}, coalesce({FIN.format('bytes_s')}, 0) as bytes_s, fwd_len from flows_raw")
+@register("p12_zero_bad_cells", RAW + f"select {ID}, " + ", ".join(f"coalesce({FIN.format(c)}, 0) as {c}" for c in NUM) + " from flows_raw")
 def p12(spark, sf_dir):
-    return clean.zero_bad_cells(_raw(spark, sf_dir), ["bytes_s", "fwd_len"]).select("l_orderkey", "l_linenumber", "bytes_s", "fwd_len")
+    return clean.zero_bad_cells(_raw(spark, sf_dir), NUM).select("l_orderkey", "l_linenumber", *NUM)
 
 
 _SC = ("fwd_len", "bytes_s", "iat_mean", "down_up", "const_col")
@@ -238,13 +237,17 @@ _p13("robust", "quantile_cont({0}, 0.5)", "quantile_cont({0}, 0.75) - quantile_c
 _p13("minmax", "min({0})", "max({0}) - min({0})")
 
 
-@register("p13d_scale_new_data", cte("labelled") + """, s as (select avg(fwd_len) as a, stddev_pop(fwd_len) as b from labelled where _day = 'Monday')
-  select flow_key, round((fwd_len - a) / b, 6) as fwd_len from labelled, s where _day = 'Friday'""")
+_LIVE = ("fwd_len", "bytes_s", "iat_mean")
+
+
+@register("p13d_scale_new_data", cte("labelled") + ", s as (select " + ", ".join(f"avg({c}) as {c}_a, stddev_pop({c}) as {c}_b" for c in _LIVE)
+          + " from labelled where _day = 'Monday') select flow_key, " + ", ".join(f"round(({c} - {c}_a) / {c}_b, 6) as {c}" for c in _LIVE)
+          + " from labelled, s where _day = 'Friday'")
 def p13d(spark, sf_dir):
     df = view(spark, sf_dir, "labelled")
-    params = scale.fit_scaler(df.where("_day = 'Monday'"), ["fwd_len"], "standard")
+    params = scale.fit_scaler(df.where("_day = 'Monday'"), _LIVE, "standard")
     stored = scale.params_from_frame(scale.params_frame(spark, params))
-    return rounded(scale.apply_scaler(df.where("_day = 'Friday'"), stored).select("flow_key", "fwd_len"))
+    return rounded(scale.apply_scaler(df.where("_day = 'Friday'"), stored).select("flow_key", *_LIVE))
 
 
 @register("p18_require_columns", "select l_orderkey as \"L_ORDERKEY\", l_quantity as qty from lineitem")
@@ -261,18 +264,20 @@ def p19(spark, sf_dir):
     return df.select("l_orderkey", "l_linenumber", "y_true")
 
 
-@register("p20_coerce_features", RAW + f"""select {ID}, coalesce(case when isfinite(try_cast(b as double)) then try_cast(b as double) end, 0.0) as b from (
-  select {ID}, case when l_linenumber = 3 then 'n/a' else cast(bytes_s as varchar) end as b from flows_raw)""")
+@register("p20_coerce_features", RAW + f"select {ID}, " + ", ".join(
+    f"coalesce(case when isfinite(try_cast({c} as double)) then try_cast({c} as double) end, 0.0) as {c}" for c in NUM) + f""" from (
+  select {ID}, """ + ", ".join(f"case when l_linenumber = 3 then 'n/a' else cast({c} as varchar) end as {c}" for c in NUM) + " from flows_raw)")
 def p20(spark, sf_dir):
-    text = F.when(F.col("l_linenumber") == 3, "n/a").otherwise(F.col("bytes_s").cast("string"))
-    df = _raw(spark, sf_dir).select("l_orderkey", "l_linenumber", text.alias("b"))
-    return clean.coerce_features(df, ["b"])
+    texts = [F.when(F.col("l_linenumber") == 3, "n/a").otherwise(F.col(c).cast("string")).alias(c) for c in NUM]
+    df = _raw(spark, sf_dir).select("l_orderkey", "l_linenumber", *texts)
+    return clean.coerce_features(df, NUM)
 
 
-@register("p21_bound_live_cells", RAW + f"""select {ID}, case when bytes_s is null or isnan(bytes_s) then 0
-  when bytes_s = 'inf'::double then 1e10 when bytes_s = -('inf'::double) then -1e10 else least(greatest(bytes_s, -1e15), 1e15) end as bytes_s from flows_raw""")
+@register("p21_bound_live_cells", RAW + f"select {ID}, " + ", ".join(
+    f"""case when {c} is null or isnan({c}) then 0 when {c} = 'inf'::double then 1e10 when {c} = -('inf'::double) then -1e10
+  else least(greatest({c}, -1e15), 1e15) end as {c}""" for c in NUM) + " from flows_raw")
 def p21(spark, sf_dir):
-    return clean.bound_live_cells(_raw(spark, sf_dir), ["bytes_s"]).select("l_orderkey", "l_linenumber", "bytes_s")
+    return clean.bound_live_cells(_raw(spark, sf_dir), NUM).select("l_orderkey", "l_linenumber", *NUM)
 
 
 @register("p28_flat_columns", "select vec_id, label from embeddings")
@@ -387,7 +392,7 @@ def _corr_sql(src, cols):
         for i, a in enumerate(cols) for b in cols[i:])
 
 
-_CORR = ["fwd_len", "bytes_s", "iat_mean", "down_up"]
+_CORR = list(NUM)
 
 
 @register("a10_correlations", RAW + _corr_sql("flows_raw", _CORR))
@@ -401,12 +406,12 @@ def a10_top(spark, sf_dir):
     return rounded(audit.correlations(table(spark, sf_dir, "lineitem"), cols, k=2))
 
 
-_HIST = ["fwd_len", "bytes_s"]
+_HIST = list(NUM)
 
 
 @register("a11_histograms", RAW + " union all ".join(
     f"""select '{c}' as feature, bin, round(lo + (hi - lo) / 30 * bin, 4) as bin_start, count(*) as "count" from (
-     select least(floor((least(greatest(x, lo), hi) - lo) / ((hi - lo) / 30)), 29)::int as bin, lo, hi from
+     select case when hi > lo then least(floor((least(greatest(x, lo), hi) - lo) / ((hi - lo) / 30)), 29)::int else 0 end as bin, lo, hi from
        (select {FIN.format(c)} as x from flows_raw), (select quantile_cont({FIN.format(c)}, 0.01) as lo, quantile_cont({FIN.format(c)}, 0.99) as hi from flows_raw)
      where x is not null) group by all""" for c in _HIST))
 def a11(spark, sf_dir):

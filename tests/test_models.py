@@ -87,3 +87,46 @@ def test_boosted_trees_stop_on_validation_rows(spark, sf_dir):
     model = models.fit(spec, train, ["fwd_len", "bytes_s"], "noise", classes=2, validation=val)
     assert len(model.stages[-1].trees) < 15
     assert models.predict(model, val).count() == val.count()
+
+
+def test_permutation_importances_agree_with_a_plain_exchange(spark, sf_dir):
+    from flowloom.plans.views import view
+
+    cols = ["fwd_len", "bytes_s", "iat_mean"]
+    df = view(spark, sf_dir, "labelled").withColumn("y", (F.col("fwd_len") > 25).cast("int")).select("flow_key", "y", *cols)
+    net = models.fit(models.ModelSpec("NN", "network", {"hidden": [4], "maxIter": 30}), df, cols, "y", classes=2)
+    tree = models.fit(models.ModelSpec("RF", "forest", {"numTrees": 3, "maxDepth": 2}), df, cols, "y", classes=2)
+    rows = df.select("*", F.xxhash64(F.lit(7), "flow_key").alias("h")).orderBy("h").collect()
+    n = len(rows)
+    for model in (net, tree):
+        got = {r["feature"]: r["importance"] for r in models.permutation_importances(model, df, cols, "y", ["flow_key"], seed=7).collect()}
+        plain = []
+        for k in range(len(cols) + 1):
+            for i, r in enumerate(rows):
+                cells = [rows[i - 1][c] if j + 1 == k else r[c] for j, c in enumerate(cols)]
+                plain.append((k, r["y"], *cells))
+        scored = models.predict(model, spark.createDataFrame(plain, ["k", "y", *cols])).where("prediction = y").groupBy("k").count().collect()
+        hits = {r["k"]: r["count"] for r in scored}
+        assert got == {c: pytest.approx((hits[0] - hits[j + 1]) / n) for j, c in enumerate(cols)}
+    assert got["fwd_len"] > 0.2 and got["iat_mean"] == 0
+    with pytest.raises(ValueError, match="permutation"):
+        models.importances(net, cols)
+    none = models.permutation_importances(tree, df.where("false"), cols, "y", ["flow_key"]).collect()
+    assert [r["importance"] for r in none] == [None] * 3
+
+
+def test_one_vs_rest_takes_weights_and_has_importances(spark):
+    rows = [(float(i % 10), float(i % 3), 0 if i % 10 < 8 else i % 10 - 7) for i in range(300)]
+    df = spark.createDataFrame(rows, "a double, b double, y int")
+    spec = models.ModelSpec("G", "boosted", {"maxIter": 2, "maxDepth": 2}, True)
+    model = models.fit(spec, df, ["a", "b"], "y")
+    assert models.estimator(spec, "y", 2, 3).getWeightCol() == models.WEIGHT
+    found = {r["feature"]: r["importance"] for r in models.importances(model, ["a", "b"]).collect()}
+    assert sum(found.values()) == pytest.approx(1.0) and found["a"] > found["b"]
+
+
+def test_majority_counts_inside_the_row(spark):
+    from flowloom.operators import score
+
+    df = spark.createDataFrame([([2, 1, 2],), ([3, 1],), ([None, 4],), ([],), (None,)], "v array<int>")
+    assert [r[0] for r in df.select(score.majority(F.col("v"))).collect()] == [2, 1, 4, None, None]
