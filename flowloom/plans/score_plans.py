@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from flowloom.functions.lineage import session_dir
 from flowloom.operators import alerts, evaluate, flows, monitor, runs, score
 from flowloom.plans.flow_plans import FLOW_CTE
 from flowloom.plans.registry import register, rounded
 from flowloom.plans.views import cte, table, view
+from flowloom.sources import run_store
 from flowloom.streaming import packet_flows
 
 SC = cte("scored") + """, dec as (select *, (probability >= 0.5)::int as prediction, probability >= 0.5 as is_attack,
@@ -541,6 +545,33 @@ def s21(spark, sf_dir):
     return runs.count_alerts(kept)
 
 
+_STORED = _ALERTS + """, kept as (select run_id, started_us, case when run_id % 2 = 1 then 'completed' else 'running' end as status,
+  case when run_id % 2 = 1 then total_flows end as total_flows from runs where run_id <> 2 union all select 77, null, 'completed', 0)"""
+
+
+def _store(spark, sf_dir):
+    """A store after two appends, an update with one unknown run and a deletion."""
+    store, every = f"{session_dir(spark)}/store-{uuid.uuid4().hex}", _runs(spark, sf_dir)
+    run_store.append(store, "runs", every.select("run_id", "started_us", F.lit("running").alias("status")))
+    run_store.append(store, "alerts", _alerts(spark, sf_dir))
+    done = every.where("run_id % 2 = 1").select("run_id", F.lit("completed").alias("status"), "total_flows")
+    late = spark.range(77, 78).select(F.col("id").alias("run_id"), F.lit("completed").alias("status"), F.lit(0).cast("long").alias("total_flows"))
+    run_store.update_runs(store, done.unionByName(late))
+    run_store.delete_runs(store, every.where("run_id = 2"))
+    return store
+
+
+@register("s19_s21_stored_runs", _STORED + "select run_id, started_us, status, total_flows from kept")
+def s21_runs(spark, sf_dir):
+    return run_store.read(spark, _store(spark, sf_dir), "runs")
+
+
+@register("s20_s21_stored_alerts", _STORED + "select run_id, id, flow_index, round(probability, 6) as probability, true_label, is_correct from alerts where run_id <> 2")
+def s21_alerts(spark, sf_dir):
+    df = run_store.read(spark, _store(spark, sf_dir), "alerts")
+    return rounded(df.select("run_id", "id", "flow_index", "probability", "true_label", "is_correct"))
+
+
 @register("o2_newest_runs", _ALERTS + "select run_id, started_us from runs order by started_us desc, run_id desc limit 3")
 def o2_runs(spark, sf_dir):
     return runs.newest_runs(_runs(spark, sf_dir), 3).select("run_id", "started_us")
