@@ -121,34 +121,34 @@ _ONE_SPLIT = {
 }
 
 
-def _stump(spark, sf_dir, kind):
+def one_split(spark, sf_dir, kind):
     """Labelled traffic with a truth that mostly follows one column, and a model of one split fitted on all of it."""
     df = view(spark, sf_dir, "labelled").withColumn("y_true", F.expr(_TRUTH)).select("flow_key", "y_true", *STUMP)
     return df, models.fit(_ONE_SPLIT[kind], df, STUMP, "y_true", classes=2)
 
 
 def _stump_rows(spark, sf_dir, kind):
-    df, model = _stump(spark, sf_dir, kind)
+    df, model = one_split(spark, sf_dir, kind)
     return rounded(models.predict(model, df).select("flow_key", "y_true", "probability", "prediction"))
 
 
 @register("m1_forest_of_one_split", _SPLIT_SQL + "select flow_key, y_true, round(p, 6) as probability, (p >= 0.5)::int as prediction from leaf")
-def m1_stump(spark, sf_dir):
+def m1one_split(spark, sf_dir):
     return _stump_rows(spark, sf_dir, "forest")
 
 
 @register("m2_boosted_one_split", _SPLIT_SQL + """select flow_key, y_true, round(1 / (1 + exp(-2 * (2 * p - 1))), 6) as probability, (p >= 0.5)::int as prediction from leaf""")
-def m2_stump(spark, sf_dir):
+def m2one_split(spark, sf_dir):
     """The first boosted tree predicts the mean of -1 and 1; its logistic value is the probability."""
     return _stump_rows(spark, sf_dir, "boosted")
 
 
 @register("m9_importance_of_one_split", _SPLIT_SQL + "select x.f as feature, (x.f = best.f)::int::double as importance from (select distinct f from g) x, best")
-def m9_stump(spark, sf_dir):
-    return models.importances(_stump(spark, sf_dir, "forest")[1], STUMP)
+def m9one_split(spark, sf_dir):
+    return models.importances(one_split(spark, sf_dir, "forest")[1], STUMP)
 
 
 @register("m10_evaluate_one_split", _SPLIT_SQL + f", p as (select y_true, (p >= 0.5)::int as prediction from leaf), t as (select {_CELLS} from p) {metrics_sql('t')}")
-def m10_stump(spark, sf_dir):
-    df, model = _stump(spark, sf_dir, "forest")
+def m10one_split(spark, sf_dir):
+    df, model = one_split(spark, sf_dir, "forest")
     return rounded(evaluate.binary_metrics(models.predict(model, df)))

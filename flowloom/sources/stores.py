@@ -44,11 +44,16 @@ def write_json_rows(df: DataFrame, path: str, append: bool = False) -> str:
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """JSON documents, pretty-printed or one per line."""
+    """Files of one JSON document each, pretty-printed or not; what follows the document in a file is not read."""
     reader = spark.read.option("multiLine", True)
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 
+def read_json_rows(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """JSON lines, as ``write_json_rows`` leaves them; files are cut into many tasks."""
+    return (spark.read.schema(schema) if schema is not None else spark.read).json(path)
+
+
 def write_document(spark: SparkSession, document: Mapping, path: str) -> str:
     """One small JSON document (schema, mapping, metadata)."""
     text = json.dumps(document, ensure_ascii=False, default=str)

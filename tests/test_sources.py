@@ -112,7 +112,7 @@ def test_result_files_append(spark, sf_dir, tmp_path):
     assert back.count() == 40 and "nested" not in back.columns
     stores.write_json_rows(df, str(tmp_path / "j"))
     stores.write_json_rows(df, str(tmp_path / "j"), append=True)
-    assert spark.read.json(str(tmp_path / "j")).count() == 40
+    assert stores.read_json_rows(spark, str(tmp_path / "j")).count() == 40
 
 
 def test_stream_writes_flows_and_attacks(spark, sf_dir, tmp_path):
