@@ -52,7 +52,7 @@ VIEWS = {
                      cast(1024 + user_id % 60000 as int) as cport,
                      case when k % 2 = 0 then 80 else 443 end as sport
               from (select event_id, event_type, user_id, value, {us} as us, {k} as k from {events}) r) e""",
-    # Dirty labelled flows: nulls, infinities, copies, a doubled column, untidy labels.
+    # Dirty labelled flows: nulls, infinities, copies (half of them in the file of the next day), a doubled column, untidy labels.
     "flows_raw": """
         select l_orderkey, l_linenumber, l_shipdate as flow_ts,
                concat(dy, '-WorkingHours.csv') as _source_file, dy as _day,
@@ -64,11 +64,11 @@ VIEWS = {
                case l_orderkey % 11 when 0 then ' DoS Hulk' when 1 then 'Web Attack - XSS' when 2 then 'PortScan '
                     when 3 then null when 4 then 'DoS Slowloris variant' when 5 then 'Mystery'
                     else 'BENIGN' end as label
-        from (select *, case {dow} when 0 then 'Sunday' when 1 then 'Monday' when 2 then 'Tuesday'
+        from (select *, case ({dow} + moved) % 7 when 0 then 'Sunday' when 1 then 'Monday' when 2 then 'Tuesday'
                          when 3 then 'Wednesday' when 4 then 'Thursday' when 5 then 'Friday'
                          else 'Saturday' end as dy
-              from (select * from {lineitem} union all
-                    select * from {lineitem} where l_orderkey % 50 = 0) u) v""",
+              from (select *, 0 as moved from {lineitem} union all
+                    select *, case when l_orderkey % 100 = 0 then 1 else 0 end as moved from {lineitem} where l_orderkey % 50 = 0) u) v""",
     # Labelled flows for splitting: every lineitem row once, with a unique textual key.
     "labelled": """
         select concat(cast(l_orderkey as varchar(20)), '-', cast(l_linenumber as varchar(20)), '-',
