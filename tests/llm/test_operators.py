@@ -118,10 +118,7 @@ def test_near_classes_on_awkward_rows(spark):
     assert near.near_classes(rows.limit(0)).count() == 0
 
 
-def test_search_on_awkward_rows_and_blocks(spark):
-    rnd = random.Random(1)
-    rows = [(i, " ".join(rnd.choices("abcdefghij", k=rnd.randrange(1, 12)))) for i in range(150)] + [(40, "a b"), (None, "a"), (7, None), (20, "")]
-    got = search.top_k(frame(spark, rows), frame(spark, rows).filter("doc_id % 20 = 0"), k=5, shard_docs=40).collect()
+def plain_search(rows, k):
     live = [(i, Counter(t.split())) for i, t in rows if i is not None and t]
     mean = sum(sum(c.values()) for _, c in live) / len(live)
     df = Counter(w for _, c in live for w in c)
@@ -131,8 +128,49 @@ def test_search_on_awkward_rows_and_blocks(spark):
             score = sum(math.log(1 + (len(live) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w in words if w in c)
             if score and i != q:
                 want[q].append((-round(score, 6), i))
-    assert {(r.query_id, r["rank"], r.doc_id, r.score) for r in got} == {(q, k + 1, i, -s) for q, x in want.items() for k, (s, i) in enumerate(sorted(x)[:5])}
+    return {(q, n + 1, i, -s) for q, x in want.items() for n, (s, i) in enumerate(sorted(x)[:k])}
+
+
+def test_search_on_awkward_rows_and_blocks(spark):
+    rnd = random.Random(1)
+    rows = [(i, " ".join(rnd.choices("abcdefghij", k=rnd.randrange(1, 12)))) for i in range(150)]
+    rows += [(40, "a b"), (None, "a"), (7, None), (20, ""), (200, "a " * 40_000 + "b c"), (220, " ".join(f"w{i}" for i in range(30_000)))] + [(i, "same text of many rows") for i in range(300, 400)]
+    docs = frame(spark, rows).select("doc_id", "text", F.lit("x").alias("word"), F.lit(1).alias("shard"), F.lit(2.0).alias("score"))
+    got = search.top_k(docs, docs.filter("doc_id % 20 = 0"), k=5, shard_postings=8_000)
+    assert got.columns == ["query_id", "rank", "doc_id", "score"]
+    assert {tuple(r) for r in got.collect()} == plain_search(rows, 5)
     assert search.top_k(frame(spark, []), frame(spark, [])).count() == 0
+    with pytest.raises(TypeError):
+        search.top_k(docs.withColumn("doc_id", F.col("doc_id").cast("string")), docs)
+
+
+def test_bounds_skip_documents_and_lose_none(monkeypatch):
+    monkeypatch.setattr(search, "START", 1)
+    rng, vocabulary = np.random.default_rng(5), np.arange(1, 3000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    chosen = [np.unique(rng.zipf(1.3, 120) % len(vocabulary)) for _ in range(2000)]
+    chosen[1500:1520] = [chosen[0]] * 20  # equal scores, more than are asked for
+    sizes = np.array([len(c) for c in chosen])
+    words = np.sort(vocabulary)[np.concatenate(chosen)]
+    counts = rng.integers(1, 4, len(words)).astype(np.int32)
+    counts[sizes[:1500].sum() : sizes[:1520].sum()] = np.tile(counts[: sizes[0]], 20)
+    lengths = np.add.reduceat(counts, np.cumsum(sizes) - sizes).astype(np.int64)
+    ids = rng.permutation(2000)
+    index = search.ShardIndex(float(lengths.mean()))
+    for part in np.array_split(np.arange(2000), 7):
+        a, b = sizes[: part[0]].sum(), sizes[: part[-1] + 1].sum()
+        index.add(ids[part], sizes[part], words[a:b], counts[a:b], lengths[part], search._order_keys(words[a:b], counts[a:b], sizes[part]))
+    index.close()
+    listed, df = np.unique(words, return_counts=True)
+    owner, idf = np.repeat(np.arange(2000), sizes), np.log(1 + (2000 - df + 0.5) / (df + 0.5))
+    weights = counts * 2.2 / (counts + 1.2 * (0.25 + 0.75 * lengths[owner] / lengths.mean()))
+    for q in range(0, 200, 10):
+        asked = np.searchsorted(listed, np.unique(words[owner == q]))
+        scores = np.round(np.bincount(owner, weights * np.where(np.isin(words, listed[asked]), idf[np.searchsorted(listed, words)], 0)), 6)
+        scores[q] = 0
+        best = np.lexsort((ids, -scores))[:10]
+        got, got_scores = index.search(int(ids[q]), listed[asked], idf[asked], 10)
+        assert got.tolist() == ids[best].tolist() and np.allclose(got_scores, scores[best], atol=1e-6)
+    assert index.scored <= index.pivots < index.skipped
 
 
 def plain_draws(text):
