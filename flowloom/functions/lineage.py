@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import time
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,10 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder for tables that outlive one plan, readable by the driver and every executor.
 
-    The session's ``spark.checkpoint.dir``; where it is unset, the warehouse, which a cluster shares as well.
+    The session's ``spark.checkpoint.dir``. Where it is unset, a folder in the warehouse serves, if the session is local or the
+    warehouse lies in a store; a cluster with neither is told to name a folder, since executors do not share local disks.
     """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_cuts"
+    return folder or _warehouse_dir(spark.conf.get("spark.sql.warehouse.dir"), spark.sparkContext.master)
+
+
+def _warehouse_dir(warehouse: str, master: str) -> str:
+    local = master == "local" or master.startswith("local[")
+    if not local and urlparse(warehouse).scheme in ("", "file"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{warehouse.rstrip('/')}/_cuts"
 
 
 def session_dir(spark: SparkSession) -> str:

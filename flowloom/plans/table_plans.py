@@ -223,7 +223,7 @@ _SCALE_BASE = RAW + f", z as (select {ID}, fwd_len, iat_mean, down_up, const_col
 def _p13(kind, a, b):
     stats = ", ".join(f"{a.format(c)} as {c}_a, {b.format(c)} as {c}_b" for c in _SC)
     cells = ", ".join(f"round(({c} - {c}_a) / case when {c}_b = 0 then 1 else {c}_b end, 6) as {c}" for c in _SC)
-    sql = _SCALE_BASE + f", s as (select {stats} from z) select {ID}, {cells} from z, s"
+    sql = _SCALE_BASE + f", s as materialized (select {stats} from z) select {ID}, {cells} from z, s"
 
     @register(f"p13_scale_{kind}", sql)
     def run(spark, sf_dir):

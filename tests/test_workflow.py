@@ -5,6 +5,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
+from flowloom.functions import lineage
 from flowloom.operators import models, scale, workflow
 from flowloom.plans.views import view
 
@@ -49,3 +50,12 @@ lineage.clear(spark)
     assert done.returncode == 0, done.stderr[-1500:]
     left = [f for f in (tmp_path / "spark-warehouse").rglob("*.parquet")]
     assert not left
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    assert lineage._warehouse_dir("file:/w", "local[8]") == lineage._warehouse_dir("file:/w/", "local") == "file:/w/_cuts"
+    assert lineage._warehouse_dir("hdfs://n/w/", "yarn") == "hdfs://n/w/_cuts"
+    for warehouse in ("file:/w", "/w"):
+        for master in ("spark://h:7077", "local-cluster[2,1,1024]"):
+            with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+                lineage._warehouse_dir(warehouse, master)
