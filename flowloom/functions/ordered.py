@@ -136,6 +136,11 @@ class _Target:
             self.margin *= 4
 
 
+def between(a: float, b: float, spot: float) -> float:
+    """Linear interpolation at ``spot`` between the values at the ranks around it."""
+    return a + (b - a) * (spot - math.floor(spot)) if b != a else float(a)
+
+
 def quantiles(
     df: DataFrame,
     exprs: Mapping[str, Column],
@@ -164,8 +169,7 @@ def quantiles(
                 vals.append(None)
                 continue
             s = (size[n] - 1) * p
-            a, b = known[n, math.floor(s)], known[n, math.ceil(s)]
-            vals.append(a + (b - a) * (s - math.floor(s)) if b != a else float(a))
+            vals.append(between(known[n, math.floor(s)], known[n, math.ceil(s)], s))
         out[n] = vals
     return out
 

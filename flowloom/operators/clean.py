@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowloom.functions.lineage import cut
-from flowloom.functions.ordered import finite, no_nan, quantiles
+from flowloom.functions.ordered import between, finite, no_nan, order_statistics, quantiles
 from flowloom.operators.columns import drop_copied_columns, is_meta, numeric_columns
 
 INF = math.inf
@@ -113,7 +113,11 @@ def fill_missing(df: DataFrame, cols: Sequence[str], strategy: str) -> DataFrame
         fill = {c: row[f"m{i}"] for i, c in enumerate(cols)}
     else:
         raise ValueError(f"unknown rule for missing cells: {strategy}")
-    return replace_columns(df, {c: F.coalesce(F.col(c), F.lit(0.0 if fill[c] is None else fill[c])) for c in cols})
+    return _filled(df, fill)
+
+
+def _filled(df: DataFrame, fill: Mapping[str, float | None]) -> DataFrame:
+    return replace_columns(df, {c: F.coalesce(F.col(c), F.lit(0.0 if x is None else x)) for c, x in fill.items()})
 
 
 def clip_bounds(df: DataFrame, cols: Sequence[str], lower: float, upper: float) -> dict[str, tuple[float, float]]:
@@ -122,6 +126,43 @@ def clip_bounds(df: DataFrame, cols: Sequence[str], lower: float, upper: float)
     return {c: (a, b) for c, (a, b) in found.items() if a is not None and b is not None and a < b}
 
 
+def median_and_bounds(df: DataFrame, cols: Sequence[str], lower: float, upper: float) -> tuple[dict[str, float | None], dict[str, tuple[float, float]]]:
+    """What ``fill_missing`` with medians, and ``clip_bounds`` of the result, would find, by one search.
+
+    Filling puts copies of the median into the middle of the sorted values. So every rank of the filled column is a rank of
+    the values, or the median, and which one follows from two counts.
+    """
+    if not cols:
+        return {}, {}
+    exprs = {c: no_nan(c) for c in cols}
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(x).alias(f"n{i}") for i, x in enumerate(exprs.values())]).first()
+    rows, counts = row["n"], {c: row[f"n{i}"] for i, c in enumerate(cols)}
+
+    def place(c: str, rank: int) -> int | None:
+        """Rank among the values of a rank in the filled column; None: the median."""
+        left, added = (counts[c] + 1) // 2, rows - counts[c]
+        return rank if rank < left else rank - added if rank >= left + added else None
+
+    spots = [(rows - 1) * p for p in (lower, upper)]
+    ends = [(math.floor(s), math.ceil(s)) for s in spots]
+    ranks = {}
+    for c in cols:
+        wanted = {(counts[c] - 1) // 2, counts[c] // 2, *(place(c, r) for pair in ends for r in pair)} if counts[c] else set()
+        ranks[c] = sorted(wanted - {None})
+    known = order_statistics(df, exprs, ranks, counts)
+    fill, bounds = {}, {}
+    for c in cols:
+        if not counts[c]:
+            fill[c] = None
+            continue
+        fill[c] = between(known[c, (counts[c] - 1) // 2], known[c, counts[c] // 2], (counts[c] - 1) / 2)
+        pairs = [[fill[c] if (at := place(c, r)) is None else known[c, at] for r in pair] for pair in ends]
+        low, high = (between(*pair, s) for pair, s in zip(pairs, spots, strict=True))
+        if low < high:
+            bounds[c] = low, high
+    return fill, bounds
+
+
 def clip_outliers(df: DataFrame, bounds: Mapping[str, tuple[float, float]]) -> DataFrame:
     """Pull values into the bounds; nulls stay null."""
     return replace_columns(
@@ -151,6 +192,9 @@ def clean(df: DataFrame, rules: CleanRules = CleanRules()) -> DataFrame:
     out = cut(drop_copied_columns(out, rules.copy_mark))
     cols = [c for c in numeric_columns(out)]
     out = replace_infinities(out, cols, rules.infinities)
+    if rules.clip and rules.missing == "median":
+        fill, bounds = median_and_bounds(out, cols, rules.lower, rules.upper)
+        return clip_outliers(_filled(out, fill), bounds)
     out = fill_missing(out, cols, rules.missing)
     if rules.clip:
         out = clip_outliers(out, clip_bounds(out, cols, rules.lower, rules.upper))

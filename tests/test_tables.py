@@ -1,8 +1,10 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from flowloom.functions import ordered
 from flowloom.operators import audit, clean, columns, evaluate, labels, scale, split
 from flowloom.plans.views import view
 
@@ -137,3 +139,25 @@ def test_curves_keep_missing_groups_and_end_points(spark):
     assert sum(r["g"] is None for r in got) == 3 and sum(r["g"] == "a" for r in got) == 2
     ends = [r for r in got if r["threshold"] == float("inf")]
     assert len(ends) == 2 and all((r["fpr"], r["tpr"], r["precision"]) == (0.0, 0.0, 1.0) for r in ends)
+
+
+def test_one_search_finds_what_filling_and_clipping_find(spark):
+    rnd = random.Random(8)
+    shapes = {
+        "even": lambda i: float(i * 7 % 100) if i < 100 else None,
+        "odd": lambda i: float(i * 7 % 101) if i < 101 else None,
+        "sparse": lambda i: float(i) if i % 60 == 0 else None,
+        "ties": lambda i: float(rnd.randrange(3)),
+        "one": lambda i: 5.0 if i == 3 else None,
+        "nothing": lambda i: None,
+        "full": lambda i: rnd.gauss(0, 1),
+        "nan": lambda i: math.nan if i % 5 == 0 else float(i),
+    }
+    df = spark.createDataFrame([tuple(f(i) for f in shapes.values()) for i in range(300)], ", ".join(f"`{c}` double" for c in shapes))
+    df, cols = clean.nan_to_null(df), list(shapes)
+    for lower, upper in ((0.001, 0.999), (0.1, 0.62), (0.3, 0.9)):
+        fill, bounds = clean.median_and_bounds(df, cols, lower, upper)
+        assert fill == {c: v[0] for c, v in ordered.quantiles(df, {c: F.col(c) for c in cols}, [0.5]).items()}
+        assert bounds == clean.clip_bounds(clean.fill_missing(df, cols, "median"), cols, lower, upper)
+    assert clean.median_and_bounds(df.limit(0), cols, 0.1, 0.9) == (dict.fromkeys(cols), {})
+    assert clean.median_and_bounds(df, [], 0.1, 0.9) == ({}, {})
