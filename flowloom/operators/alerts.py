@@ -20,32 +20,39 @@ WINDOW_US = 60_000_000
 COOLDOWN_US = 300_000_000
 
 
-def trailing_time(
-    df: DataFrame, span_us: int, aggs: Mapping[str, Column], groups: Sequence[str] = (), include_now: bool = True
+def trailing_sums(
+    df: DataFrame, span_us: int, sums: Mapping[str, str], groups: Sequence[str] = (), include_now: bool = True
 ) -> DataFrame:
-    """Add aggregates over the rows of the last ``span_us`` microseconds.
+    """Add sums of whole-number columns over the rows of the last ``span_us`` microseconds.
 
-    With ``include_now`` the frame is ``(ts - span, ts]``, else ``[ts - span, ts)``. Blocks are
-    four spans long and lend their last span to the next block.
+    With ``include_now`` the frame is ``(ts - span, ts]``, else ``[ts - span, ts)``. Rows without a time are left out.
+
+    Blocks are four spans long and lend their last span to the next block. Inside a block every row also leaves, one span after
+    its time, with the opposite sign; what has come and not left is one running total, whatever the number of rows in a span.
     """
     length = 4 * span_us
     home = F.floor(F.col("ts_us") / F.lit(length))
     lends = F.col("ts_us") - home * F.lit(length) >= F.lit(length - span_us)
-    spread = df.select(
-        "*", home.alias("_home"), F.explode(F.when(lends, F.array(home, home + 1)).otherwise(F.array(home))).alias("_block"))
-    frame = Window.partitionBy(*groups, "_block").orderBy("ts_us")
-    frame = frame.rangeBetween(-(span_us - 1), 0) if include_now else frame.rangeBetween(-span_us, -1)
-    return (
-        spread.select("*", *[a.over(frame).alias(k) for k, a in aggs.items()])
-        .where(F.col("_home") == F.col("_block"))
-        .drop("_home", "_block")
-    )
+    at, block = F.col("ts_us"), F.col("_home")
+
+    def moment(ts: Column, where: Column, own: bool) -> Column:
+        return F.struct(ts.alias("at"), where.alias("block"), F.lit(own).alias("own"))
+
+    # A row that lends leaves in the next block, where it also comes; any other comes and leaves at home.
+    away = F.array(moment(at, block, True), moment(at, block + 1, False), moment(at + F.lit(span_us), block + 1, False))
+    near = F.array(moment(at, block, True), moment(at + F.lit(span_us), block, False))
+    timed = df.where(F.col("ts_us").isNotNull()).withColumn("_home", home)
+    spread = timed.select("*", F.explode(F.when(lends, away).otherwise(near)).alias("_m"))
+    leaves = F.col("_m.at") > F.col("ts_us")
+    so_far = Window.partitionBy(*groups, "_m.block").orderBy("_m.at").rangeBetween(Window.unboundedPreceding, 0 if include_now else -1)
+    total = {k: F.sum(F.when(leaves, -F.col(c)).otherwise(F.col(c))).over(so_far) for k, c in sums.items()}
+    return spread.select("*", *[t.alias(k) for k, t in total.items()]).where("_m.own").drop("_home", "_m")
 
 
 def recent_attacks(attacks: DataFrame, window_us: int = WINDOW_US, groups: Sequence[str] = ()) -> DataFrame:
     """Attacks in the trailing window at every attack time; one row per distinct time."""
     per = attacks.groupBy(*groups, "ts_us").agg(F.count(F.lit(1)).alias("attacks"))
-    return trailing_time(per, window_us, {"recent": F.sum("attacks")}, groups)
+    return trailing_sums(per, window_us, {"recent": "attacks"}, groups)
 
 
 def severity(count: Column, threshold: int = THRESHOLD) -> Column:

@@ -26,6 +26,22 @@ def test_attack_of_exactly_one_window_ago_is_not_counted(spark):
     assert rows == {0: 1, 60 * S: 1, 60_500_000: 2}
 
 
+@pytest.mark.parametrize("now", [True, False])
+def test_trailing_sums_against_brute_force(spark, now):
+    rng = random.Random(5)
+    rows = [(g, t, rng.randrange(1, 9)) for g in (None, 1) for t in rng.sample(range(-900, 900), 500)] + [(1, None, 3)]
+    df = spark.createDataFrame(rows, "g long, ts_us long, n long")
+    got = {(r.g, r.ts_us): r.total or 0 for r in alerts.trailing_sums(df, 40, {"total": "n"}, ["g"], now).collect()}
+    rows.pop()  # without a time
+    assert got == {(g, t): sum(n for h, u, n in rows if h == g and (t - 40 < u <= t if now else t - 40 <= u < t)) for g, t, _ in rows}
+
+
+def test_no_window_slides_over_the_attacks(spark):
+    """A sliding frame is added up anew for every row: its time grows with the square of the rate."""
+    plan = alerts.recent_attacks(frame(spark, range(5)), groups=["run_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "specifiedwindowframe(RangeFrame, unboundedpreceding$(), currentrow$())" in plan and plan.count("specifiedwindowframe") == 1
+
+
 def _brute(times, threshold, window, cooldown):
     out, last, times = [], None, sorted(times)
     for i, t in enumerate(times):
