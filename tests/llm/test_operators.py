@@ -451,7 +451,7 @@ def test_language_on_awkward_rows(spark):
 
 def test_registered_names():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in queries.QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in queries.QUERIES
     assert json.dumps(sorted(queries.ORACLES))
     assert pa.__version__
 
