@@ -144,6 +144,40 @@ def test_search_on_awkward_rows_and_blocks(spark):
         search.top_k(docs.withColumn("doc_id", F.col("doc_id").cast("string")), docs)
 
 
+def test_lanes_answer_once_however_many_shards(spark):
+    rnd = random.Random(3)
+    rows = [(i, " ".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randrange(1, 30)))) for i in range(600)] + [(i, "same text of many rows") for i in range(600, 700)]
+    docs = frame(spark, rows).repartition(64)
+    asked = docs.filter("doc_id % 20 = 0")
+    known, count, total, postings = search.frequencies(docs)
+    sent = search._lists(docs, search._query_blocks(asked, known), count, total / count, postings, 5, 40).count()
+    assert sent <= spark.sparkContext.defaultParallelism * 35 * 5  # there are some 60 shards
+    assert {tuple(r) for r in search.top_k(docs, asked, k=5, shard_postings=40).collect()} == plain_search(rows, 5)
+
+
+def test_answers_of_one_shard_bound_the_next():
+    words, idf = np.sort(np.arange(1, 400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), math.log(1 + (600 - 28 + 0.5) / (28 + 0.5))
+
+    def shard(first, low, high):
+        rng, index, sizes = np.random.default_rng(first), search.ShardIndex(20.0), np.full(300, 20)
+        listed, counts = words[np.concatenate([np.sort(rng.choice(np.arange(low, high), 20, replace=False)) for _ in range(300)])], np.ones(6000, np.int32)
+        index.add(np.arange(first, first + 300), sizes, listed, counts, sizes, search._order_keys(listed, counts, sizes))
+        return index
+
+    queries = search.Asked(600, 10)
+    for ids in ([5, 20], [40]):
+        queries.add(np.array(ids), np.array([40] * len(ids)), words[:40], np.full(40, 28), np.tile(np.arange(40, dtype=np.int32), len(ids)))
+    near, far = shard(0, 0, 40), shard(300, 38, 399)
+    queries.ask(near)
+    queries.ask(far)
+    assert far.skipped == 3 * 300 and not far.pivots  # two words are not enough
+    for block, want in zip(queries.answers(), ([5, 20], [40]), strict=True):
+        assert block[0].tolist() == want and block[1].tolist() == [10] * len(want)
+        for n, query_id in enumerate(want):
+            ids, scores = near.search(query_id, words[:40], np.full(40, idf), 10)
+            assert block[2][10 * n : 10 * n + 10].tolist() == ids.tolist() and block[3][10 * n : 10 * n + 10].tolist() == scores.tolist()
+
+
 def test_bounds_skip_documents_and_lose_none(monkeypatch):
     monkeypatch.setattr(search, "START", 1)
     rng, vocabulary = np.random.default_rng(5), np.arange(1, 3000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
