@@ -155,6 +155,12 @@ def test_lanes_answer_once_however_many_shards(spark):
     assert {tuple(r) for r in search.top_k(docs, asked, k=5, shard_postings=40).collect()} == plain_search(rows, 5)
 
 
+def test_chunks_are_dealt_to_all_shards(spark):
+    chunks = spark.range(4000).select(F.abs(F.xxhash64("id")).alias("chunk"))
+    dealt = {tuple(r[:2]): r["count"] for r in chunks.groupBy(*search._deal(1, 8)).count().collect()}
+    assert set(dealt) == {(0, i) for i in range(8)} and max(dealt.values()) < 700
+
+
 def test_answers_of_one_shard_bound_the_next():
     words, idf = np.sort(np.arange(1, 400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), math.log(1 + (600 - 28 + 0.5) / (28 + 0.5))
 
