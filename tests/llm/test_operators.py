@@ -213,6 +213,46 @@ def test_bounds_skip_documents_and_lose_none(monkeypatch):
     assert index.scored <= index.pivots < index.skipped
 
 
+def test_chunks_hold_like_texts(spark):
+    rnd = random.Random(4)
+    words = [[f"{x}{n}" for n in range(400)] for x in "ab"]
+    rows = [(i, " ".join(rnd.choices(words[i % 2], weights=[1 / n for n in range(1, 401)], k=60))) for i in range(4000)]
+    docs = frame(spark, rows).repartition(2)
+    known, count, total, postings = search.frequencies(docs)
+    common = np.array([r.word for r in known.orderBy(F.desc("df")).limit(64).collect()]).view(np.uint64)
+    chunks = [np.frombuffer(r.ids, np.int64) for r in search._chunks(docs, common).collect()]
+    assert sorted(np.concatenate(chunks).tolist()) == list(range(4000))
+    assert sum(len(set((c % 2).tolist())) > 1 for c in chunks) <= 2 < len(chunks)  # one border a task
+    asked = docs.filter("doc_id % 20 = 0 and doc_id < 400")
+    want = {r for r in plain_search(rows, 5) if r[0] < 400}
+    assert {tuple(r) for r in search.top_k(docs, asked, k=5, shard_postings=30_000).collect()} == want
+
+
+def test_rows_of_common_words_are_exact(monkeypatch):
+    rng, words = np.random.default_rng(6), np.arange(1, 601, dtype=np.uint64) * np.uint64(0x1E3779B97F4A7C15)
+    words.sort()
+    counts = rng.integers(0, 3, (500, 600)) * rng.integers(0, 2, (500, 600))
+    counts[7, :5], counts[8, 3], counts[400:430] = 70_000, 255, counts[400]
+    owner, word = np.nonzero(counts)
+    tf, lengths, sizes = counts[owner, word].astype(np.int32), counts.sum(1), (counts > 0).sum(1)
+    weights = tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * lengths[owner] / lengths.mean()))
+    idf = rng.uniform(3, 9, 600)  # all rows together exceed what two bytes hold
+    for cells, tile in ((1 << 25, 64), (40_000, 1 << 12), (0, 64)):
+        monkeypatch.setattr(search, "ROW_CELLS", cells)
+        monkeypatch.setattr(search, "TILE", tile)
+        index = search.ShardIndex(float(lengths.mean()))
+        index.add(np.arange(500), sizes, words[word], tf, lengths, search._order_keys(words[word], tf, sizes))
+        index.close()
+        found = [index.search(q, words, idf, 10) for q in (3, 7, 8, 410)]
+        known = list(index.best([(q, index.places(words, idf), *f) for q, f in zip((3, 7, 8, 410), found, strict=True)], 20))
+        scores = np.round(np.bincount(owner, weights * idf[word]), 6)
+        for q, (ids, got), (_, twice) in zip((3, 7, 8, 410), found, known, strict=True):
+            mine = np.where(np.arange(500) == q, -1, scores)
+            best = np.lexsort((np.arange(500), -mine))[:10]
+            assert ids.tolist() == best.tolist() and np.allclose(got, mine[best], atol=1e-6)
+            assert np.allclose(twice, np.repeat(mine[best], 2), atol=1e-6)  # each found before and again
+
+
 def plain_draws(text):
     def words_hash(seed, data):
         return xxhash.xxh64_intdigest(data, seed=seed)
